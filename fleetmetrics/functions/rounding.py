@@ -8,7 +8,7 @@ inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def steady(x: Column) -> Column:
@@ -55,3 +55,14 @@ def even_round(x: Column, decimals: int = 0) -> Column:
     )
     # Past 2**52 a double has no fraction left to round.
     return F.when(F.abs(product) < 4503599627370496.0, rounded / scale).otherwise(x)
+
+
+def round_steady(df: DataFrame, column: str, decimals: int) -> DataFrame:
+    """Replace a computed column by its steadied, half-to-even rounded value.
+
+    Each step is a projection of its own, so the value is computed once and the
+    plan stays small.
+    """
+    return df.withColumn(column, steady(F.col(column))).withColumn(
+        column, even_round(F.col(column), decimals)
+    )

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_HAS_OFFSET = r"\d:\d{2}.*([Zz]|[+-]\d{2}(:?\d{2})?)$"
-_ISO_START = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)"
+_OFFSET = r":\d{2}.*[+-]\d{2}(:?\d{2})?$"
 
 
 def instant_to_utc(ts: Column) -> Column:
@@ -15,11 +14,15 @@ def instant_to_utc(ts: Column) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """ISO-8601 text to naive UTC; no offset means UTC; NULL when unreadable."""
-    text = F.regexp_replace(text, r"Z$", "+00:00")
-    timed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
-    zoned = F.when(timed.rlike(_HAS_OFFSET), timed).otherwise(F.concat(timed, F.lit("+00:00")))
-    return F.when(text.rlike(_ISO_START), instant_to_utc(zoned.try_cast("timestamp")))
+    """ISO-8601 text (extended form) to naive UTC; no offset means UTC; NULL when unreadable."""
+    missing = (
+        F.when(F.endswith(text, F.lit("Z")), "")
+        .when(F.char_length(text) == 10, "T00:00:00Z")
+        .when(text.rlike(_OFFSET), "")
+        .otherwise("Z")
+    )
+    dated = (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    return F.when(dated, instant_to_utc(F.concat(text, missing).try_cast("timestamp")))
 
 
 def iso_utc(ts: Column) -> Column:

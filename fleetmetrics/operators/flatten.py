@@ -74,26 +74,35 @@ def headers(raw: DataFrame) -> DataFrame:
     )
 
 
-def points(header_rows: DataFrame) -> DataFrame:
-    """One row per datapoint of each payload, with position and reject reason."""
+def points(header_rows: DataFrame, strict: bool = False) -> DataFrame:
+    """One row per datapoint of each payload, with position and reject reason.
+
+    With ``strict`` a bad datapoint raises while its values are computed; that
+    way each timestamp is parsed once, not once more for a filter.
+    """
     exploded = header_rows.select(
         "*", F.posexplode("datapoints").alias(POSITION, "point")
     ).drop("datapoints")
     when, value = F.col("point.timestamp"), F.col("point.value")
-    reason = _first_reason(
-        F.col(REASON),
-        missing_or_blank(when, "datapoint.timestamp"),
-        missing_or_blank(value, "datapoint.value"),
-        F.when(parse_utc(when).isNull(), F.lit("Invalid datapoint.timestamp")),
-        F.when(value.try_cast("double").isNull(), F.lit("Invalid datapoint.value")),
+    stamp, number = parse_utc(when), value.try_cast("double")
+    bad_stamp = F.coalesce(
+        missing_or_blank(when, "datapoint.timestamp"), F.lit("Invalid datapoint.timestamp")
     )
-    return exploded.withColumns(
-        {
-            "metric_timestamp": parse_utc(when),
-            "value": value.try_cast("double"),
-            REASON: reason,
+    bad_number = F.coalesce(missing_or_blank(value, "datapoint.value"), F.lit("Invalid datapoint.value"))
+    if strict:
+        at_file = F.concat(F.lit(": "), F.col("source_file"))
+        columns = {
+            "metric_timestamp": F.coalesce(
+                stamp, F.raise_error(F.concat(bad_stamp, at_file)).cast("timestamp_ntz")
+            ),
+            "value": F.coalesce(number, F.raise_error(F.concat(bad_number, at_file)).cast("double")),
         }
-    ).drop("point")
+    else:
+        reason = _first_reason(
+            F.col(REASON), F.when(stamp.isNull(), bad_stamp), F.when(number.isNull(), bad_number)
+        )
+        columns = {"metric_timestamp": stamp, "value": number, REASON: reason}
+    return exploded.withColumns(columns).drop("point")
 
 
 def fail_on_reject(rows: DataFrame) -> DataFrame:
@@ -105,8 +114,8 @@ def fail_on_reject(rows: DataFrame) -> DataFrame:
 
 
 def curated_rows(point_rows: DataFrame) -> DataFrame:
-    """Accepted datapoints in curated column order, plus partition columns and position."""
-    derived = point_rows.where(F.col(REASON).isNull()).withColumns(
+    """Datapoints in curated column order, plus partition columns and position."""
+    derived = point_rows.withColumns(
         {
             "date": F.to_date("metric_timestamp"),
             "hour": F.date_format("metric_timestamp", "HH"),
@@ -121,12 +130,17 @@ def flatten(raw: DataFrame, on_error: str = "fail") -> DataFrame:
     ``on_error="fail"`` raises at the first violation; ``"quarantine"`` keeps
     the valid rows only (see :func:`rejects` for the others).
     """
+    return rows_of(headers(raw), on_error)
+
+
+def rows_of(header_rows: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Curated rows of payload headers, refusing or leaving out the bad ones."""
     if on_error not in ("fail", "quarantine"):
         raise ValueError(f"on_error must be 'fail' or 'quarantine', got {on_error!r}")
-    header_rows = headers(raw)
     if on_error == "fail":
-        return curated_rows(fail_on_reject(points(fail_on_reject(header_rows))))
-    return curated_rows(points(header_rows))
+        return curated_rows(points(fail_on_reject(header_rows), strict=True))
+    valid = header_rows.where(F.col(REASON).isNull())
+    return curated_rows(points(valid).where(F.col(REASON).isNull()))
 
 
 def rejects(raw: DataFrame) -> DataFrame:

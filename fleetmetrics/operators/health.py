@@ -76,12 +76,9 @@ def with_baseline(rows: DataFrame, baseline_rows: DataFrame) -> DataFrame:
     NULL, as is the deviation where the baseline does not vary.
     """
     joined = rows.join(baseline_rows, "resource_id", "left")
-    return joined.select(
-        "*",
-        *[
-            F.when(
-                F.col(spread) > 0, sql_round((F.col(now) - F.col(mean)) / F.col(spread), 4)
-            ).alias(out)
+    return joined.withColumns(
+        {
+            out: F.when(F.col(spread) > 0, sql_round((F.col(now) - F.col(mean)) / F.col(spread), 4))
             for now, mean, spread, out in DEVIATIONS
-        ],
+        }
     )

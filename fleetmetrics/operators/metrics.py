@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rounding import sql_round, steady
 
 _AGGREGATES = {
-    "avg": lambda value: steady(F.avg(value)),
-    "stddev": lambda value: steady(F.stddev_samp(value)),
+    "avg": F.avg,
+    "stddev": F.stddev_samp,
     "min": F.min,
     "max": F.max,
 }
@@ -21,10 +21,19 @@ def of_metric(metric: str) -> Column:
     return F.when(F.col("metric_name") == metric, F.col("value"))
 
 
-def stat_expressions(stats: Sequence[tuple[str, str, str, int]]) -> list[Column]:
+def raw_stats(stats: Sequence[tuple[str, str, str, int]]) -> list[Column]:
+    """The unrounded aggregates."""
     return [
-        sql_round(_AGGREGATES[aggregate](of_metric(metric)), decimals).alias(column)
-        for metric, aggregate, column, decimals in stats
+        _AGGREGATES[aggregate](of_metric(metric)).alias(column)
+        for metric, aggregate, column, _ in stats
+    ]
+
+
+def rounded_stats(stats: Sequence[tuple[str, str, str, int]]) -> list[Column]:
+    """The aggregated columns rounded for the report."""
+    return [
+        sql_round(F.col(column) if aggregate in ("min", "max") else steady(F.col(column)), decimals).alias(column)
+        for _, aggregate, column, decimals in stats
     ]
 
 
@@ -34,11 +43,13 @@ def wide_stats(
     stats: Sequence[tuple[str, str, str, int]],
     *extra: Column,
 ) -> DataFrame:
-    """All ``stats`` of each group in one hash aggregate.
+    """``keys``, ``extra`` and all ``stats`` of each group, from one hash aggregate.
 
     Every statistic has a fixed-size buffer, so map tasks send one row per
     group they saw, and a group holding a third of all rows costs the reducer
     no more than any other. No filter on metric names is added: a resource
     with other metrics only must still give a row.
     """
-    return df.groupBy(*keys).agg(*extra, *stat_expressions(stats))
+    grouped = df.groupBy(*keys).agg(*extra, *raw_stats(stats))
+    kept = grouped.columns[: len(grouped.columns) - len(stats)]
+    return grouped.select(*kept, *rounded_stats(stats))

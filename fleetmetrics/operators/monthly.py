@@ -34,8 +34,8 @@ def monthly_aggregate(scoped: DataFrame) -> DataFrame:
 
 
 def change_pct(current: Column, prior: Column) -> Column:
-    """Percent change to one decimal; NULL when either is missing or prior is 0."""
-    return F.when(prior != 0, even_round((current - prior) / F.abs(prior) * 100, 1))
+    """Percent change, unrounded; NULL when either is missing or prior is 0."""
+    return F.when(prior != 0, (current - prior) / F.abs(prior) * 100)
 
 
 def coverage_note(days: Column, days_in_month: int, in_progress: bool) -> Column:
@@ -82,7 +82,7 @@ def compare_months(rows: DataFrame, month: str, today: date | None = None) -> Da
         if column in COMPARED_COLUMNS:
             compared.append(prev.alias(f"{column}_previous"))
             compared.append(change_pct(now, prev).alias(f"{column}_change_pct"))
-    return paired.select(
+    report = paired.select(
         "resource_id",
         F.lit(month).alias("month"),
         F.lit(prior_month).alias("previous_month"),
@@ -94,6 +94,10 @@ def compare_months(rows: DataFrame, month: str, today: date | None = None) -> Da
         coverage_note(days, days_in_month, in_progress).alias("coverage_note"),
         *compared,
     )
+    # Rounded in a second step: one reference per value keeps the plan small.
+    return report.withColumns(
+        {f"{c}_change_pct": even_round(F.col(f"{c}_change_pct"), 1) for c in COMPARED_COLUMNS}
+    )
 
 
 def with_notable(report: DataFrame) -> DataFrame:

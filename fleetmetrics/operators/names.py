@@ -5,7 +5,8 @@ members), 3 part of cluster ids (their members), 4 part of instance ids. The
 first tier with a result wins within an account. Case and surrounding blanks do
 not matter.
 
-Substring search is expressed as an equi-join, not as a nested loop over all
+All four tiers are one substring search, because an exact id also contains its
+name. The search is expressed as an equi-join, not as a nested loop over all
 pairs: an identifier is indexed under its short grams, a name looks up only its
 rarest gram, and ``contains`` confirms the few candidates. A name of up to
 three characters is its own gram.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 GRAM = 3
-TIERS = ("exact_instance", "exact_cluster", "cluster_part", "instance_part")
+KEY = ["name", "account_id"]
 
 
 def normalize(name: Column) -> Column:
@@ -34,8 +35,7 @@ def _windows(text: Column, size: int) -> Column:
 
 
 def _index_grams(text: Column) -> Column:
-    grams = F.concat(*[_windows(text, size) for size in range(1, GRAM + 1)])
-    return F.array_distinct(grams)
+    return F.array_distinct(F.concat(*[_windows(text, size) for size in range(1, GRAM + 1)]))
 
 
 def _lookup_grams(text: Column) -> Column:
@@ -45,19 +45,15 @@ def _lookup_grams(text: Column) -> Column:
 
 
 def substring_pairs(names: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """(name, account_id, identifier) for each identifier that contains the name.
+    """Each identifier row next to every name it contains.
 
-    ``names`` holds distinct normalized names, ``identifiers`` distinct
-    (account_id, identifier) pairs.
+    ``names`` holds distinct normalized names in column ``name``; identifiers
+    come in column ``identifier`` (compared in lower case) with any others.
     """
-    index = identifiers.select(
-        "account_id", "identifier", F.explode(_index_grams(F.lower("identifier"))).alias("gram")
-    )
+    index = identifiers.withColumn("gram", F.explode(_index_grams(F.lower("identifier"))))
     frequency = index.groupBy("gram").agg(F.count("*").alias("frequency"))
-    wanted = names.select(
-        "name",
-        F.size(_lookup_grams(F.col("name"))).alias("needed"),
-        F.explode(_lookup_grams(F.col("name"))).alias("gram"),
+    wanted = names.withColumn("grams", _lookup_grams(F.col("name"))).select(
+        "name", F.size("grams").alias("needed"), F.explode("grams").alias("gram")
     )
     # A name with a gram no identifier has cannot match anything.
     rarest = (
@@ -70,71 +66,90 @@ def substring_pairs(names: DataFrame, identifiers: DataFrame) -> DataFrame:
     return (
         index.join(rarest, "gram")
         .where(F.contains(F.lower("identifier"), F.col("name")))
-        .select("name", "account_id", "identifier")
+        .select("name", *identifiers.columns)
     )
 
 
-def resolve_names(names: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
-    """(name, account_id, tier, resource_id, position) for all distinct names.
+def name_hits(names: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
+    """(name, account_id, tier, place, identifier) for every id that contains a name.
 
-    ``members`` carries every cluster that can match (one row per member), and
-    ``position`` orders the ids of one name: member order for an exact cluster,
-    id order for the substring tiers. Names without a match give no row. Rows
-    stay long, so a name that matches a whole fleet is never one array.
+    Clusters without members never answer, so they are taken from ``members``.
+    ``place`` is the listing order among equally spelled ids, 0 in the
+    substring tiers, where every hit counts.
     """
     wanted = names.select(normalize(F.col("name")).alias("name")).where(F.col("name") != "").distinct()
-    listed = members.where(F.col("identifier").isNotNull())
-    known = instances.where(F.col("identifier").isNotNull())
-    key = ["name", "account_id"]
-
-    # Same id in other letter case: the first listed one answers.
-    exact_instance = (
-        known.withColumn("name", F.lower("identifier"))
-        .join(wanted, "name", "left_semi")
-        .groupBy(*key)
-        .agg(F.min_by("identifier", F.struct("ordinal", "identifier")).alias("resource_id"))
-        .select(*key, F.lit(1).alias("tier"), "resource_id", F.lit(0).cast("long").alias("position"))
+    clusters = (
+        members.where(F.col("identifier").isNotNull() & F.col("cluster_identifier").isNotNull())
+        .groupBy("account_id", F.col("cluster_identifier").alias("identifier"))
+        .agg(F.min("cluster_ordinal").alias("ordinal"))
+        .withColumn("is_cluster", F.lit(True))
     )
-
-    cluster_rows = listed.withColumn("name", F.lower("cluster_identifier"))
-    exact_named = cluster_rows.join(wanted, "name", "left_semi")
-    first_cluster = exact_named.groupBy(*key).agg(F.min("cluster_ordinal").alias("cluster_ordinal"))
-    exact_cluster = (
-        exact_named.join(first_cluster, [*key, "cluster_ordinal"])
+    known = (
+        instances.where(F.col("identifier").isNotNull())
+        .groupBy("account_id", "identifier")
+        .agg(F.min("ordinal").alias("ordinal"))
+        .withColumn("is_cluster", F.lit(False))
+    )
+    exact = F.lower("identifier") == F.col("name")
+    cluster = F.col("is_cluster")
+    tier = F.when(exact & ~cluster, 1).when(exact, 2).when(cluster, 3).otherwise(4)
+    return (
+        substring_pairs(wanted, clusters.unionByName(known))
+        .withColumn("tier", tier)
         .select(
-            *key,
-            F.lit(2).alias("tier"),
-            F.col("identifier").alias("resource_id"),
-            F.col("member_pos").cast("long").alias("position"),
+            *KEY,
+            "tier",
+            F.when(F.col("tier") <= 2, F.coalesce("ordinal", F.lit(0))).otherwise(0).cast("long").alias("place"),
+            "identifier",
         )
-        .join(exact_instance, key, "left_anti")
     )
 
-    exact_keys = exact_instance.select(*key).unionByName(exact_cluster.select(*key).distinct())
-    unordered = F.lit(None).cast("long").alias("position")
-    cluster_ids = listed.select(
-        "account_id", F.col("cluster_identifier").alias("identifier")
-    ).distinct()
-    cluster_part = (
-        substring_pairs(wanted, cluster_ids)
-        .join(exact_keys, key, "left_anti")
-        .withColumnRenamed("identifier", "cluster_identifier")
-        .join(
-            listed.select("account_id", "cluster_identifier", F.col("identifier").alias("resource_id")),
-            ["account_id", "cluster_identifier"],
-        )
-        .select(*key, F.lit(3).alias("tier"), "resource_id", unordered)
-        .distinct()
+
+def best_tiers(hits: DataFrame) -> DataFrame:
+    """The tier that answers each (name, account), and the first place in it."""
+    return (
+        hits.groupBy(*KEY)
+        .agg(F.min(F.struct("tier", "place")).alias("best"))
+        .select(*KEY, "best.tier", "best.place")
     )
 
-    earlier = exact_keys.unionByName(cluster_part.select(*key).distinct())
-    instance_part = (
-        substring_pairs(wanted, known.select("account_id", "identifier").distinct())
-        .join(earlier, key, "left_anti")
-        .select(*key, F.lit(4).alias("tier"), F.col("identifier").alias("resource_id"), unordered)
+
+def expand_hits(hits: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
+    """Ids of the chosen hits: clusters become their members, instances stay.
+
+    Instances look for members under a key no cluster has; that spreads them
+    over tasks, where a NULL key would gather them in one.
+    """
+    cluster_hit = F.col("tier").isin(2, 3)
+    listed = members.where(F.col("identifier").isNotNull()).select(
+        "account_id",
+        F.col("cluster_identifier").alias("lookup"),
+        F.col("identifier").alias("member"),
+        F.col("member_pos").cast("long").alias("member_pos"),
     )
     return (
-        exact_instance.unionByName(exact_cluster)
-        .unionByName(cluster_part)
-        .unionByName(instance_part)
+        hits.join(chosen, [*KEY, "tier", "place"])
+        .withColumn(
+            "lookup",
+            F.when(cluster_hit, F.col("identifier")).otherwise(F.concat(F.lit("\0"), "identifier")),
+        )
+        .join(listed, ["account_id", "lookup"], "left")
+        .select(
+            *KEY,
+            "tier",
+            F.coalesce("member", "identifier").alias("resource_id"),
+            F.when(F.col("tier") == 2, F.col("member_pos")).alias("position"),
+        )
+        .distinct()
     )
+
+
+def resolve_names(names: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
+    """(name, account_id, tier, resource_id, position) for all distinct names.
+
+    ``position`` orders the members of an exact cluster; the other tiers are
+    ordered by id. Names without a match give no row. Rows stay long, so a name
+    that matches a whole fleet is never one array.
+    """
+    hits = name_hits(names, members, instances)
+    return expand_hits(hits, best_tiers(hits), members)

@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.calendar import default_report_month
 from ..functions.validators import PATTERNS
 from ..sources.inventory import enabled_targets
-from .inventory import extend_with_clusters
-from .names import normalize, resolve_names
+from .names import best_tiers, expand_hits, name_hits, normalize
 
 # Request words and default windows.
 COMMANDS = ("health", "storage", "topsql", "report")
 DEFAULT_LIVE_MINUTES = 30
 DEFAULT_STORAGE_DAYS = 30
 DEFAULT_TOPSQL_MINUTES = 10
-_DURATION = r"\A(\d+)(m|h)\z"
-_DAYS = r"\A(\d+)d\z"
+_LENGTH = r"\A(\d+)(m|h|d)\z"
 
 # Modes that query whole accounts without a resource list, and modes that also
 # need the clusters of the resolved instances.
@@ -26,52 +24,66 @@ LISTING_MODES = ("live", "topsql")
 CLUSTER_MODES = ("storage", "report")
 
 
-def _minutes(argument: Column) -> Column:
-    amount = F.regexp_extract(argument, _DURATION, 1).try_cast("decimal(38,0)")
-    factor = F.when(F.regexp_extract(argument, _DURATION, 2) == "h", 60).otherwise(1)
-    return F.when(argument.rlike(_DURATION), (amount * factor).try_cast("decimal(38,0)").cast("string"))
-
-
 def parse_requests(requests: DataFrame, today: date | None = None) -> DataFrame:
     """(request_id, target, mode, value, status) of each request line.
 
     Lines read ``health|storage|topsql|report <target> [argument]``; further
     words are ignored. ``status`` is ``ok``, ``bad_usage`` or ``bad_argument``.
     """
-    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    split = requests.select("request_id", words.alias("words")).select(
-        "request_id",
-        F.get("words", F.lit(0)).alias("command"),
-        F.get("words", F.lit(1)).alias("target"),
-        F.get("words", F.lit(2)).alias("argument"),
-    )
+    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", 4)
     command, argument = F.col("command"), F.col("argument")
-    bare = argument.isNull()
-    is_date = argument.rlike(rf"\A{PATTERNS['date']}\z")
-    month = F.when(argument.rlike(rf"\A{PATTERNS['month']}\z"), argument)
-    days = F.when(argument.rlike(_DAYS), F.regexp_extract(argument, _DAYS, 1))
-    usable = command.isin(*COMMANDS) & F.col("target").isNotNull()
-    mode = (
-        F.when(command != "health", command).when(is_date, "date").otherwise("live")
+    number, unit = F.col("number"), F.col("unit")
+    default = (
+        F.when(command == "report", default_report_month(today))
+        .when(command == "storage", f"{DEFAULT_STORAGE_DAYS}d")
+        .when(command == "topsql", f"{DEFAULT_TOPSQL_MINUTES}m")
+        .otherwise(f"{DEFAULT_LIVE_MINUTES}m")
     )
-    value = (
-        F.when(command == "report", F.when(bare, default_report_month(today)).otherwise(month))
-        .when(command == "storage", F.when(bare, str(DEFAULT_STORAGE_DAYS)).otherwise(days))
-        .when(command == "topsql", F.when(bare, str(DEFAULT_TOPSQL_MINUTES)).otherwise(_minutes(argument)))
-        .otherwise(
-            F.when(bare, str(DEFAULT_LIVE_MINUTES)).when(is_date, argument).otherwise(_minutes(argument))
-        )
-    )
-    status = F.when(~usable, "bad_usage").when(value.isNull(), "bad_argument").otherwise("ok")
-    good = F.col("status") == "ok"
-    return (
-        split.withColumns({"mode": mode, "value": value, "status": status})
+    split = (
+        requests.select("request_id", words.alias("words"))
         .select(
             "request_id",
-            *[F.when(good, F.col(c)).alias(c) for c in ("target", "mode", "value")],
-            "status",
+            F.get("words", F.lit(0)).alias("command"),
+            F.get("words", F.lit(1)).alias("target"),
+            F.get("words", F.lit(2)).alias("argument"),
+        )
+        .withColumn("argument", F.coalesce(argument, default))
+        .withColumns(
+            {
+                "number": F.regexp_extract(argument, _LENGTH, 1),
+                "unit": F.regexp_extract(argument, _LENGTH, 2),
+                "is_date": argument.rlike(rf"\A{PATTERNS['date']}\z"),
+                "is_month": argument.rlike(rf"\A{PATTERNS['month']}\z"),
+            }
         )
     )
+    minutes = (number.try_cast("decimal(36,0)") * F.when(unit == "h", 60).otherwise(1)).cast("string")
+    value = (
+        F.when(command == "report", F.when(F.col("is_month"), argument))
+        .when(command == "storage", F.when(unit == "d", number))
+        .when(unit.isin("m", "h"), minutes)
+        .when((command == "health") & F.col("is_date"), argument)
+    )
+    valued = split.withColumns(
+        {
+            "mode": F.when(command != "health", command).when(F.col("is_date"), "date").otherwise("live"),
+            "value": value,
+            "usable": F.coalesce(command.isin(*COMMANDS) & F.col("target").isNotNull(), F.lit(False)),
+        }
+    )
+    status = (
+        F.when(~F.col("usable"), "bad_usage").when(F.col("value").isNull(), "bad_argument").otherwise("ok")
+    )
+    good = F.col("status") == "ok"
+    parsed = valued.withColumn("status", status).select(
+        "request_id",
+        F.struct(
+            *[F.when(good, F.col(c)).alias(c) for c in ("target", "mode", "value")], "status"
+        ).alias("parsed"),
+    )
+    # Inlining a one-row array keeps later filters from being pushed into, and
+    # so repeating, the parsing expressions.
+    return parsed.select("request_id", F.inline(F.array("parsed")))
 
 
 def _by_target_name(parsed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -82,28 +94,24 @@ def _by_target_name(parsed: DataFrame, targets: DataFrame) -> DataFrame:
     return parsed.join(named, "target", "left")
 
 
-def _resolved(parsed: DataFrame, targets: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
-    """Ids of every distinct requested name, per enabled target that knows it."""
-    accounts = enabled_targets(targets).select("account_id", F.col("name").alias("target_name"))
-    reachable = accounts.select("account_id").distinct()
-    names = parsed.where(F.col("status") == "ok").select(F.col("target").alias("name")).distinct()
-    return resolve_names(
-        names,
-        members.join(reachable, "account_id", "left_semi"),
-        instances.join(reachable, "account_id", "left_semi"),
-    ).join(accounts, "account_id")
+def _hits(parsed: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
+    """What every distinct requested name could mean, in any account."""
+    names = parsed.where(F.col("status") == "ok").select(F.col("target").alias("name"))
+    return name_hits(names, members, instances)
 
 
-def _match_counts(resolved: DataFrame) -> DataFrame:
-    """Per name: how many targets know it, and which one if only one does."""
+def _match_counts(best: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per name: how many enabled targets know it, and which one if only one does."""
+    accounts = enabled_targets(targets).select("account_id", F.col("name").alias("target_name"))
     return (
-        resolved.groupBy("name", "target_name", "account_id")
-        .agg(F.count("*").alias("ids"))
+        best.join(accounts, "account_id")
         .groupBy("name")
         .agg(
             F.count("*").alias("matches"),
             F.min("target_name").alias("target_name"),
             F.min("account_id").alias("account_id"),
+            F.min("tier").alias("tier"),
+            F.min("place").alias("place"),
         )
     )
 
@@ -117,7 +125,7 @@ def resolve_scope(parsed: DataFrame, targets: DataFrame, members: DataFrame, ins
     parse status. ``all_resources`` marks scopes without a resource list.
     """
     located = _by_target_name(parsed, targets).withColumn("name", normalize(F.col("target")))
-    counts = _match_counts(_resolved(parsed, targets, members, instances))
+    counts = _match_counts(best_tiers(_hits(parsed, members, instances)), targets)
     stocked = (
         instances.where(F.col("identifier") != "")
         .select(F.col("account_id").alias("named_account"), F.lit(True).alias("stocked"))
@@ -143,11 +151,37 @@ def resolve_scope(parsed: DataFrame, targets: DataFrame, members: DataFrame, ins
         "value",
         F.when(ok, F.coalesce("named_account", "account_id")).alias("account_id"),
         F.when(ok, F.when(named, F.col("target")).otherwise(F.col("target_name"))).alias("target_name"),
-        (ok & named & ~listing).alias("all_resources"),
+        F.coalesce(ok & named & ~listing, F.lit(False)).alias("all_resources"),
         F.col("scope_status").alias("status"),
     )
 
 
+def name_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
+    """(name, account_id, with_clusters, resource_id) of every unambiguous requested name.
+
+    Each name has two lists: its instances, and (``with_clusters``) the same
+    extended by the clusters of those instances.
+    """
+    hits = _hits(parsed, members, instances)
+    single = _match_counts(best_tiers(hits), targets).where(F.col("matches") == 1)
+    ids = expand_hits(hits, single.select("name", "account_id", "tier", "place"), members)
+    clusters = instances.where(F.col("cluster_identifier") != "").select(
+        "account_id", F.col("identifier").alias("resource_id"), "cluster_identifier"
+    )
+    lists = F.array(
+        F.struct(F.lit(False).alias("with_clusters"), F.col("resource_id").alias("id")),
+        F.struct(F.lit(True).alias("with_clusters"), F.col("resource_id").alias("id")),
+        F.struct(F.lit(True).alias("with_clusters"), F.col("cluster_identifier").alias("id")),
+    )
+    return (
+        ids.join(clusters, ["account_id", "resource_id"], "left")
+        .select("name", "account_id", F.explode(lists).alias("entry"))
+        .select("name", "account_id", "entry.with_clusters", F.col("entry.id").alias("resource_id"))
+        .where(F.col("resource_id").isNotNull())
+        .distinct()
+    )
+
+
 def scope_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
     """(request_id, account_id, resource_id) of every settled request with a resource list.
 
@@ -156,19 +190,13 @@ def scope_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, i
     """
     good = parsed.where(F.col("status") == "ok")
     located = _by_target_name(good, targets).withColumn("name", normalize(F.col("target")))
-    resolved = _resolved(parsed, targets, members, instances)
-    single = _match_counts(resolved).where(F.col("matches") == 1).select("name")
-    ids = resolved.join(single, "name", "left_semi").select("name", "account_id", "resource_id").distinct()
-    extended = extend_with_clusters(ids, instances, ("name", "account_id"))
-    by_kind = ids.withColumn("with_clusters", F.lit(False)).unionByName(
-        extended.withColumn("with_clusters", F.lit(True))
-    )
-    loose = located.where(F.col("named_account").isNull()).select(
+    named = F.col("named_account").isNotNull()
+    loose = located.where(~named).select(
         "request_id", "name", F.col("mode").isin(*CLUSTER_MODES).alias("with_clusters")
     )
-    listed = located.where(
-        F.col("named_account").isNotNull() & F.col("mode").isin(*LISTING_MODES)
-    ).select("request_id", F.col("named_account").alias("account_id"))
+    listed = located.where(named & F.col("mode").isin(*LISTING_MODES)).select(
+        "request_id", F.col("named_account").alias("account_id")
+    )
     whole = listed.join(
         instances.where(F.col("identifier") != "").select(
             "account_id", F.col("identifier").alias("resource_id")
@@ -176,7 +204,7 @@ def scope_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, i
         "account_id",
     )
     return (
-        loose.join(by_kind, ["name", "with_clusters"])
+        loose.join(name_resources(parsed, targets, members, instances), ["name", "with_clusters"])
         .select("request_id", "account_id", "resource_id")
         .unionByName(whole.select("request_id", "account_id", "resource_id"))
     )

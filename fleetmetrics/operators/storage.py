@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import BYTES_PER_GIB
-from ..functions.rounding import even_round, steady
+from ..functions.rounding import even_round, round_steady, steady
 from .metrics import of_metric
 
 FREE, USED = "FreeStorageSpace", "VolumeBytesUsed"
@@ -63,13 +63,15 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
         F.avg("bytes").alias("mean_y"),
     )
     enough = F.col("history_days") >= MIN_HISTORY_POINTS
-    slope = F.coalesce("raw_slope", F.lit(0.0))
-    zero_in = F.col("mean_x") - F.col("mean_y") / F.col("slope") - F.col("last_x")
-    days = F.greatest(even_round(steady(zero_in)), F.lit(0.0)).try_cast("long")
+    fitted = fitted.withColumn("slope", F.coalesce("raw_slope", F.lit(0.0))).withColumn(
+        "zero_in", F.col("mean_x") - F.col("mean_y") / F.nullif(F.col("slope"), F.lit(0.0)) - F.col("last_x")
+    )
+    fitted = fitted.withColumn("zero_in", even_round(steady(F.col("zero_in"))))
+    fitted = round_steady(fitted.withColumn("trend", F.col("slope")), "trend", 2)
+    days = F.greatest(F.col("zero_in"), F.lit(0.0)).try_cast("long")
     room = F.date_diff(F.lit(_LAST_DAY), "latest_date")
     return (
-        fitted.withColumn("slope", slope)
-        .withColumn(
+        fitted.withColumn(
             "days_until_exhaustion",
             F.when(enough & (F.col("latest.storage_metric") == FREE) & (F.col("slope") < 0), days),
         )
@@ -79,7 +81,7 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
             "history_days",
             "latest_date",
             F.col("latest.bytes").alias("latest_value_bytes"),
-            F.when(enough, even_round(steady(F.col("slope")), 2)).alias("trend_bytes_per_day"),
+            F.when(enough, F.col("trend")).alias("trend_bytes_per_day"),
             F.when(
                 F.col("days_until_exhaustion") <= room,
                 F.date_add("latest_date", F.col("days_until_exhaustion").try_cast("int")),

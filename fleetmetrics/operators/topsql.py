@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import SQL_DISPLAY_LIMIT, SQL_TEXT_LIMIT, TRUNCATION_MARK
-from ..functions.rounding import even_round, steady
+from ..functions.rounding import round_steady
 from ..functions.validators import check_lookback_minutes
 
 IDLE_BELOW = 1.0
@@ -48,12 +48,13 @@ def average_load(samples: DataFrame, samples_in_window: int | None = None) -> Da
             F.count_distinct("sample_ts").alias("samples")
         )
         counted = summed.join(sample_counts, "resource_id")
-    return counted.select(
+    loads = counted.select(
         "resource_id",
         "sql_id",
         "sql_text",
-        even_round(steady(F.col("sessions") / F.col("samples")), 4).alias("avg_active_sessions"),
+        (F.col("sessions") / F.col("samples")).alias("avg_active_sessions"),
     )
+    return round_steady(loads, "avg_active_sessions", 4)
 
 
 def truncated(text: Column, limit: int = SQL_TEXT_LIMIT) -> Column:
@@ -103,22 +104,22 @@ def top_statements(loads: DataFrame, k: int = 10) -> DataFrame:
 
 def total_load(ranked: DataFrame) -> DataFrame:
     """Summed load of each resource's ranked statements, and whether it is near idle."""
-    total = even_round(steady(F.sum(F.coalesce("avg_active_sessions", F.lit(0.0)))), 4)
-    return (
-        ranked.groupBy("resource_id")
-        .agg(total.alias("total_active_sessions"), F.count("*").alias("ranked_statements"))
-        .withColumn(
-            "load_note", F.when(F.col("total_active_sessions") < IDLE_BELOW, "idle")
-        )
+    totals = ranked.groupBy("resource_id").agg(
+        F.sum(F.coalesce("avg_active_sessions", F.lit(0.0))).alias("total_active_sessions"),
+        F.count("*").alias("ranked_statements"),
+    )
+    return round_steady(totals, "total_active_sessions", 4).withColumn(
+        "load_note", F.when(F.col("total_active_sessions") < IDLE_BELOW, "idle")
     )
 
 
 def with_share(ranked: DataFrame) -> DataFrame:
     """Add each statement's share of its resource's ranked load (at most k rows per group)."""
     total = F.sum("avg_active_sessions").over(Window.partitionBy("resource_id"))
-    return ranked.withColumn(
-        "load_share", F.when(total > 0, even_round(steady(F.col("avg_active_sessions") / total), 4))
+    shared = ranked.withColumn("ranked_load", total).withColumn(
+        "load_share", F.when(F.col("ranked_load") > 0, F.col("avg_active_sessions") / F.col("ranked_load"))
     )
+    return round_steady(shared.drop("ranked_load"), "load_share", 4)
 
 
 def normalize_findings(findings: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.dedup import deduplicate
-from ..operators.flatten import curated_rows, fail_on_reject, headers, points, rejects
+from ..operators.flatten import REASON, headers, rejects, rows_of
+from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import register_curated, write_curated
 from ..sources.raw import list_objects, object_counts, read_raw
 
@@ -33,8 +34,6 @@ def curate(
     observed while the one write job runs; ``file_stats`` adds a listing of the
     files written.
     """
-    if on_error not in ("fail", "quarantine"):
-        raise ValueError(f"on_error must be 'fail' or 'quarantine', got {on_error!r}")
     started = datetime.now(timezone.utc)
     raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line)
     if raw.select("source_file").isEmpty():
@@ -46,11 +45,7 @@ def curate(
         F.count(F.lit(1)).alias("raw_payload_count"),
         F.count_if(F.size("datapoints") == 0).alias("no_data_payload_count"),
     )
-    if on_error == "fail":
-        rows = curated_rows(fail_on_reject(points(fail_on_reject(payloads))))
-    else:
-        rows = curated_rows(points(payloads))
-    rows = rows.observe(flat, F.count(F.lit(1)).alias("raw_datapoint_count"))
+    rows = rows_of(payloads, on_error).observe(flat, F.count(F.lit(1)).alias("raw_datapoint_count"))
     latest = deduplicate(rows).observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
     write_curated(latest, curated_root)
 
@@ -71,13 +66,12 @@ def curate(
 def written_files(spark: SparkSession, root: str, since: datetime) -> dict[str, int]:
     """Files, hours and bytes that appeared under ``root`` since a moment."""
     stamp = since.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
-    zone = spark.conf.get("spark.sql.session.timeZone")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .option("modifiedAfter", stamp)
-        .option("timeZone", "UTC" if zone is None else "UTC")
+        .option("timeZone", "UTC")
         .load(root)
         .select("path", "length")
     )
@@ -91,15 +85,13 @@ def written_files(spark: SparkSession, root: str, since: datetime) -> dict[str,
 
 def refresh_statistics(raw: DataFrame) -> DataFrame:
     """The refresh counts of a set of payloads as one row, without writing anything."""
-    from ..schemas import PARTITION_COLUMNS
-
     header_rows = headers(raw)
-    rows = curated_rows(points(header_rows))
+    rows = rows_of(header_rows, "quarantine")
     latest = deduplicate(rows)
     payload_counts = header_rows.agg(
         F.count(F.lit(1)).alias("raw_payload_count"),
         F.count_if(F.size("datapoints") == 0).alias("no_data_payload_count"),
-        F.sum(F.size("datapoints")).alias("raw_datapoint_count"),
+        F.sum(F.when(F.col(REASON).isNull(), F.size("datapoints"))).alias("raw_datapoint_count"),
     )
     curated_counts = (
         latest.groupBy(*PARTITION_COLUMNS)

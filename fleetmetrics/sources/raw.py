@@ -132,9 +132,11 @@ def write_raw(payloads: DataFrame, root: str) -> None:
 
     ``date`` is the collection date. The partition columns are copies, except
     ``region``, which the path carries for the payload (the scan falls back on
-    it). Nothing is shuffled: each task writes the payloads it built. Read the
-    result with ``read_raw(..., multi_line=False)``.
+    it). Payloads are rebalanced by directory, so that not every task leaves a
+    small file in every directory. Read the result with
+    ``read_raw(..., multi_line=False)``.
     """
+    layout = ("account_id", "region", "metric", "date")
     (
         payloads.withColumns(
             {
@@ -143,7 +145,8 @@ def write_raw(payloads: DataFrame, root: str) -> None:
                 "date": F.date_format(parse_utc(F.col("end_time")), "yyyy-MM-dd"),
             }
         )
+        .hint("rebalance", *layout)
         .write.mode("append")
-        .partitionBy("account_id", "region", "metric", "date")
+        .partitionBy(*layout)
         .json(root)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import LIVE_STATS
-from ..operators.metrics import stat_expressions
+from ..operators.metrics import raw_stats, rounded_stats
 
 
 def sliding_health(
@@ -24,10 +24,11 @@ def sliding_health(
     return (
         timed.withWatermark("event_time", late_by)
         .groupBy(F.window("event_time", window, slide).alias("w"), "resource_id")
-        .agg(*stat_expressions(LIVE_STATS))
+        .agg(*raw_stats(LIVE_STATS))
         .select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"),
             F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-            *[c for c in ["resource_id", *[column for _, _, column, _ in LIVE_STATS]]],
+            "resource_id",
+            *rounded_stats(LIVE_STATS),
         )
     )
