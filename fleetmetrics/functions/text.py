@@ -12,10 +12,10 @@ from .rounding import even_round
 
 def number_text(x: Column) -> Column:
     """A double as plain decimal text (never ``1.5E10``), with at least one decimal."""
+    shown = x.cast("string")
     digits = F.regexp_replace(x.try_cast("decimal(38,10)").cast("string"), r"0+$", "")
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    usual = (F.abs(x) < 1e7) & ((F.abs(x) >= 1e-3) | (x == 0))
-    return F.when(usual, x.cast("string")).otherwise(F.coalesce(plain, x.cast("string")))
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    return F.when(F.contains(shown, F.lit("E")), F.coalesce(plain, shown)).otherwise(shown)
 
 
 def _text(df: DataFrame, column: str) -> Column:
@@ -66,13 +66,14 @@ def forecast_line(df: DataFrame) -> DataFrame:
 
 def _change(column: str) -> Column:
     """``column=now (prev=..., change=...%)``, whatever of it is known."""
-    detail = F.concat_ws(
-        ", ",
-        pair("prev", number_text(F.col(f"{column}_previous"))),
-        F.concat(pair("change", number_text(F.col(f"{column}_change_pct"))), F.lit("%")),
+    change = F.concat(F.lit(", change="), number_text(F.col(f"{column}_change_pct")), F.lit("%"))
+    previous = F.concat(
+        F.lit(" (prev="),
+        number_text(F.col(f"{column}_previous")),
+        F.coalesce(change, F.lit("")),
+        F.lit(")"),
     )
-    now = pair(column, number_text(F.col(column)))
-    return F.when(detail == "", now).otherwise(F.concat(now, F.lit(" ("), detail, F.lit(")")))
+    return F.concat(pair(column, number_text(F.col(column))), F.coalesce(previous, F.lit("")))
 
 
 def monthly_line(df: DataFrame) -> DataFrame:

@@ -52,12 +52,13 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
     is NULL while its day count stays.
     """
     points = storage_points(history).withColumn("x", F.date_diff("date", F.lit(anchor)))
-    latest = F.struct("bytes", "storage_metric")
+    is_free = F.col("storage_metric") == FREE
     fitted = points.groupBy("resource_id").agg(
         F.count("*").cast("int").alias("history_days"),
         F.max("date").alias("latest_date"),
         F.max("x").alias("last_x"),
-        F.max_by(latest, F.col("x")).alias("latest"),
+        F.max_by("bytes", "x").alias("latest_value_bytes"),
+        F.max_by(is_free, F.col("x")).alias("is_free"),
         F.regr_slope("bytes", "x").alias("raw_slope"),
         F.avg("x").alias("mean_x"),
         F.avg("bytes").alias("mean_y"),
@@ -73,14 +74,14 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
     return (
         fitted.withColumn(
             "days_until_exhaustion",
-            F.when(enough & (F.col("latest.storage_metric") == FREE) & (F.col("slope") < 0), days),
+            F.when(enough & F.col("is_free") & (F.col("slope") < 0), days),
         )
         .select(
             "resource_id",
-            F.col("latest.storage_metric").alias("storage_metric"),
+            F.when(F.col("is_free"), FREE).otherwise(USED).alias("storage_metric"),
             "history_days",
             "latest_date",
-            F.col("latest.bytes").alias("latest_value_bytes"),
+            "latest_value_bytes",
             F.when(enough, F.col("trend")).alias("trend_bytes_per_day"),
             F.when(
                 F.col("days_until_exhaustion") <= room,

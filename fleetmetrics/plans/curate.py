@@ -98,8 +98,9 @@ def refresh_statistics(raw: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"))
         .agg(F.sum("rows").alias("curated_row_count"), F.count(F.lit(1)).alias("partition_count"))
     )
-    # Two single rows side by side.
-    return payload_counts.join(curated_counts, F.lit(True)).withColumn(
+    counts = payload_counts.unionByName(curated_counts, allowMissingColumns=True)
+    row = counts.agg(*[F.max(c).alias(c) for c in counts.columns])
+    return row.withColumn(
         "duplicates_removed", F.col("raw_datapoint_count") - F.col("curated_row_count")
     )
 

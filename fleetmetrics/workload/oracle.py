@@ -503,7 +503,7 @@ _CATALOGUE = """
  ('CPUCreditBalance','Minimum','Count'), ('BurstBalance','Minimum','Percent')) AS c(metric_name, statistic, unit)"""
 
 _PLAN_SQL = f"""
-SELECT p.* EXCLUDE (metrics, metric_name), metric_pos::INTEGER AS metric_pos, metric_name, statistic, unit
+SELECT p.* EXCLUDE (metrics, metric_name, metric_pos), metric_pos::INTEGER AS metric_pos, metric_name, statistic, unit
 FROM (SELECT *, unnest(metrics) AS metric_name, generate_subscripts(metrics, 1) - 1 AS metric_pos
       FROM ({_PLANNED})) p JOIN {_CATALOGUE} USING (metric_name)"""
 
