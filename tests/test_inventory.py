@@ -79,8 +79,7 @@ def test_names_equal_brute_force(spark):
     found = resolve(spark, names, fleet, alone)
     for name in names:
         expected = _brute(name, fleet, alone)
-        got = found.get(name.strip().lower(), [])
-        assert got == expected if len(expected) > 1 or expected else got == [], name
+        assert found.get(name.strip().lower(), []) == expected, name
 
 
 def test_name_search_has_no_nested_loop(spark):
