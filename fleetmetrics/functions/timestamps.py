@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, functions as F
 
 _OFFSET = r":\d{2}.*[+-]\d{2}(:?\d{2})?$"
 
 
+def utc_literal(moment: datetime) -> Column:
+    """A naive UTC (or any aware) ``datetime`` as a TIMESTAMP_NTZ literal."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def utc_to_instant(ts: Column) -> Column:
+    """A naive UTC timestamp as the TIMESTAMP instant it stands for."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
+
+
 def instant_to_utc(ts: Column) -> Column:
     """A TIMESTAMP instant as the naive UTC timestamp (TIMESTAMP_NTZ)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import BASELINE_STATS, HEALTH_STATS, LIVE_STATS, stat_columns
 from ..functions.rounding import sql_round
+from ..functions.timestamps import utc_literal
 from ..functions.validators import check_lookback_minutes
 from .metrics import wide_stats
 
@@ -42,8 +43,8 @@ def live_rows(curated: DataFrame, as_of: datetime, lookback_minutes: int) -> Dat
     sampled = F.col("metric_timestamp")
     return curated.where(
         F.col("date").between(start.date(), as_of.date())
-        & (sampled > F.lit(start).cast("timestamp_ntz"))
-        & (sampled <= F.lit(as_of).cast("timestamp_ntz"))
+        & (sampled > utc_literal(start))
+        & (sampled <= utc_literal(as_of))
     )
 
 

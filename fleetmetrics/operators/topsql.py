@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import SQL_DISPLAY_LIMIT, SQL_TEXT_LIMIT, TRUNCATION_MARK
 from ..functions.rounding import round_steady
+from ..functions.timestamps import utc_literal
 from ..functions.validators import check_lookback_minutes
 
 IDLE_BELOW = 1.0
@@ -26,8 +27,8 @@ def load_window(sql_load: DataFrame, as_of: datetime, lookback_minutes: int) ->
     start = as_of - timedelta(minutes=lookback_minutes)
     sampled = F.col("sample_ts")
     return sql_load.where(
-        (sampled > F.lit(start).cast("timestamp_ntz"))
-        & (sampled <= F.lit(as_of).cast("timestamp_ntz"))
+        (sampled > utc_literal(start))
+        & (sampled <= utc_literal(as_of))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import LIVE_STATS
+from ..functions.timestamps import instant_to_utc, utc_to_instant
 from ..operators.metrics import raw_stats, rounded_stats
 
 
@@ -20,14 +21,14 @@ def sliding_health(
     watermark then has no effect. State per (window, resource) is one fixed-size
     aggregation buffer.
     """
-    timed = curated_stream.withColumn("event_time", F.col("metric_timestamp").cast("timestamp"))
+    timed = curated_stream.withColumn("event_time", utc_to_instant(F.col("metric_timestamp")))
     return (
         timed.withWatermark("event_time", late_by)
         .groupBy(F.window("event_time", window, slide).alias("w"), "resource_id")
         .agg(*raw_stats(LIVE_STATS))
         .select(
-            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            instant_to_utc(F.col("w.start")).alias("window_start"),
+            instant_to_utc(F.col("w.end")).alias("window_end"),
             "resource_id",
             *rounded_stats(LIVE_STATS),
         )

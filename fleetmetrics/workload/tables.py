@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog import metric_catalogue
-from ..functions.timestamps import iso_utc
+from ..functions.timestamps import iso_utc, utc_literal
 from ..schemas import CLUSTER_MEMBERS, CLUSTERS, CURATED, FINDINGS, INSTANCES, SQL_LOAD, TARGETS
 
 ACCOUNT = "000000000001"
@@ -65,17 +65,24 @@ EVENT_METRICS = (
 )
 
 
-def events(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
-    """Events of an inclusive range of days (all days by default)."""
-    rows = table(spark, sf_dir, "events")
+def _midnight(day: date) -> Column:
+    return utc_literal(datetime.combine(day, datetime.min.time()))
+
+
+def _within(rows: DataFrame, column: str, start: date | None, end: date | None) -> DataFrame:
+    """Rows whose timestamp lies in an inclusive range of days."""
     if start is not None:
-        rows = rows.where(F.col("ts") >= F.lit(datetime.combine(start, datetime.min.time())).cast("timestamp_ntz"))
+        rows = rows.where(F.col(column) >= _midnight(start))
     if end is not None:
-        after = datetime.combine(end, datetime.min.time()) + timedelta(days=1)
-        rows = rows.where(F.col("ts") < F.lit(after).cast("timestamp_ntz"))
+        rows = rows.where(F.col(column) < _midnight(end + timedelta(days=1)))
     return rows
 
 
+def events(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Events of an inclusive range of days (all days by default)."""
+    return _within(table(spark, sf_dir, "events"), "ts", start, end)
+
+
 def events_as_curated(
     spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None
 ) -> DataFrame:
@@ -191,7 +198,7 @@ def response_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = events(spark, sf_dir).select(
         "user_id",
         event_metric().alias("query_id"),
-        F.expr("timestampadd(SECOND, -(minute(ts) % 5) * 60, date_trunc('MINUTE', ts))").alias("period_start"),
+        F.expr("ts - make_dt_interval(0, 0, minute(ts) % 5, extract(SECOND FROM ts))").alias("period_start"),
         "value",
     )
     averaged = period.groupBy("user_id", "query_id", "period_start").agg(F.avg("value").alias("value"))
@@ -252,9 +259,7 @@ def storage_as_curated(
     20,000 MiB, odd ones what is used. Quantities are summed per supplier and
     day before the running sum, so a supplier of any size is a short series.
     """
-    shipped = table(spark, sf_dir, "lineitem")
-    if end is not None:
-        shipped = shipped.where(F.col("l_shipdate") < F.lit(end + timedelta(days=1)).cast("timestamp_ntz"))
+    shipped = _within(table(spark, sf_dir, "lineitem"), "l_shipdate", None, end)
     daily = (
         shipped.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
         .agg(F.sum("l_quantity").alias("quantity"))
@@ -278,11 +283,7 @@ def orders_as_curated(
     spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None
 ) -> DataFrame:
     """Orders as metric samples: one resource per customer nation and segment."""
-    orders = table(spark, sf_dir, "orders")
-    if start is not None:
-        orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        orders = orders.where(F.col("o_orderdate") < F.lit(end + timedelta(days=1)).cast("timestamp_ntz"))
+    orders = _within(table(spark, sf_dir, "orders"), "o_orderdate", start, end)
     customer = table(spark, sf_dir, "customer")
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
