@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,14 +26,14 @@ def _touched_rows(spark: SparkSession, curated_root: str, touched: DataFrame) ->
     """
     try:
         existing = spark.read.schema(CURATED).parquet(curated_root)
-    except Exception as error:  # noqa: BLE001 - only a missing table is expected
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    some = touched.limit(MAX_LISTED_HOURS + 1).collect()
-    if len(some) <= MAX_LISTED_HOURS:
+    listed = touched.limit(MAX_LISTED_HOURS + 1).collect()
+    if len(listed) <= MAX_LISTED_HOURS:
         for column in PARTITION_COLUMNS:
-            existing = existing.where(F.col(column).isin(sorted({row[column] for row in some})))
+            existing = existing.where(F.col(column).isin(sorted({row[column] for row in listed})))
     return existing.join(touched, list(PARTITION_COLUMNS), "left_semi")
 
 
@@ -39,14 +41,21 @@ def merge_batch(batch: DataFrame, curated_root: str, on_error: str = "fail") ->
     """Merge one batch of payloads into the curated table.
 
     The touched hours are read back, united with the new rows, de-duplicated
-    and overwritten as a whole, so replaying a batch changes nothing.
+    and overwritten as a whole, so replaying a batch changes nothing. The new
+    rows are used three times (hours, pruning, merge), hence kept while the
+    batch runs; a lost executor only means parsing its files again.
     """
     spark = batch.sparkSession
-    fresh = deduplicate(flatten(batch, on_error))
-    touched = fresh.select(*PARTITION_COLUMNS).distinct()
-    existing = _touched_rows(spark, curated_root, touched)
-    rows = fresh if existing is None else deduplicate(fresh.unionByName(existing.select(*fresh.columns)))
-    write_curated(rows, curated_root)
+    fresh = deduplicate(flatten(batch, on_error)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        touched = fresh.select(*PARTITION_COLUMNS).distinct()
+        existing = _touched_rows(spark, curated_root, touched)
+        rows = fresh
+        if existing is not None:
+            rows = deduplicate(fresh.unionByName(existing.select(*fresh.columns)))
+        write_curated(rows, curated_root)
+    finally:
+        fresh.unpersist()
 
 
 def incremental_curate(
