@@ -118,3 +118,11 @@ def top_sql_line(df: DataFrame) -> DataFrame:
         keep_missing=("avg_active_sessions", "sql_id", "sql_text_truncated", "sql_text"),
     )
     return df.withColumn("line", F.concat(start, body))
+
+
+def show_table(df: DataFrame, rows: int = 1000) -> None:
+    """Print a report-sized frame as an aligned table; NULL is blank."""
+    if df.isEmpty():
+        print("(no rows)")
+        return
+    df.select(*[F.coalesce(_text(df, c), F.lit("")).alias(c) for c in df.columns]).show(rows, truncate=False)

@@ -26,3 +26,10 @@ def deduplicate(rows: DataFrame) -> DataFrame:
         .where(F.col("_rank") == 1)
         .drop("_rank", POSITION)
     )
+
+
+def merge_hours(fresh: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """De-duplicated new rows together with what their hours already hold."""
+    if existing is None:
+        return fresh
+    return deduplicate(fresh.unionByName(existing.select(*fresh.columns)))

@@ -7,10 +7,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.dedup import deduplicate
+from ..operators.dedup import deduplicate, merge_hours
 from ..operators.flatten import REASON, headers, rejects, rows_of
 from ..schemas import PARTITION_COLUMNS
-from ..sources.curated import register_curated, write_curated
+from ..sources.curated import hours_of, register_curated, write_curated
 from ..sources.raw import list_objects, object_counts, read_raw
 
 
@@ -29,11 +29,14 @@ def curate(
     """Flatten, de-duplicate and write every raw payload; return refresh statistics.
 
     Only the hours that occur in the input are overwritten, so running twice
-    gives the same table. With ``on_error="quarantine"`` and a root for it, the
+    gives the same table. With ``collection_dates`` the refresh reads only the
+    payloads collected on those days and merges them into the hours they touch.
+    With ``on_error="quarantine"`` and a root for it, the
     refused rows are written there with their reasons. The row statistics are
     observed while the one write job runs; ``file_stats`` adds a listing of the
     files written.
     """
+    collection_dates = None if collection_dates is None else list(collection_dates)
     started = datetime.now(timezone.utc)
     raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line)
     if raw.select("source_file").isEmpty():
@@ -47,6 +50,10 @@ def curate(
     )
     rows = rows_of(payloads, on_error).observe(flat, F.count(F.lit(1)).alias("raw_datapoint_count"))
     latest = deduplicate(rows).observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
+    if collection_dates is not None:
+        # Part of the payloads only: their hours may hold samples of the others.
+        touched = rows_of(headers(raw), on_error).select(*PARTITION_COLUMNS).distinct()
+        latest = merge_hours(latest, hours_of(spark, curated_root, touched))
     write_curated(latest, curated_root)
 
     if on_error == "quarantine" and quarantine_root:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.validators import check_account_id, check_date, check_region, check_resource_id
 from ..schemas import CURATED, PARTITION_COLUMNS
 
+# With more hours than this, hours are joined only, not also listed as literals
+# for directory pruning.
+MAX_LISTED_HOURS = 2000
+
 ROW_ORDER = ("metric_timestamp", "resource_id", "metric_name")
 
 
@@ -38,6 +43,38 @@ def read_curated(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(CURATED).parquet(root)
 
 
+def read_curated_or_none(spark: SparkSession, root: str) -> DataFrame | None:
+    """The curated table, or None while nothing has been written."""
+    try:
+        return read_curated(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """The curated table as optional enrichment: empty while there is none."""
+    table = read_curated_or_none(spark, root)
+    return empty_curated(spark) if table is None else table
+
+
+def hours_of(spark: SparkSession, root: str, hours: DataFrame) -> DataFrame | None:
+    """Curated rows of the given hours (partition values), or None before the first write.
+
+    The hours are joined exactly. While they are few, their values also go into
+    the partition filters so that other directories are not even listed.
+    """
+    existing = read_curated_or_none(spark, root)
+    if existing is None:
+        return None
+    listed = hours.limit(MAX_LISTED_HOURS + 1).collect()
+    if len(listed) <= MAX_LISTED_HOURS:
+        for column in PARTITION_COLUMNS:
+            existing = existing.where(F.col(column).isin(sorted({row[column] for row in listed})))
+    return existing.join(hours, list(PARTITION_COLUMNS), "left_semi")
+
+
 def register_curated(spark: SparkSession, table: str, root: str) -> None:
     """Make ``table`` an external table over ``root`` and add its new partitions."""
     if not spark.catalog.tableExists(table):

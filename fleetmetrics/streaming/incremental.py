@@ -3,39 +3,15 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import deduplicate
+from ..operators.dedup import deduplicate, merge_hours
 from ..operators.flatten import flatten
-from ..schemas import CURATED, PARTITION_COLUMNS
-from ..sources.curated import write_curated
+from ..schemas import PARTITION_COLUMNS
+from ..sources.curated import hours_of, write_curated
 from ..sources.raw import scan_options, scan_schema, with_origin
 
-# With more touched hours than this the hours are joined only, not also listed
-# as literals for directory pruning.
-MAX_LISTED_HOURS = 2000
-
-
-def _touched_rows(spark: SparkSession, curated_root: str, touched: DataFrame) -> DataFrame | None:
-    """Curated rows of the touched hours, or None before the first write.
-
-    The hours are joined exactly. While they are few, their values also go into
-    the partition filters so that other directories are not even listed.
-    """
-    try:
-        existing = spark.read.schema(CURATED).parquet(curated_root)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    listed = touched.limit(MAX_LISTED_HOURS + 1).collect()
-    if len(listed) <= MAX_LISTED_HOURS:
-        for column in PARTITION_COLUMNS:
-            existing = existing.where(F.col(column).isin(sorted({row[column] for row in listed})))
-    return existing.join(touched, list(PARTITION_COLUMNS), "left_semi")
-
 
 def merge_batch(batch: DataFrame, curated_root: str, on_error: str = "fail") -> None:
     """Merge one batch of payloads into the curated table.
@@ -49,11 +25,7 @@ def merge_batch(batch: DataFrame, curated_root: str, on_error: str = "fail") ->
     fresh = deduplicate(flatten(batch, on_error)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         touched = fresh.select(*PARTITION_COLUMNS).distinct()
-        existing = _touched_rows(spark, curated_root, touched)
-        rows = fresh
-        if existing is not None:
-            rows = deduplicate(fresh.unionByName(existing.select(*fresh.columns)))
-        write_curated(rows, curated_root)
+        write_curated(merge_hours(fresh, hours_of(spark, curated_root, touched)), curated_root)
     finally:
         fresh.unpersist()
 
@@ -66,17 +38,20 @@ def incremental_curate(
     on_error: str = "fail",
     max_files_per_trigger: int = 100_000,
     multi_line: bool = True,
+    partitioned_only: bool = False,
 ) -> StreamingQuery:
     """Process every raw file not seen before, then stop (``availableNow``).
 
     Progress lives in ``checkpoint_root``, which must be shared storage. A batch
-    that fails between hours is replayed from the raw files.
+    that fails between hours is replayed from the raw files. ``partitioned_only``
+    leaves out objects without an account partition.
     """
+    source = f"{raw_root.rstrip('/')}/account_id=*" if partitioned_only else raw_root
     stream = (
         spark.readStream.schema(scan_schema())
         .options(**scan_options(multi_line))
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(raw_root)
+        .json(source)
     )
     return (
         with_origin(stream, raw_root)

@@ -189,6 +189,11 @@ def test_objects_without_an_account_partition_are_skipped_and_counted(spark, tmp
     assert (counts.partitioned_count, counts.skipped_count) == (1, 1)
     stats = curate(spark, str(tmp_path / "raw"), str(tmp_path / "out"), partitioned_only=True)
     assert (stats["raw_payload_count"], stats["skipped_object_count"]) == (1, 1)
+    streamed = str(tmp_path / "streamed")
+    incremental_curate(
+        spark, str(tmp_path / "raw"), streamed, str(tmp_path / "progress"), partitioned_only=True
+    ).awaitTermination()
+    assert read_curated(spark, streamed).count() == 1
 
 
 def test_collection_dates_narrow_the_listing(spark, tmp_path):
@@ -248,3 +253,31 @@ def test_timestamps_are_naive(spark, tmp_path):
     curate(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     row = read_curated(spark, str(tmp_path / "out")).first()
     assert row.metric_timestamp == datetime(2026, 8, 19, 6, 55)
+
+
+def test_refresh_by_collection_date_equals_whole_refresh(spark, tmp_path):
+    raw = tmp_path / "raw"
+    for day, other in (("2026-08-19", "2026-08-18"), ("2026-08-20", "2026-08-19")):
+        for i in range(3):
+            # Each day's payloads also bring samples of the day before.
+            points = [
+                {"timestamp": f"{other}T23:{10 * i + 5:02d}:00Z", "value": i},
+                {"timestamp": f"{day}T23:0{i}:00Z", "value": 10 + i},
+            ]
+            document = payload(collected_at=f"{day}T23:30:00Z", datapoints=points)
+            write_payload(raw, f"{PLACE.replace('2026-08-19', day)}/{i}.json", document)
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    curate(spark, str(raw), whole)
+    for day in ("2026-08-19", "2026-08-20"):
+        stats = curate(spark, str(raw), parts, collection_dates=[day])
+        assert (stats["raw_payload_count"], stats["curated_row_count"]) == (3, 6)
+    expected = rows_of(read_curated(spark, whole), *CURATED.fieldNames())
+    assert len(expected) == 12
+    assert rows_of(read_curated(spark, parts), *CURATED.fieldNames()) == expected
+
+
+def test_missing_history_is_empty(spark, tmp_path):
+    from fleetmetrics.sources.curated import read_history
+
+    table = read_history(spark, str(tmp_path / "never"))
+    assert table.schema.fieldNames() == CURATED.fieldNames() and table.isEmpty()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmetrics.functions import calendar, validators
 from fleetmetrics.functions.rounding import even_round, sql_round, steady
-from fleetmetrics.functions.text import number_text
+from fleetmetrics.functions.text import number_text, show_table
 from fleetmetrics.functions.timestamps import iso_utc, parse_utc
 
 
@@ -122,6 +122,13 @@ def test_calendar_edges(spark):
         calendar.previous_month("2026-13")
 
 
+def test_show_table(spark, capsys):
+    show_table(spark.createDataFrame([("a", None, 1.5e10)], "k string, n int, x double"))
+    assert "|a  |   |15000000000.0|" in capsys.readouterr().out
+    show_table(spark.createDataFrame([], "k string"))
+    assert capsys.readouterr().out == "(no rows)\n"
+
+
 def test_number_text_survives_extremes(spark):
     df = spark.createDataFrame([(1e300,), (float("inf"),)], "x double")
     assert all(isinstance(r[0], str) and not math.isnan(len(r[0])) for r in df.select(number_text(F.col("x"))).collect())

@@ -75,7 +75,16 @@ def test_health_for_named_resources_only(spark):
 # ---- live health ----------------------------------------------------------
 
 
-def test_live_health_has_a_row_for_every_requested_id_in_order(spark):
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Seoul"])
+def test_live_health_has_a_row_for_every_requested_id_in_order(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _check_live_health(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _check_live_health(spark):
     now = at("2026-08-20T12:00:00")
     data = curated(
         spark,
