@@ -90,7 +90,7 @@ def response_datapoints(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new directory under the cluster's shared checkpoint folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fleetmetrics-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetmetrics-")
     return f"{shared.rstrip('/')}/fleetmetrics-{uuid.uuid4().hex}"
 
 
