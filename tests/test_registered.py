@@ -6,7 +6,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fleetmetrics.workload.oracle import ORACLES
+from fleetmetrics.workload.queries import QUERIES
 
 from .compare import connect, difference, oracle_result, spark_result
 
@@ -20,16 +22,16 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_oracle(spark, con, name):
-    mine = spark_result(spark, queries()[name], SF_DIR)
+    mine = spark_result(spark, QUERIES[name], SF_DIR)
     assert mine[1], "no rows"
-    assert difference(mine, oracle_result(con, oracle_sql()[name])) is None
+    assert difference(mine, oracle_result(con, ORACLES[name])) is None
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_plan_has_no_python_and_no_cross_join(spark, name):
-    plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for node in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop"):
         assert node not in plan
 
@@ -41,4 +43,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
