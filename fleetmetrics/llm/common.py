@@ -76,6 +76,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_built: dict[str, object] = {}
+
+
+def built_once(key: str, build):
+    """What ``build()`` makes, kept in the Python worker until another key is asked for."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build()
+    return _built[key]
+
+
 # ---------------------------------------------------------------- columns
 
 
