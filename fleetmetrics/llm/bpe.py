@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,13 +30,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import built_once
 
 #: The pattern that splits a text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered in a worker; only speed depends on it.
-MEMORY = 150_000
+MEMORY = 300_000
+NO_RANK = 1 << 40
+TEXTS = 1024
+
+
+def _unsure() -> frozenset[str]:
+    """Letters and numbers newer than the interpreter's Unicode tables: libraries differ on them."""
+    new = "".join(chr(p) for p in range(0x110000) if unicodedata.category(chr(p)) == "Cn")
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", new))
 
 
 def byte_letters() -> list[str]:
@@ -54,10 +64,10 @@ class Bpe:
     def __init__(self, content: str):
         spec = json.loads(content)
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        self.byte_ids = [vocab.get(letter, -1) for letter in letters]
-        self.ranks: dict[int, tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(spec["model"]["merges"]):
-            self.ranks.setdefault(vocab[left] << 32 | vocab[right], (rank, vocab[left + right]))
+        self.byte_ids = np.array([vocab.get(letter, -1) for letter in letters], np.int64)
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]]
+        pairs = np.array([a << 32 | b for a, b, _ in self.merges], np.int64)
+        self._pairs, self._pair_rank = np.unique(pairs, return_index=True)
         value = {letter: byte for byte, letter in enumerate(letters)}
         self.pieces = {i: bytes(value[c] for c in token) for token, i in vocab.items() if all(c in value for c in token)}
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
@@ -65,58 +75,80 @@ class Bpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self._split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self._words = regex.compile(PATTERN)
+        self._unsure = _unsure()
+        self._splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         self._known: dict[str, list[int]] = {}
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, all merged together through the pair occurrence index."""
-        symbol = [self.byte_ids[b] for word in words for b in word]
-        size = len(symbol)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        at = 0
-        for word in words:
-            if word:
-                before[at] = -1
-                at += len(word)
-                after[at - 1] = -1
-        ranks = self.ranks
-        places: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int]] = {}
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        symbol = self.byte_ids[data]
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends[sizes > 0] - 1] = -1
+        before[(ends - sizes)[sizes > 0]] = -1
+        places: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
-        def note(left: int, right: int) -> None:
-            found = ranks.get(symbol[left] << 32 | symbol[right])
-            if found is not None:
-                rank = found[0]
-                if rank in places:
-                    places[rank].append(left)
-                else:
-                    places[rank] = [left]
-                    pair_of[rank] = (symbol[left] << 32 | symbol[right], found[1])
-                    heapq.heappush(active, rank)
-
-        for left in range(size):
-            if after[left] >= 0:
-                note(left, after[left])
+        def note(left: np.ndarray) -> None:
+            """Enter these places of a pair into the index, if the pair has a rank."""
+            rank = self.rank_of(symbol[left], symbol[after[left]])
+            ranked = np.flatnonzero(rank < NO_RANK)
+            if not len(ranked):
+                return
+            order = ranked[np.argsort(rank[ranked], kind="stable")]
+            rank, left = rank[order], left[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, part in zip(rank[np.append(0, cuts)].tolist(), np.split(left, cuts)):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(active, r)
+                places[r].append(part)
+
+        note(np.flatnonzero(after >= 0))
         while active:
             rank = heapq.heappop(active)
-            pair, product = pair_of.pop(rank)
-            for left in sorted(places.pop(rank)):
-                right = after[left] if symbol[left] >= 0 else -1
-                if right < 0 or symbol[left] << 32 | symbol[right] != pair:
-                    continue  # a merge of a lower rank, or of the same pair to the left, used it
-                symbol[left], symbol[right] = product, -1
-                beyond = after[right]
-                after[left] = beyond
-                if beyond >= 0:
-                    before[beyond] = left
-                    note(left, beyond)
-                if before[left] >= 0:
-                    note(before[left], left)
-        out, at = [], 0
-        for word in words:
-            out.append([s for s in symbol[at : at + len(word)] if s >= 0])
-            at += len(word)
-        return out
+            lists = places.pop(rank)
+            left = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            first, second, product = self.merges[rank]
+            # A merge of a lower rank may have used a place.
+            left = left[symbol[left] == first]
+            left = left[after[left] >= 0]
+            left = left[symbol[after[left]] == second]
+            if not len(left):
+                continue
+            right = after[left]
+            if first == second:  # in a run of equal symbols, pairs go from the left
+                n = np.arange(len(left))
+                begins = np.append(True, left[1:] != right[:-1])
+                left = left[(n - np.maximum.accumulate(np.where(begins, n, 0))) % 2 == 0]
+                right = after[left]
+            symbol[left], symbol[right] = product, -1
+            beyond = after[right]
+            after[left] = beyond
+            inner = beyond >= 0
+            before[beyond[inner]] = left[inner]
+            ahead = before[left]
+            note(np.unique(np.concatenate((left[inner], ahead[ahead >= 0]))))
+        alive = symbol >= 0
+        counts = np.concatenate(([0], np.cumsum(alive)))
+        ids = symbol[alive].tolist()
+        return [ids[x:y] for x, y in zip(counts[ends - sizes].tolist(), counts[ends].tolist())]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair, NO_RANK if it has none."""
+        if not len(self._pairs):
+            return np.full(len(left), NO_RANK)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._pair_rank[at], NO_RANK)
+
+    def words(self, text: str) -> list[str]:
+        """``text`` cut into words; where Unicode versions disagree, as the library cuts it."""
+        if text.isascii() or self._unsure.isdisjoint(text):
+            return self._words.findall(text)
+        return [text[a:b] for _, (a, b) in self._splitter.pre_tokenize_str(text)]
 
     def _learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self._known]
@@ -125,20 +157,25 @@ class Bpe:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of each."""
-        ids: list[int] = []
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        for n, text in enumerate(texts):
+        cut: list[list[str | int]] = []
+        for text in texts:
+            words: list[str | int] = []
             for part in self._split.split(text or "") if self._split else (text or "",):
                 if part in self.added:
-                    ids.append(self.added[part])
+                    words.append(self.added[part])
                 elif part:
-                    words = self._words.findall(part)
-                    if len(self._known) > MEMORY:
-                        self._known.clear()
-                    self._learn(set(words))
-                    known = self._known
-                    for word in words:
-                        ids += known[word]
+                    words += self.words(part)
+            cut.append(words)
+        if len(self._known) > MEMORY:
+            self._known.clear()
+        self._learn({w for words in cut for w in words if type(w) is str})
+        known, ids, offsets = self._known, [], np.zeros(len(texts) + 1, np.int64)
+        for n, words in enumerate(cut):
+            for word in words:
+                if type(word) is str:
+                    ids += known[word]
+                else:
+                    ids.append(word)
             offsets[n + 1] = len(ids)
         return np.array(ids, np.int32), offsets
 
@@ -160,9 +197,9 @@ def encoded(docs: DataFrame, path: str, column: str = "text", decode: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built_once(key, lambda: Bpe(content.value))
         for batch in batches:
-            # a few hundred texts at a time keep the id lists of a batch small
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            # so many texts at a time: the lists of a batch stay small
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 flat, offsets = bpe.encode_all(part.column(place).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 columns = [*part.columns, ids]

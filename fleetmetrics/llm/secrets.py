@@ -51,10 +51,7 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]{32,}", 32),
 )
-ADDED = (
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("hub", r"gh[pousr]_[A-Za-z0-9]+", 40),
-)
+ADDED = (Rule("hub", r"gh[pousr]_[A-Za-z0-9]+", 40),)
 
 
 # ---------------------------------------------------------------- compilation
@@ -149,21 +146,26 @@ class Dfa:
 
 def _subsets(nfa: Nfa, start: int, ends: dict[int, int], search: bool) -> tuple[np.ndarray, np.ndarray]:
     """Subset construction: next state by state and byte, accept mask by state."""
+    # Bytes that no edge tells apart move alike; only one of each class is followed.
+    alike: dict[tuple[bool, ...], list[int]] = {}
+    sets = list({members for edges in nfa.edges for members, _ in edges})
+    for byte in range(256):
+        alike.setdefault(tuple(byte in members for members in sets), []).append(byte)
     first = nfa.closure([start])
     number, order, rows = {first: 0}, [first], []
+    closed: dict[frozenset[int], frozenset[int]] = {}
     for states in order:
         row = np.zeros(256, np.int64)
         moves = [edge for s in states for edge in nfa.edges[s]]
-        groups: dict[frozenset[int], list[int]] = {}
-        for byte in range(256):
-            to = frozenset(t for members, t in moves if byte in members)
-            groups.setdefault(to, []).append(byte)
-        for to, members in groups.items():
-            reached = nfa.closure(to | ({start} if search else frozenset()))
+        for alikes in alike.values():
+            to = frozenset(t for members, t in moves if alikes[0] in members)
+            if to not in closed:
+                closed[to] = nfa.closure(to | ({start} if search else frozenset()))
+            reached = closed[to]
             if reached not in number:
                 number[reached] = len(order)
                 order.append(reached)
-            row[members] = number[reached]
+            row[alikes] = number[reached]
         rows.append(row)
     accepts = np.array([sum(1 << ends[s] for s in states if s in ends) for states in order])
     return np.array(rows), accepts
