@@ -214,8 +214,9 @@ def judged(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> Data
     """Statistics, ``base_failed``, ``rule`` (number of the rule that rejects) and ``kept``."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labels")
-    rules = fitted(statistics(docs.join(picked.select("doc_id"), "doc_id", "left_semi")), picked)
-    told = features(statistics(docs)).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
+    stats = staged(statistics(docs), "statistics")  # texts are read once; what follows is numbers
+    rules = fitted(stats, picked)
+    told = features(stats).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return told.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
