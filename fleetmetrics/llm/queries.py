@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import (
+    bpe,
+    language_id,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    suffix_dedup,
+    vectors,
+)
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_nearest_vectors": vectors.op8_nearest_vectors,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLES = {
