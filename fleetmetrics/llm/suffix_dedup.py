@@ -120,14 +120,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Suffixes:
     return Suffixes.joined(parts)
 
 
-def strings(data: np.ndarray, offsets: np.ndarray, ranges: list[np.ndarray]) -> Suffixes:
-    """The suffixes that start in the given ranges of each row and have LENGTH bytes left."""
+def strings(data: np.ndarray, offsets: np.ndarray, ranges: list[np.ndarray], dull=None) -> Suffixes:
+    """The suffixes that start in the given ranges of each row and have LENGTH bytes left.
+
+    ``dull(row, pos)`` may tell starts that can be left out.
+    """
     row = np.repeat(np.arange(len(ranges)), [len(r) // 2 for r in ranges])
     flat = np.concatenate([np.asarray(r, np.int64).reshape(-1, 2) for r in ranges]) if len(row) else np.zeros((0, 2), np.int64)
     limit = offsets[row + 1] - offsets[row] - LENGTH + 1
     first, last = np.maximum(flat[:, 0], 0), np.minimum(flat[:, 1], limit)
     count = np.maximum(last - first, 0)
     row, pos = np.repeat(row, count), np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+    if dull is not None and len(row):
+        keep = ~dull(row, pos)
+        row, pos = row[keep], pos[keep]
     at = offsets[row] + pos
     rest = np.zeros(len(at), np.uint64)
     for core, end, low, part in _blocks(data):
@@ -137,6 +143,29 @@ def strings(data: np.ndarray, offsets: np.ndarray, ranges: list[np.ndarray]) ->
     return Suffixes(_leads(data, at), np.zeros(len(at), np.uint32), rest, row, pos)
 
 
+def open_strings(data: np.ndarray, offsets: np.ndarray, hits: list, looks: list) -> Suffixes:
+    """The strings around the places to look at that the first round leaves open.
+
+    A string with a repeated anchor inside is settled, and a smaller document speaks for it.
+    A string with an anchor inside that was told nothing holds a seed of one document only,
+    so it is repeated nowhere.
+    """
+    found = anchors(data, offsets)
+    row_start = lambda lists: np.repeat(offsets[:-1], [len(x) for x in lists])
+    flat = lambda lists: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)])
+    settled = flat(hits) + row_start(hits)
+    told = np.concatenate((settled, flat(looks) + row_start(looks)))
+    placed = offsets[found.row] + found.pos
+    closed = np.sort(np.concatenate((settled, placed[~np.isin(placed, told)])))
+
+    def dull(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        at = offsets[row] + pos
+        return np.searchsorted(closed, at) < np.searchsorted(closed, at + SPAN)
+
+    ranges = [_merged(np.asarray(x, np.int64) - (LENGTH - SEED), np.asarray(x, np.int64) + 1) for x in looks]
+    return strings(data, offsets, ranges, dull)
+
+
 # ---------------------------------------------------------------- sorting and dealing
 
 
@@ -300,10 +329,10 @@ def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _collate(before: int, after: int) -> Callable:
-    """Task code over told rows sorted by part: ranges of each document.
+    """Task code over told rows sorted by part: what each document is told.
 
-    A repeated place at p covers [p - before, p + after); one to look at asks for the
-    strings that start in [p - before, p + 1).
+    ``spans`` are the ranges that repeated places cover, [p - before, p + after) each; ``hits``
+    are these places and ``looks`` the places to look at, in ascending order.
     """
 
     def flush(blobs: list[tuple]) -> pa.RecordBatch:
@@ -312,14 +341,15 @@ def _collate(before: int, after: int) -> Callable:
         order = np.lexsort((pos, check, doc))
         doc, check, pos, flag = doc[order], check[order], pos[order], flag[order]
         cuts = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(check) != 0)))
-        spans, looks = [], []
+        spans, hits, looks = [], [], []
         for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
             p, look = pos[a:b], flag[a:b] == 1
             spans.append(_merged(np.maximum(p[~look] - before, 0), p[~look] + after))
-            looks.append(_merged(np.maximum(p[look] - before, 0), p[look] + 1))
+            hits.append(p[~look])
+            looks.append(p[look])
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[cuts]), pa.array(check[cuts]), pa.array(spans, pa.list_(pa.int64())), pa.array(looks, pa.list_(pa.int64()))],
-            ["doc", "check", "spans", "looks"],
+            [pa.array(doc[cuts]), pa.array(check[cuts]), *(pa.array(x, pa.list_(pa.int64())) for x in (spans, hits, looks))],
+            ["doc", "check", "spans", "hits", "looks"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +406,7 @@ def _places(dealt: DataFrame, splitters: np.ndarray, seeds: bool, name: str) ->
     told = sorted_.mapInArrow(_sort_buckets(splitters, parts, seeds), TOLD)
     reach = (LENGTH - SEED, LENGTH) if seeds else (0, LENGTH)
     collated = told.repartition(parts, "part").sortWithinPartitions("part")
-    return staged(collated.mapInArrow(_collate(*reach), "doc long, check long, spans array<long>, looks array<long>"), name)
+    return staged(collated.mapInArrow(_collate(*reach), "doc long, check long, spans array<long>, hits array<long>, looks array<long>"), name)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -399,12 +429,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 ids, checks = (batch.column(i).to_numpy() for i in (0, 1))
-                found = strings(*text_bytes(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False).tolist())
+                hits, looks = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (3, 4))
+                found = open_strings(*text_bytes(batch.column(2)), hits, looks)
                 yield from _deal(found, ids, checks, by_string)
 
     first = _places(keyed.mapInArrow(deal_anchors, DEALT), by_anchor, True, "anchors")
-    asked = first.where(F.size("looks") > 0).select("doc", "check", "looks")
-    looked = keyed.join(asked, ["doc", "check"]).select("doc", "check", "text", "looks")
+    asked = first.where(F.size("looks") > 0).select("doc", "check", "hits", "looks")
+    looked = keyed.join(asked, ["doc", "check"]).select("doc", "check", "text", "hits", "looks")
     second = _places(looked.mapInArrow(deal_strings, DEALT), by_string, False, "strings")
     both = first.select("doc", "check", "spans").unionByName(second.select("doc", "check", "spans"))
     return both.where(F.size("spans") > 0).groupBy("doc", "check").agg(F.flatten(F.collect_list("spans")).alias("spans"))
