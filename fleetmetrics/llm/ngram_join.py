@@ -166,9 +166,10 @@ class Bucket:
             for j in star.tolist():
                 self.join(pivot, j)
             rest = np.setdiff1d(members, star)
-            # Likes of the pivot are linked already; the rest may link to any of them.
-            for at in range(len(rest)):
-                self.brute(rest[at : at + 1], star)
+            # Likes of the pivot are linked already; one of them is enough for any of the rest.
+            for i in rest.tolist():
+                for j in self.alike(i, star)[:1].tolist():
+                    self.join(i, j)
             self.split(rest, depth + 1)
             return
         for place in self.rng.choice(SKETCH, WAYS, replace=False).tolist():
