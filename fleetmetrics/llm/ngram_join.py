@@ -41,6 +41,8 @@ MARGIN = 5.0
 LEAF, DEPTH = 256, 4
 #: Further tokens a large bucket is split on.
 WAYS = 10
+#: Bits that tell which texts may be wanted for the exact counts (16 MB).
+BITS = 1 << 27
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -320,14 +322,36 @@ def _exact_links(similarity: float):
     return run
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, print, copies, set) from (label, print, copies, text)."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1024):
-            batch = whole.slice(start, 1024)
-            sets = shingle_sets(*text_bytes(batch.column(3)))
-            packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["label", "print", "copies", "set"])
+def wanted_bits(wanted: DataFrame, place: Column) -> np.ndarray:
+    """A bit for each place (below BITS) of ``wanted``; of fixed size, whatever the number of rows."""
+    words = wanted.select(place.alias("p")).select(
+        F.floor(F.col("p") / 32).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 32).cast("int")).alias("bit")
+    )
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITS / 32 rows
+    out = np.zeros(BITS // 32, np.uint32)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def packed_sets(docs: DataFrame, bits: np.ndarray, place: Column, key: Column) -> DataFrame:
+    """(doc, check, set) of the rows whose place has its bit set: texts that may be wanted.
+
+    Only these leave the task, so texts that resemble nothing are not shuffled. The more
+    places are taken, the more rows pass; the join that follows decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            p = whole.column(2).to_numpy()
+            passing = whole.filter(pa.array((shared.value[p // 32] >> (p % 32).astype(np.uint32)) & 1 == 1))
+            for start in range(0, passing.num_rows, 1024):
+                batch = passing.slice(start, 1024)
+                packed = pa.array([s.tobytes() for s in shingle_sets(*text_bytes(batch.column(3)))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["doc", "check", "set"])
+
+    rows = docs.select(key.alias("doc"), check_of().alias("check"), place.alias("place"), "text")
+    return rows.mapInArrow(run, "doc long, check long, set binary")
 
 
 def similar_documents(
@@ -359,10 +383,11 @@ def similar_documents(
     sets = staged(sets, "sets")
     near = components(staged(proposed(sets, similarity, chunk), "proposed"))
     known = staged(near.withColumnRenamed("node", "print").join(sets.drop("sketch", "tokens"), "print"), "known")
-    text = docs.select(key.alias("doc"), check_of().alias("check"), "text")
     wanted = known.select("label", "print", "copies", F.col("one.doc").alias("doc"), F.col("one.check").alias("check"))
-    rows = text.join(wanted, ["doc", "check"]).select("label", "print", "copies", "text")
-    rows = rows.mapInArrow(_packed_sets, "label binary, print binary, copies long, set binary")
+    place = lambda doc, check: F.pmod(F.xxhash64(doc, check), F.lit(BITS))
+    bits = wanted_bits(wanted, place("doc", "check"))
+    held = packed_sets(docs, bits, place(key, check_of()), key)
+    rows = held.join(wanted, ["doc", "check"]).select("label", "print", "copies", "set")
     sizes = known.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).select(
         "label",
         F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("n") / block_shingles)).alias("n_chunks"),
