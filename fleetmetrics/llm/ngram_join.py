@@ -325,7 +325,7 @@ def _exact_links(similarity: float):
 def wanted_bits(wanted: DataFrame, place: Column) -> np.ndarray:
     """A bit for each place (below BITS) of ``wanted``; of fixed size, whatever the number of rows."""
     words = wanted.select(place.alias("p")).select(
-        F.floor(F.col("p") / 32).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 32).cast("int")).alias("bit")
+        F.floor(F.col("p") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("bit")
     )
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITS / 32 rows
     out = np.zeros(BITS // 32, np.uint32)

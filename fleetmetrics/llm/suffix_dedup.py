@@ -93,8 +93,9 @@ def _blocks(data: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         yield core, min(len(data), core + BLOCK), low, data[low : core + BLOCK + MARGIN]
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> Suffixes:
-    """The suffixes at the anchors of every row that is long enough."""
+def anchors(data: np.ndarray, offsets: np.ndarray, with_seeds: bool = False):
+    """The suffixes at the anchors of every row that is long enough, and the hashes of their seeds if asked for."""
+    seeds = [np.zeros(0, np.uint64)]
     parts = [Suffixes(*(np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint64, np.int64, np.int64)))]
     for core, end, low, part in _blocks(data):
         if len(part) < LENGTH:
@@ -106,6 +107,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Suffixes:
         across = (ends[:, None] - np.arange(1, SEED)).ravel()
         seed[across[(across >= 0) & (across < len(seed))]] = _NONE  # no seed reaches into the next row
         least = _slide(seed, SPAN, np.minimum)
+        # Only strings inside one row choose, so anchors do not depend on the row's neighbours.
+        beyond = (ends[:, None] - np.arange(1, LENGTH)).ravel()
+        least[beyond[(beyond >= 0) & (beyond < len(least))]] = 0
         padded = np.zeros(len(least) + 2 * (SPAN - 1), np.uint64)
         padded[SPAN - 1 : SPAN - 1 + len(least)] = least
         chosen = np.flatnonzero((_slide(padded, SPAN, np.maximum) == seed) & (seed != _NONE))
@@ -116,8 +120,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Suffixes:
         left = np.maximum(chosen - (LENGTH - SEED), offsets[row] - low)
         right = np.minimum(chosen + LENGTH, offsets[row + 1] - low)
         tail = (hashed.of(chosen + 8, chosen + SEED) >> np.uint64(32)).astype(np.uint32)
+        seeds.append(seed[chosen])
         parts.append(Suffixes(_leads(part, chosen), tail, hashed.of(left, right), row, chosen + low - offsets[row]))
-    return Suffixes.joined(parts)
+    found = Suffixes.joined(parts)
+    return (found, np.concatenate(seeds)) if with_seeds else found
 
 
 def strings(data: np.ndarray, offsets: np.ndarray, ranges: list[np.ndarray], dull=None) -> Suffixes:
@@ -147,20 +153,29 @@ def open_strings(data: np.ndarray, offsets: np.ndarray, hits: list, looks: list)
     """The strings around the places to look at that the first round leaves open.
 
     A string with a repeated anchor inside is settled, and a smaller document speaks for it.
-    A string with an anchor inside that was told nothing holds a seed of one document only,
-    so it is repeated nowhere.
+    The anchor of least hash inside a string is the same wherever the string stands: if that
+    anchor was not told to be looked at, the string is repeated nowhere.
     """
-    found = anchors(data, offsets)
-    row_start = lambda lists: np.repeat(offsets[:-1], [len(x) for x in lists])
+    found, seed = anchors(data, offsets, True)
+    place = offsets[found.row] + found.pos
+    order = np.argsort(place, kind="stable")
+    place, seed = place[order], seed[order]
     flat = lambda lists: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)])
-    settled = flat(hits) + row_start(hits)
-    told = np.concatenate((settled, flat(looks) + row_start(looks)))
-    placed = offsets[found.row] + found.pos
-    closed = np.sort(np.concatenate((settled, placed[~np.isin(placed, told)])))
+    row_start = lambda lists: np.repeat(offsets[:-1], [len(x) for x in lists])
+    settled = np.isin(place, flat(hits) + row_start(hits))
+    asked = np.isin(place, flat(looks) + row_start(looks))
 
     def dull(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
         at = offsets[row] + pos
-        return np.searchsorted(closed, at) < np.searchsorted(closed, at + SPAN)
+        first, last = np.searchsorted(place, at), np.searchsorted(place, at + SPAN)
+        least, done, look = np.full(len(at), _NONE), np.zeros(len(at), bool), np.zeros(len(at), bool)
+        for step in range(int((last - first).max(initial=0))):
+            here = np.flatnonzero(first + step < last)
+            i = first[here] + step
+            done[here] |= settled[i]
+            look[here] = np.where(seed[i] < least[here], asked[i], look[here] | (asked[i] & (seed[i] == least[here])))
+            least[here] = np.minimum(least[here], seed[i])
+        return done | ~look
 
     ranges = [_merged(np.asarray(x, np.int64) - (LENGTH - SEED), np.asarray(x, np.int64) + 1) for x in looks]
     return strings(data, offsets, ranges, dull)
