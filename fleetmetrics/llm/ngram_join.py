@@ -2,9 +2,9 @@
 
 A document is its set of five-word shingles. Texts with equal sets are one class of copies.
 Each run picks one shared token of every set at random (the smallest shingle under a random
-order) and splits the sets by it: two sets of similarity s meet with probability s, so
-``runs`` splits miss a pair with probability (1 - s)**runs; the number of runs follows from
-the target recall. Buckets that are still large are split again, on further sampled tokens,
+order) and splits the sets by it: two sets of similarity s meet with probability s, and
+stay together in further splits with a probability that is known too, so the number of
+runs follows from the target recall. Buckets that are still large are split again, on further sampled tokens,
 or, if most of a bucket resembles one member, that member takes its likes out and only the
 rest is compared. Small buckets are compared by brute force, on sketches.
 
@@ -39,8 +39,8 @@ SKETCH = 128
 MARGIN = 5.0
 #: Members of a bucket compared by brute force, and depth of further splits.
 LEAF, DEPTH = 256, 4
-#: Further tokens a large bucket is split on.
-WAYS = 10
+#: Further tokens a large bucket is split on; few, as the next run gives a pair another chance.
+WAYS = 3
 #: Bits that tell which texts may be wanted for the exact counts (16 MB).
 BITS = 1 << 27
 
@@ -369,7 +369,9 @@ def similar_documents(
     same shingles and ``n_texts`` different sets do the rest. ``chunk`` and the ``block_``
     parameters bound what meets in one task; larger groups are dealt out in pairs of chunks.
     """
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - similarity))
+    # A pair meets in a run if it shares the run's token and one token at every further split.
+    meets = similarity * (1 - (1 - similarity) ** WAYS) ** DEPTH
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     texts = staged(described(docs, runs), "texts")
     sets = texts.where(F.col("print").isNotNull()).groupBy("print").agg(
