@@ -33,13 +33,14 @@ def month_day_count(month: str) -> int:
 
 
 def report_today(offset_hours: int = REPORT_UTC_OFFSET_HOURS) -> date:
-    return datetime.now(timezone(timedelta(hours=offset_hours))).date()
+    shifted = datetime.now(timezone.utc) + timedelta(hours=offset_hours)
+    return shifted.date()
 
 
 def default_report_month(today: date | None = None) -> str:
     """The last finished month as seen on ``today``."""
-    today = today or report_today()
-    return f"{today.replace(day=1) - timedelta(days=1):%Y-%m}"
+    day = report_today() if today is None else today
+    return previous_month(f"{day:%Y-%m}")
 
 
 def month_of(day: Column) -> Column:

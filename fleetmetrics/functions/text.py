@@ -120,8 +120,8 @@ def top_sql_line(df: DataFrame) -> DataFrame:
     return df.withColumn("line", F.concat(start, body))
 
 
-def show_table(df: DataFrame, rows: int = 1000) -> None:
-    """Print a report-sized frame as an aligned table; NULL is blank."""
+def show_table(df: DataFrame, rows: int) -> None:
+    """Print up to ``rows`` rows of a report as an aligned table; NULL is blank."""
     if df.isEmpty():
         print("(no rows)")
         return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timestamps import parse_utc
-from ..schemas import CURATED, CURATED_ROW
+from ..schemas import CURATED
 from ..sources.raw import CORRUPT
 
 REASON = "reject_reason"
@@ -156,8 +156,3 @@ def rejects(raw: DataFrame) -> DataFrame:
         .select(*columns, POSITION)
     )
     return bad_headers.unionByName(bad_points)
-
-
-def stored_columns() -> list[str]:
-    """Columns kept inside the curated files (partition columns are in the path)."""
-    return CURATED_ROW.fieldNames()

@@ -33,6 +33,9 @@ from ..operators.topsql import (
 )
 from ..sources.curated import empty_curated, scope
 
+# Days of a whole history are counted from here, whatever its first day.
+HISTORY_ANCHOR = date(1990, 1, 1)
+
 Ids = Sequence[str] | DataFrame | None
 
 
@@ -69,7 +72,7 @@ def health_on_date(
     past = trailing_baseline(
         curated if history is None else history, account_id, region, day, resource_ids, baseline_days
     )
-    return with_baseline(snapshot, past)
+    return with_baseline(snapshot, past).orderBy("resource_id")
 
 
 def live_health(
@@ -101,22 +104,30 @@ def live_health(
         resource_ids,
         baseline_days,
     )
-    return with_baseline(has_any_data(fill_requested(requested, stats)), past)
+    return with_baseline(has_any_data(fill_requested(requested, stats)), past).orderBy("position")
 
 
 def storage_forecast(
     curated: DataFrame,
     account_id: str,
     region: str | Sequence[str],
-    as_of: str | date,
+    as_of: str | date | None = None,
     resource_ids: Ids = None,
-    days: int = 30,
+    days: int | None = 30,
 ) -> DataFrame:
-    """Storage trend and exhaustion day from ``as_of - days`` .. ``as_of``."""
-    last = check_date(as_of)
-    first = last - timedelta(days=days)
+    """Storage trend and exhaustion day from ``as_of - days`` .. ``as_of``, by resource.
+
+    Without ``days`` it is the whole history up to ``as_of``, or all of it.
+    """
+    if days is None:
+        first, last = None, as_of
+    elif as_of is None:
+        raise ValueError("a window of days needs as_of")
+    else:
+        last = check_date(as_of)
+        first = last - timedelta(days=days)
     history = storage_history(scope(curated, account_id, region, first, last, resource_ids))
-    return with_gib(forecast_lines(history, first))
+    return with_gib(forecast_lines(history, first or HISTORY_ANCHOR)).orderBy("resource_id")
 
 
 def monthly_report(
@@ -132,7 +143,7 @@ def monthly_report(
     first, _ = month_bounds(previous_month(month))
     _, last = month_bounds(month)
     rows = monthly_aggregate(scope(curated, account_id, region, first, last, resource_ids))
-    return with_notable(compare_months(rows, month, today))
+    return with_notable(compare_months(rows, month, today)).orderBy("resource_id")
 
 
 def top_sql(
@@ -144,14 +155,25 @@ def top_sql(
     findings: DataFrame | None = None,
     samples_in_window: int | None = None,
 ) -> DataFrame:
-    """Ranked statements per resource with load share and, if given, findings."""
+    """Ranked statements per resource with load share and, if given, findings, in that order."""
+    ranked = _ranked_statements(sql_load, as_of, lookback_minutes, k, resource_ids, samples_in_window)
+    if findings is not None:
+        ranked = attach_findings(ranked, normalize_findings(findings))
+    return ranked.orderBy("resource_id", "rank")
+
+
+def _ranked_statements(
+    sql_load: DataFrame,
+    as_of: datetime,
+    lookback_minutes: int,
+    k: int,
+    resource_ids: DataFrame | None,
+    samples_in_window: int | None = None,
+) -> DataFrame:
     samples = load_window(sql_load, as_of, lookback_minutes)
     if resource_ids is not None:
         samples = samples.join(resource_ids.select("resource_id"), "resource_id", "left_semi")
-    ranked = with_share(top_statements(average_load(samples, samples_in_window), k))
-    if findings is None:
-        return ranked
-    return attach_findings(ranked, normalize_findings(findings))
+    return with_share(top_statements(average_load(samples, samples_in_window), k))
 
 
 def top_sql_overview(
@@ -177,14 +199,14 @@ def top_sql_overview(
     start = as_of - timedelta(minutes=lookback_minutes)
     recent = scope(curated, account_id, region, start.date(), as_of.date(), resource_ids)
     stats = live_window(recent, as_of, lookback_minutes)
-    totals = total_load(top_sql(sql_load, as_of, lookback_minutes, k, split.where("has_load")))
+    totals = total_load(_ranked_statements(sql_load, as_of, lookback_minutes, k, split.where("has_load")))
     joined = split.join(totals, "resource_id", "left").join(stats, "resource_id", "left")
     return joined.withColumn(
         "load_status",
         F.when(~F.col("has_load"), "not_enabled")
         .when(F.col("ranked_statements").isNull(), "no_load_data")
         .otherwise("ok"),
-    )
+    ).orderBy("position")
 
 
 __all__ = [

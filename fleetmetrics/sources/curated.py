@@ -111,21 +111,28 @@ def scope(
     curated: DataFrame,
     account_id: str,
     region: str | Sequence[str],
-    start: str | date,
+    start: str | date | None = None,
     end: str | date | None = None,
     resource_ids: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of one account, its region(s) and an inclusive range of days.
+    """Rows of one account, one region and an inclusive range of days.
 
-    The filters compare the bare partition columns, so they prune directories.
+    ``start`` alone is that day, ``end`` alone everything up to it, neither the whole
+    history. The filters compare the bare partition columns, so they prune directories.
+    Resource ids repeat across regions, and reports group by id: more than one region is
+    refused, run the report once for each.
     """
-    regions = [region] if isinstance(region, str) else list(region)
-    first = check_date(start)
-    last = check_date(end) if end is not None else first
-    days = F.col("date") == first if first == last else F.col("date").between(first, last)
+    regions = {region} if isinstance(region, str) else set(region)
+    if len(regions) != 1:
+        raise ValueError("a report covers one region: resource ids repeat across regions")
+    (only,) = regions
     scoped = curated.where(
-        (F.col("account_id") == check_account_id(account_id))
-        & F.col("region").isin([check_region(r) for r in regions])
-        & days
+        (F.col("account_id") == check_account_id(account_id)) & (F.col("region") == check_region(only))
     )
+    if start is not None:
+        first = check_date(start)
+        last = check_date(end) if end is not None else first
+        scoped = scoped.where(F.col("date") == first if first == last else F.col("date").between(first, last))
+    elif end is not None:
+        scoped = scoped.where(F.col("date") <= check_date(end))
     return limit_resources(scoped, resource_ids)

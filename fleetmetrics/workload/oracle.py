@@ -175,14 +175,14 @@ SELECT resource_id, date,
 FROM ({_STORAGE_SERIES})"""
 
 
-def _forecast_sql(first: str, last: str) -> str:
+def _forecast_sql(anchor: str, bounds: str = "true") -> str:
     slope = "printf('%.12e', slope)::DOUBLE"
     return f"""
 WITH points AS (
   SELECT resource_id, date, coalesce(free_storage_space_bytes, volume_bytes_used) AS bytes,
          CASE WHEN free_storage_space_bytes IS NOT NULL THEN 'FreeStorageSpace' ELSE 'VolumeBytesUsed' END AS metric,
-         date_diff('day', DATE '{first}', date) AS x
-  FROM ({_STORAGE_HISTORY_SQL}) WHERE date BETWEEN DATE '{first}' AND DATE '{last}'),
+         date_diff('day', DATE '{anchor}', date) AS x
+  FROM ({_STORAGE_HISTORY_SQL}) WHERE {bounds}),
 fitted AS (
   SELECT resource_id, arg_max(metric, date) AS storage_metric, count(*) AS history_days,
          max(date) AS latest_date, arg_max(bytes, date) AS latest_value_bytes, max(x) AS last_x,
@@ -203,7 +203,7 @@ SELECT resource_id, storage_metric, history_days::INTEGER AS history_days, lates
 FROM zeroed"""
 
 
-_FORECAST_SQL = _forecast_sql("1998-05-31", "1998-06-30")
+_FORECAST_SQL = _forecast_sql("1998-05-31", "date BETWEEN DATE '1998-05-31' AND DATE '1998-06-30'")
 
 _MONTH_SQL = f"""
 SELECT resource_id, strftime(date, '%Y-%m') AS month, engine, cluster_role,
@@ -606,7 +606,7 @@ FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, metric_timestamp) - to_minutes(5
 GROUP BY window_start, resource_id""",
     "storage_history": _STORAGE_HISTORY_SQL,
     "storage_forecast": _FORECAST_SQL,
-    "storage_forecast_full": _forecast_sql("1990-01-01", "2010-12-31"),
+    "storage_forecast_full": _forecast_sql("1990-01-01"),
     "storage_text": f"SELECT resource_id, {_spelled(_FORECAST_TEXT_COLUMNS)} AS line FROM ({_FORECAST_SQL})",
     "monthly_aggregate": _MONTH_SQL,
     "monthly_report": _MONTHLY_SQL,

@@ -37,7 +37,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _WEEK_BEFORE = t.SNAPSHOT_DAY - timedelta(days=7)
 _STORAGE_START = t.STORAGE_AS_OF - timedelta(days=30)
-_ALL_DAYS = (date(1990, 1, 1), date(2010, 12, 31))
 _MONTH_RANGE = (month_bounds(previous_month(t.REPORT_MONTH))[0], month_bounds(t.REPORT_MONTH)[1])
 TODAY = date(2024, 2, 1)
 
@@ -89,8 +88,12 @@ def response_datapoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new directory under the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetmetrics-")
+    """A new directory under the cluster's shared checkpoint folder (in local mode, any folder)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="fleetmetrics-")
     return f"{shared.rstrip('/')}/fleetmetrics-{uuid.uuid4().hex}"
 
 
@@ -166,8 +169,7 @@ def sliding_live_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_per_day(spark: SparkSession, sf: str) -> DataFrame:
-    series = t.storage_as_curated(spark, sf, *_ALL_DAYS)
-    return storage_history(scope(series, t.ACCOUNT, t.REGION, *_ALL_DAYS))
+    return storage_history(scope(t.storage_as_curated(spark, sf), t.ACCOUNT, t.REGION))
 
 
 def storage_forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,9 +178,7 @@ def storage_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def storage_forecast_full(spark: SparkSession, sf: str) -> DataFrame:
-    first, last = _ALL_DAYS
-    series = t.storage_as_curated(spark, sf, first, last)
-    return reports.storage_forecast(series, t.ACCOUNT, t.REGION, last, days=(last - first).days)
+    return reports.storage_forecast(t.storage_as_curated(spark, sf), t.ACCOUNT, t.REGION, days=None)
 
 
 def storage_text(spark: SparkSession, sf: str) -> DataFrame:

@@ -123,9 +123,9 @@ def test_calendar_edges(spark):
 
 
 def test_show_table(spark, capsys):
-    show_table(spark.createDataFrame([("a", None, 1.5e10)], "k string, n int, x double"))
+    show_table(spark.createDataFrame([("a", None, 1.5e10)], "k string, n int, x double"), 20)
     assert "|a  |   |15000000000.0|" in capsys.readouterr().out
-    show_table(spark.createDataFrame([], "k string"))
+    show_table(spark.createDataFrame([], "k string"), 20)
     assert capsys.readouterr().out == "(no rows)\n"
 
 
