@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes hashed at a time inside a task; arrays of 8 bytes for each stay small.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 # ---------------------------------------------------------------- staging
@@ -169,6 +171,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def sliced(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``limit`` bytes of a string column; longer rows stay whole."""
+    size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size.astype(np.int64)) // limit
+    starts = np.flatnonzero(np.append(True, np.diff(part) > 0)).tolist()
+    for first, last in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(first, last - first)
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 

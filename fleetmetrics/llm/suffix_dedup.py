@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, RangeHash, check_of, mix, partitions, staged, text_bytes
+from .common import BLOCK, RangeHash, check_of, mix, partitions, sliced, staged, text_bytes
 
 LENGTH, SEED = 50, 20
 #: Seeds inside a string of LENGTH bytes.
@@ -435,9 +435,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_anchor, by_string = _sampled_splitters(docs, buckets)
 
     def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, checks = (batch.column(i).to_numpy() for i in (0, 1))
-            yield from _deal(anchors(*text_bytes(batch.column(2))), ids, checks, by_anchor)
+        for whole in batches:
+            for batch in sliced(whole, 2):
+                ids, checks = (batch.column(i).to_numpy() for i in (0, 1))
+                yield from _deal(anchors(*text_bytes(batch.column(2))), ids, checks, by_anchor)
 
     def deal_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
