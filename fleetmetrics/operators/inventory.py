@@ -39,12 +39,19 @@ def load_enabled_split(requested: DataFrame, instances: DataFrame) -> DataFrame:
     """Every requested id with its load-source id, or NULL when it has none.
 
     ``has_load`` is true for a known instance with load collection switched on
-    and a load-source id; unknown ids count as without.
+    and a load-source id; unknown ids count as without. Ids repeat across accounts and
+    regions: they are matched by ``account_id`` and ``region`` too where ``requested``
+    carries them, otherwise limit ``instances`` to one. Of several listings the first counts.
     """
-    enabled = instances.where(
-        F.col("performance_insights_enabled") & (F.col("dbi_resource_id") != "")
-    ).select(F.col("identifier").alias("resource_id"), "dbi_resource_id").dropDuplicates(["resource_id"])
-    return requested.join(enabled, "resource_id", "left").withColumn(
+    on = [*[k for k in ("account_id", "region") if k in requested.columns], "resource_id"]
+    enabled = (
+        instances.where(F.col("performance_insights_enabled") & (F.col("dbi_resource_id") != ""))
+        .withColumn("resource_id", F.col("identifier"))
+        .groupBy(*on)
+        .agg(F.min(F.struct("ordinal", "dbi_resource_id")).alias("first"))
+        .select(*on, "first.dbi_resource_id")
+    )
+    return requested.join(enabled, on, "left").withColumn(
         "has_load", F.col("dbi_resource_id").isNotNull()
     )
 

@@ -94,6 +94,15 @@ def _by_target_name(parsed: DataFrame, targets: DataFrame) -> DataFrame:
     return parsed.join(named, "target", "left")
 
 
+def _scope_key(named_account: Column, name: Column, mode: Column) -> Column:
+    """What a request's resource list depends on: the same text for requests that share one list."""
+    return (
+        F.when(named_account.isNotNull() & mode.isin(*LISTING_MODES), F.concat(F.lit("account:"), named_account))
+        .when(named_account.isNull() & mode.isin(*CLUSTER_MODES), F.concat(F.lit("clusters:"), name))
+        .when(named_account.isNull(), F.concat(F.lit("name:"), name))
+    )
+
+
 def _hits(parsed: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
     """What every distinct requested name could mean, in any account."""
     names = parsed.where(F.col("status") == "ok").select(F.col("target").alias("name"))
@@ -122,7 +131,8 @@ def resolve_scope(parsed: DataFrame, targets: DataFrame, members: DataFrame, ins
     The name of an enabled target stands for its whole account. Any other name
     is resolved in every enabled account; a match in more than one is
     ``ambiguous``. ``status``: ok, no_instances, ambiguous, not_found, or the
-    parse status. ``all_resources`` marks scopes without a resource list.
+    parse status. ``all_resources`` marks scopes without a resource list; the others name
+    theirs in ``scope`` (see ``scope_resources``).
     """
     located = _by_target_name(parsed, targets).withColumn("name", normalize(F.col("target")))
     counts = _match_counts(best_tiers(_hits(parsed, members, instances)), targets)
@@ -152,6 +162,7 @@ def resolve_scope(parsed: DataFrame, targets: DataFrame, members: DataFrame, ins
         F.when(ok, F.coalesce("named_account", "account_id")).alias("account_id"),
         F.when(ok, F.when(named, F.col("target")).otherwise(F.col("target_name"))).alias("target_name"),
         F.coalesce(ok & named & ~listing, F.lit(False)).alias("all_resources"),
+        F.when(ok, _scope_key(F.col("named_account"), F.col("name"), F.col("mode"))).alias("scope"),
         F.col("scope_status").alias("status"),
     )
 
@@ -183,28 +194,27 @@ def name_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, in
 
 
 def scope_resources(parsed: DataFrame, targets: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
-    """(request_id, account_id, resource_id) of every settled request with a resource list.
+    """(scope, account_id, resource_id): the resource list of every distinct settled scope.
 
-    Names are resolved once however many requests repeat them. Storage and
-    month requests also get the clusters of their instances.
+    Requests point at their list by ``scope``, so a list is resolved and stored once however
+    many requests repeat it, and rows grow with the inventory, not with the requests. Lists
+    of storage and month requests also hold the clusters of their instances.
     """
     good = parsed.where(F.col("status") == "ok")
     located = _by_target_name(good, targets).withColumn("name", normalize(F.col("target")))
     named = F.col("named_account").isNotNull()
-    loose = located.where(~named).select(
-        "request_id", "name", F.col("mode").isin(*CLUSTER_MODES).alias("with_clusters")
-    )
-    listed = located.where(named & F.col("mode").isin(*LISTING_MODES)).select(
-        "request_id", F.col("named_account").alias("account_id")
-    )
-    whole = listed.join(
-        instances.where(F.col("identifier") != "").select(
-            "account_id", F.col("identifier").alias("resource_id")
-        ),
-        "account_id",
-    )
+    scoped = located.select(
+        "named_account",
+        "name",
+        F.col("mode").isin(*CLUSTER_MODES).alias("with_clusters"),
+        _scope_key(F.col("named_account"), F.col("name"), F.col("mode")).alias("scope"),
+    ).where(F.col("scope").isNotNull())
+    loose = scoped.where(~named).select("scope", "name", "with_clusters").distinct()
+    listed = scoped.where(named).select("scope", F.col("named_account").alias("account_id")).distinct()
+    whole = instances.where(F.col("identifier") != "").select("account_id", F.col("identifier").alias("resource_id"))
+    columns = ["scope", "account_id", "resource_id"]
     return (
         loose.join(name_resources(parsed, targets, members, instances), ["name", "with_clusters"])
-        .select("request_id", "account_id", "resource_id")
-        .unionByName(whole.select("request_id", "account_id", "resource_id"))
+        .select(columns)
+        .unionByName(listed.join(whole, "account_id").select(columns).distinct())
     )

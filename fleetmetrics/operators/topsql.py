@@ -127,9 +127,9 @@ def normalize_findings(findings: DataFrame) -> DataFrame:
     """Explode finding lists and keep entries that point at a ranked statement.
 
     Dropped: no resource, no integer rank of at least 1, no finding text.
-    Confidence defaults to ``low``.
+    Confidence defaults to ``low``. ``position`` is the place in the list.
     """
-    entry = findings.select(F.explode("queries").alias("q")).select("q.*")
+    entry = findings.select(F.posexplode("queries").alias("position", "q")).select("position", "q.*")
 
     def clean(name: str) -> Column:
         return F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -142,6 +142,7 @@ def normalize_findings(findings: DataFrame) -> DataFrame:
         clean("finding").alias("finding"),
         clean("suggestion").alias("suggestion"),
         F.regexp_replace(confidence, r"(?U)^\s+|\s+$", "").alias("confidence"),
+        "position",
     ).where((F.col("resource_id") != "") & (F.col("rank") >= 1) & (F.col("finding") != ""))
 
 
@@ -156,12 +157,12 @@ def confidence_label(confidence: Column) -> Column:
 def attach_findings(ranked: DataFrame, findings: DataFrame) -> DataFrame:
     """Left-join normalized findings to ranked statements by resource and rank.
 
-    Two findings for the same statement leave the greatest one standing, so the
-    ranking never gains rows. ``capped_confidence`` is ``low`` for any
+    Of several findings for one statement the last of the list stands (of several
+    lists, the greatest of those), so the ranking never gains rows. ``capped_confidence`` is ``low`` for any
     statement that was cut: its missing tail could change the conclusion.
     """
     entry = F.struct("finding", "suggestion", "confidence")
-    one = findings.groupBy("resource_id", "rank").agg(F.max(entry).alias("entry"))
+    one = findings.groupBy("resource_id", "rank").agg(F.max_by(entry, F.struct("position", entry)).alias("entry"))
     joined = ranked.join(one, ["resource_id", "rank"], "left")
     return joined.select(
         *ranked.columns,

@@ -195,7 +195,9 @@ def top_sql_overview(
     requested = (
         resource_ids if isinstance(resource_ids, DataFrame) else requested_table(curated, resource_ids)
     )
-    split = load_enabled_split(requested, instances)
+    regions = [region] if isinstance(region, str) else list(region)
+    own = instances.where((F.col("account_id") == account_id) & F.col("region").isin(regions))
+    split = load_enabled_split(requested, own)
     start = as_of - timedelta(minutes=lookback_minutes)
     recent = scope(curated, account_id, region, start.date(), as_of.date(), resource_ids)
     stats = live_window(recent, as_of, lookback_minutes)

@@ -16,7 +16,7 @@ def resolve_requests(
     instances: DataFrame,
     today: date | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scopes, resources): one row per request, and the resource ids it covers."""
+    """(scopes, resources): one row per request, and the resource ids of each ``scope`` they name."""
     parsed = parse_requests(requests, today)
     return (
         resolve_scope(parsed, targets, members, instances),

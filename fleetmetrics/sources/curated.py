@@ -11,10 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.validators import check_account_id, check_date, check_region, check_resource_id
 from ..schemas import CURATED, PARTITION_COLUMNS
 
-# With more hours than this, hours are joined only, not also listed as literals
-# for directory pruning.
-MAX_LISTED_HOURS = 2000
-
 ROW_ORDER = ("metric_timestamp", "resource_id", "metric_name")
 
 
@@ -62,16 +58,16 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
 def hours_of(spark: SparkSession, root: str, hours: DataFrame) -> DataFrame | None:
     """Curated rows of the given hours (partition values), or None before the first write.
 
-    The hours are joined exactly. While they are few, their values also go into
-    the partition filters so that other directories are not even listed.
+    One aggregate row, the least and greatest value of each partition column, goes into
+    the partition filters, so files outside these ranges are not read however many hours
+    there are; the join keeps exactly the hours.
     """
     existing = read_curated_or_none(spark, root)
     if existing is None:
         return None
-    listed = hours.limit(MAX_LISTED_HOURS + 1).collect()
-    if len(listed) <= MAX_LISTED_HOURS:
-        for column in PARTITION_COLUMNS:
-            existing = existing.where(F.col(column).isin(sorted({row[column] for row in listed})))
+    ends = hours.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in PARTITION_COLUMNS for f in (F.min, F.max)]).first()
+    for column in PARTITION_COLUMNS:
+        existing = existing.where(F.col(column).between(ends[f"min_{column}"], ends[f"max_{column}"]))
     return existing.join(hours, list(PARTITION_COLUMNS), "left_semi")
 
 

@@ -438,18 +438,21 @@ SELECT request_id, target, mode, value,
        CASE WHEN final = 'ok' THEN coalesce(named, found) END AS account_id,
        CASE WHEN final = 'ok' THEN CASE WHEN named IS NOT NULL THEN target ELSE found_name END END AS target_name,
        coalesce(final = 'ok' AND named IS NOT NULL AND mode NOT IN ('live', 'topsql'), false) AS all_resources,
+       CASE WHEN final <> 'ok' THEN NULL
+            WHEN named IS NULL THEN CASE WHEN mode IN ('storage', 'report') THEN 'clusters:' ELSE 'name:' END || lower(target)
+            WHEN mode IN ('live', 'topsql') THEN 'account:' || named END AS scope,
        final AS status
 FROM settled"""
 
 _SCOPE_IDS_SQL = f"""{_SCOPE_SQL},
-loose AS (SELECT s.request_id, s.mode, i.account_id, i.resource_id
+loose AS (SELECT DISTINCT s.mode IN ('storage', 'report') AS wide, i.name, i.account_id, i.resource_id
           FROM settled s JOIN ids i ON lower(s.target) = i.name WHERE s.final = 'ok' AND s.named IS NULL)
-SELECT request_id, account_id, resource_id FROM loose
+SELECT CASE WHEN wide THEN 'clusters:' ELSE 'name:' END || name AS scope, account_id, resource_id FROM loose
 UNION
-SELECT request_id, account_id, o.cluster_identifier FROM loose JOIN ({_OWN_CLUSTER}) o ON resource_id = o.identifier
-WHERE mode IN ('storage', 'report')
-UNION ALL
-SELECT request_id, named, i.identifier FROM settled s JOIN ({_INSTANCES}) i ON s.named = i.account_id
+SELECT 'clusters:' || name, account_id, o.cluster_identifier FROM loose JOIN ({_OWN_CLUSTER}) o ON resource_id = o.identifier
+WHERE wide
+UNION
+SELECT DISTINCT 'account:' || named, named, i.identifier FROM settled s JOIN ({_INSTANCES}) i ON s.named = i.account_id
 WHERE s.final = 'ok' AND s.mode IN ('live', 'topsql')"""
 
 _BASE_METRICS = """['CPUUtilization', 'DatabaseConnections', 'FreeableMemory', 'ReadIOPS', 'WriteIOPS', 'ReadLatency',

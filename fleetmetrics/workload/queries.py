@@ -226,7 +226,13 @@ def top_sql_overview(spark: SparkSession, sf: str) -> DataFrame:
     users = t.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("position"), F.concat(F.lit("u"), "c_custkey").alias("resource_id")
     )
-    known = t.instances(spark, sf).withColumn("identifier", F.concat(F.lit("u"), "ordinal"))
+    known = t.instances(spark, sf).withColumns(
+        {
+            "account_id": F.lit(t.ACCOUNT),
+            "region": F.lit(t.REGION),
+            "identifier": F.concat(F.lit("u"), "ordinal"),
+        }
+    )
     days = (t.AS_OF.date() - timedelta(days=1), t.AS_OF.date())
     return reports.top_sql_overview(
         _window_load(spark, sf),
@@ -256,7 +262,7 @@ def sql_truncate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_findings(t.findings(spark, sf))
+    return normalize_findings(t.findings(spark, sf)).drop("position")
 
 
 def findings_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -165,7 +165,9 @@ def test_scopes_over_several_accounts(spark):
         "10": ("bad_usage", None, False), "11": ("ok", "europe", False),
     }
     ids: dict[str, list] = {}
-    for r in resources.orderBy("request_id", "resource_id").collect():
+    listed = scopes.select("request_id", "scope").join(resources, "scope")
+    assert resources.count() == resources.distinct().count() < listed.count()
+    for r in listed.orderBy("request_id", "resource_id").collect():
         ids.setdefault(r.request_id, []).append(r.resource_id)
     assert ids == {
         "1": ["Reports", "bill-1", "devops-db", "orders-a", "orders-c"],

@@ -94,6 +94,27 @@ def test_findings_are_normalized(spark):
     ]
 
 
+def test_last_finding_of_a_statement_stands(spark):
+    notes = normalize_findings(findings(spark, [("a", "1", "z first", "s", "high"), ("a", "1", "a last", "s", "low")]))
+    ranked = spark.createDataFrame([("a", 1, False)], "resource_id string, rank int, sql_text_truncated boolean")
+    (row,) = attach_findings(ranked, notes).collect()
+    assert (row.finding, row.confidence) == ("a last", "low")
+
+
+def test_load_split_by_account_and_region(spark):
+    entry = {"identifier": "db-a", "region": "r1", "performance_insights_enabled": True}
+    instances = spark.createDataFrame(
+        [
+            {**{f: None for f in INSTANCES.fieldNames()}, **entry, "account_id": account, "dbi_resource_id": source}
+            for account, source in (("1", "db-ONE"), ("2", "db-TWO"))
+        ],
+        INSTANCES,
+    )
+    asked = spark.createDataFrame([("1", "r1", "db-a"), ("2", "r1", "db-a"), ("2", "r2", "db-a")], "account_id string, region string, resource_id string")
+    found = {(r.account_id, r.region): r.dbi_resource_id for r in load_enabled_split(asked, instances).collect()}
+    assert found == {("1", "r1"): "db-ONE", ("2", "r1"): "db-TWO", ("2", "r2"): None}
+
+
 def test_findings_never_attach_to_another_rank(spark):
     samples = load(spark, [("a", 1, f"q{i}", 10 - i) for i in range(3)] + [("b", 1, "q0", 1)])
     notes = findings(spark, [("a", "2", "f", "s", "medium"), ("a", "9", "gone", "", "high"), ("c", "1", "gone", "", "high")])
