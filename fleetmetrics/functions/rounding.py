@@ -19,9 +19,12 @@ def steady(x: Column) -> Column:
     sits on a rounding tie from flipping between runs or after a task retry.
     """
     magnitude = F.abs(x)
-    scale = F.pow(F.lit(10.0), 12 - F.floor(F.log10(magnitude)))
-    in_range = (magnitude >= 1e-10) & (magnitude < 1e13)
-    return F.when(in_range, F.rint(x * scale) / scale).otherwise(x)
+    exponent = F.floor(F.log10(magnitude))
+    # One of the two factors is 1. Powers of ten up to 1e22 are exact; 1e308 is the last.
+    up = F.pow(F.lit(10.0), F.least(F.greatest(12 - exponent, F.lit(0)), F.lit(308)))
+    down = F.pow(F.lit(10.0), F.greatest(exponent - 12, F.lit(0)))
+    finite = (magnitude > 0) & (magnitude < float("inf"))
+    return F.when(finite, F.rint(x * up / down) * down / up).otherwise(x)
 
 
 def sql_round(x: Column, decimals: int) -> Column:

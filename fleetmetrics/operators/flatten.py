@@ -143,6 +143,12 @@ def rows_of(header_rows: DataFrame, on_error: str = "fail") -> DataFrame:
     return curated_rows(points(valid).where(F.col(REASON).isNull()))
 
 
+def check_quarantine(on_error: str, quarantine_root: str | None) -> None:
+    """Refused rows must land somewhere: nothing is left out without a trace."""
+    if on_error == "quarantine" and not quarantine_root:
+        raise ValueError("on_error='quarantine' needs a quarantine_root")
+
+
 def rejects(raw: DataFrame) -> DataFrame:
     """Everything :func:`flatten` refuses: one row per bad payload or bad datapoint."""
     header_rows = headers(raw)

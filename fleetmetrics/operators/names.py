@@ -1,23 +1,22 @@
-"""Resolve loosely typed names to instance ids, account by account.
+"""Resolve loosely typed names to instance ids, one account and region at a time.
 
 A name is tried as: 1 an exact instance id, 2 an exact cluster id (its
 members), 3 part of cluster ids (their members), 4 part of instance ids. The
-first tier with a result wins within an account. Case and surrounding blanks do
-not matter.
+first tier with a result wins within an account and region. Case and surrounding
+blanks do not matter.
 
 All four tiers are one substring search, because an exact id also contains its
-name. The search is expressed as an equi-join, not as a nested loop over all
-pairs: an identifier is indexed under its short grams, a name looks up only its
-rarest gram, and ``contains`` confirms the few candidates. A name of up to
-three characters is its own gram.
+name. The search is an equi-join on the whole name, not a nested loop over all
+pairs: an identifier is cut into its substrings of just those lengths that occur
+among the names, so only true matches come out of the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-GRAM = 3
-KEY = ["name", "account_id"]
+PLACE = ["account_id", "region"]
+KEY = ["name", *PLACE]
 
 
 def normalize(name: Column) -> Column:
@@ -25,53 +24,33 @@ def normalize(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
 
 
-def _windows(text: Column, size: int) -> Column:
-    """All substrings of ``size`` characters (none if the text is shorter)."""
-    last = F.char_length(text) - size + 1
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _index_grams(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[_windows(text, size) for size in range(1, GRAM + 1)]))
-
-
-def _lookup_grams(text: Column) -> Column:
-    return F.array_distinct(
-        F.when(F.char_length(text) <= GRAM, F.array(text)).otherwise(_windows(text, GRAM))
-    )
-
-
 def substring_pairs(names: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Each identifier row next to every name it contains.
 
-    ``names`` holds distinct normalized names in column ``name``; identifiers
-    come in column ``identifier`` (compared in lower case) with any others.
+    ``names`` holds distinct, non-empty normalized names in column ``name``;
+    identifiers come in column ``identifier`` (compared in lower case) with any
+    others. Rows grow with the inventory: an identifier of n characters gives at
+    most n substrings for each length in use. The lengths in use are broadcast;
+    k of them need at least k * k / 2 characters of names, so they stay few.
     """
-    index = identifiers.withColumn("gram", F.explode(_index_grams(F.lower("identifier"))))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("frequency"))
-    wanted = names.withColumn("grams", _lookup_grams(F.col("name"))).select(
-        "name", F.size("grams").alias("needed"), F.explode("grams").alias("gram")
-    )
-    # A name with a gram no identifier has cannot match anything.
-    rarest = (
-        wanted.join(frequency, "gram")
-        .groupBy("name", "needed")
-        .agg(F.count("*").alias("found"), F.min(F.struct("frequency", "gram")).alias("pick"))
-        .where(F.col("found") == F.col("needed"))
-        .select("name", F.col("pick.gram").alias("gram"))
+    lengths = names.select(F.char_length("name").alias("_size")).distinct()
+    text = F.lower("identifier")
+    last = F.char_length(text) - F.col("_size") + 1
+    cuts = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.col("_size")))
+    sized = (
+        identifiers.where(F.col("identifier") != "")
+        .withColumn("_size", F.explode(F.sequence(F.lit(1), F.char_length(text))))
+        .join(F.broadcast(lengths), "_size")
     )
     return (
-        index.join(rarest, "gram")
-        .where(F.contains(F.lower("identifier"), F.col("name")))
+        sized.withColumn("name", F.explode(F.array_distinct(cuts)))
+        .join(names.select("name"), "name")
         .select("name", *identifiers.columns)
     )
 
 
 def name_hits(names: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
-    """(name, account_id, tier, place, identifier) for every id that contains a name.
+    """(name, account_id, region, tier, place, identifier) for every id that contains a name.
 
     Clusters without members never answer, so they are taken from ``members``.
     ``place`` is the listing order among equally spelled ids, 0 in the
@@ -80,13 +59,13 @@ def name_hits(names: DataFrame, members: DataFrame, instances: DataFrame) -> Dat
     wanted = names.select(normalize(F.col("name")).alias("name")).where(F.col("name") != "").distinct()
     clusters = (
         members.where(F.col("identifier").isNotNull() & F.col("cluster_identifier").isNotNull())
-        .groupBy("account_id", F.col("cluster_identifier").alias("identifier"))
+        .groupBy(*PLACE, F.col("cluster_identifier").alias("identifier"))
         .agg(F.min("cluster_ordinal").alias("ordinal"))
         .withColumn("is_cluster", F.lit(True))
     )
     known = (
         instances.where(F.col("identifier").isNotNull())
-        .groupBy("account_id", "identifier")
+        .groupBy(*PLACE, "identifier")
         .agg(F.min("ordinal").alias("ordinal"))
         .withColumn("is_cluster", F.lit(False))
     )
@@ -106,7 +85,7 @@ def name_hits(names: DataFrame, members: DataFrame, instances: DataFrame) -> Dat
 
 
 def best_tiers(hits: DataFrame) -> DataFrame:
-    """The tier that answers each (name, account), and the first place in it."""
+    """The tier that answers each (name, account, region), and the first place in it."""
     return (
         hits.groupBy(*KEY)
         .agg(F.min(F.struct("tier", "place")).alias("best"))
@@ -122,7 +101,7 @@ def expand_hits(hits: DataFrame, chosen: DataFrame, members: DataFrame) -> DataF
     """
     cluster_hit = F.col("tier").isin(2, 3)
     listed = members.where(F.col("identifier").isNotNull()).select(
-        "account_id",
+        *PLACE,
         F.col("cluster_identifier").alias("lookup"),
         F.col("identifier").alias("member"),
         F.col("member_pos").cast("long").alias("member_pos"),
@@ -133,7 +112,7 @@ def expand_hits(hits: DataFrame, chosen: DataFrame, members: DataFrame) -> DataF
             "lookup",
             F.when(cluster_hit, F.col("identifier")).otherwise(F.concat(F.lit("\0"), "identifier")),
         )
-        .join(listed, ["account_id", "lookup"], "left")
+        .join(listed, [*PLACE, "lookup"], "left")
         .select(
             *KEY,
             "tier",
@@ -145,7 +124,7 @@ def expand_hits(hits: DataFrame, chosen: DataFrame, members: DataFrame) -> DataF
 
 
 def resolve_names(names: DataFrame, members: DataFrame, instances: DataFrame) -> DataFrame:
-    """(name, account_id, tier, resource_id, position) for all distinct names.
+    """(name, account_id, region, tier, resource_id, position) for all distinct names.
 
     ``position`` orders the members of an exact cluster; the other tiers are
     ordered by id. Names without a match give no row. Rows stay long, so a name

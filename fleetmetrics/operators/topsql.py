@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..catalog import SQL_DISPLAY_LIMIT, SQL_TEXT_LIMIT, TRUNCATION_MARK
 from ..functions.rounding import round_steady
@@ -126,7 +126,8 @@ def with_share(ranked: DataFrame) -> DataFrame:
 def normalize_findings(findings: DataFrame) -> DataFrame:
     """Explode finding lists and keep entries that point at a ranked statement.
 
-    Dropped: no resource, no integer rank of at least 1, no finding text.
+    Dropped: no resource, no integer rank of at least 1, no finding text. A rank given as
+    a number is cut to its integer part; one given as text must be written as an integer.
     Confidence defaults to ``low``. ``position`` is the place in the list.
     """
     entry = findings.select(F.posexplode("queries").alias("position", "q")).select("position", "q.*")
@@ -135,7 +136,10 @@ def normalize_findings(findings: DataFrame) -> DataFrame:
         return F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", "")
 
     confidence = F.coalesce(F.nullif(F.col("confidence"), F.lit("")), F.lit("low"))
-    rank = F.when(F.col("rank").rlike(r"^\s*[+-]?\d+\s*$"), F.trim("rank").try_cast("int"))
+    if isinstance(entry.schema["rank"].dataType, T.StringType):
+        rank = F.when(F.col("rank").rlike(r"^\s*[+-]?\d+\s*$"), F.trim("rank").try_cast("int"))
+    else:
+        rank = F.col("rank").try_cast("int")
     return entry.select(
         clean("resource_id").alias("resource_id"),
         rank.alias("rank"),

@@ -7,8 +7,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.dedup import deduplicate, merge_hours
-from ..operators.flatten import REASON, headers, rejects, rows_of
+from ..operators.dedup import SAMPLE_KEY, deduplicate, merge_hours
+from ..operators.flatten import REASON, check_quarantine, headers, rejects, rows_of
 from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import hours_of, register_curated, write_curated
 from ..sources.raw import list_objects, object_counts, read_raw
@@ -31,11 +31,13 @@ def curate(
     Only the hours that occur in the input are overwritten, so running twice
     gives the same table. With ``collection_dates`` the refresh reads only the
     payloads collected on those days and merges them into the hours they touch.
-    With ``on_error="quarantine"`` and a root for it, the
-    refused rows are written there with their reasons. The row statistics are
+    With ``on_error="quarantine"`` the
+    refused rows replace what ``quarantine_root`` holds, each with its reason, and are
+    counted. The row statistics are
     observed while the one write job runs; ``file_stats`` adds a listing of the
     files written.
     """
+    check_quarantine(on_error, quarantine_root)
     collection_dates = None if collection_dates is None else list(collection_dates)
     started = datetime.now(timezone.utc)
     raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line)
@@ -56,12 +58,15 @@ def curate(
         latest = merge_hours(latest, hours_of(spark, curated_root, touched))
     write_curated(latest, curated_root)
 
-    if on_error == "quarantine" and quarantine_root:
-        rejects(raw).write.mode("append").parquet(quarantine_root)
+    if on_error == "quarantine":
+        refused = Observation("rejected")
+        bad = rejects(raw).observe(refused, F.count(F.lit(1)).alias("rejected_count"))
+        bad.write.mode("overwrite").parquet(quarantine_root)
     if table:
         register_curated(spark, table, curated_root)
 
     stats = {**read.get, **flat.get, **kept.get}
+    stats["rejected_count"] = refused.get["rejected_count"] if on_error == "quarantine" else 0
     stats["duplicates_removed"] = stats["raw_datapoint_count"] - stats["curated_row_count"]
     if partitioned_only:
         stats["skipped_object_count"] = object_counts(spark, raw_root).first()["skipped_count"]
@@ -91,25 +96,39 @@ def written_files(spark: SparkSession, root: str, since: datetime) -> dict[str,
 
 
 def refresh_statistics(raw: DataFrame) -> DataFrame:
-    """The refresh counts of a set of payloads as one row, without writing anything."""
+    """The refresh counts of a set of payloads as one row, without writing anything.
+
+    ``raw_datapoint_count`` counts readable datapoints, ``rejected_count`` refused payloads
+    and refused datapoints of accepted ones, as the quarantine holds them.
+    """
     header_rows = headers(raw)
     rows = rows_of(header_rows, "quarantine")
-    latest = deduplicate(rows)
     payload_counts = header_rows.agg(
         F.count(F.lit(1)).alias("raw_payload_count"),
         F.count_if(F.size("datapoints") == 0).alias("no_data_payload_count"),
-        F.sum(F.when(F.col(REASON).isNull(), F.size("datapoints"))).alias("raw_datapoint_count"),
+        F.coalesce(F.sum(F.when(F.col(REASON).isNull(), F.size("datapoints"))), F.lit(0)).alias("_listed"),
+        F.count_if(F.col(REASON).isNotNull()).alias("_refused"),
     )
+    # One row per sample, with its copies: counting needs no ordering of them.
+    samples = rows.groupBy(*dict.fromkeys((*SAMPLE_KEY, *PARTITION_COLUMNS))).agg(F.count(F.lit(1)).alias("copies"))
     curated_counts = (
-        latest.groupBy(*PARTITION_COLUMNS)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .agg(F.sum("rows").alias("curated_row_count"), F.count(F.lit(1)).alias("partition_count"))
+        samples.groupBy(*PARTITION_COLUMNS)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+        .agg(
+            F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_datapoint_count"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("curated_row_count"),
+            F.count(F.lit(1)).alias("partition_count"),
+        )
     )
     counts = payload_counts.unionByName(curated_counts, allowMissingColumns=True)
     row = counts.agg(*[F.max(c).alias(c) for c in counts.columns])
-    return row.withColumn(
-        "duplicates_removed", F.col("raw_datapoint_count") - F.col("curated_row_count")
-    )
+    listed, refused, readable = F.col("_listed"), F.col("_refused"), F.col("raw_datapoint_count")
+    return row.withColumns(
+        {
+            "rejected_count": refused + listed - readable,
+            "duplicates_removed": readable - F.col("curated_row_count"),
+        }
+    ).drop("_listed", "_refused")
 
 
 __all__ = ["curate", "list_objects", "refresh_statistics", "written_files"]

@@ -31,8 +31,12 @@ def _read_pages(spark: SparkSession, path: str, schema: Any) -> DataFrame:
 
 
 def _entries(pages: DataFrame, listing: str, entry: str) -> DataFrame:
-    """Exploded page entries with their place in the whole listing."""
-    place = F.shiftleft(F.coalesce("page_number", F.lit(0).cast("long")), 20) + F.col("pos")
+    """Exploded page entries with their place in the whole listing.
+
+    An array holds fewer than 2**31 entries, so places of different pages never meet. A
+    dump of several pages must number them; one without a number counts as page 0.
+    """
+    place = F.shiftleft(F.coalesce("page_number", F.lit(0)).cast("long"), 31) + F.col("pos")
     return pages.select(
         "account_id", "region", "page_number", F.posexplode(listing).alias("pos", entry)
     ).withColumn("ordinal", place)
@@ -140,6 +144,13 @@ def enabled_targets(targets: DataFrame) -> DataFrame:
     return targets.where("enabled")
 
 
+def query_targets(targets: DataFrame) -> DataFrame:
+    """(target_name, account_id, region): where requests about an enabled target look, its first region."""
+    return enabled_targets(targets).select(
+        F.col("name").alias("target_name"), "account_id", F.get("regions", F.lit(0)).alias("region")
+    )
+
+
 def target_regions(targets: DataFrame) -> DataFrame:
     """One row per enabled target and region."""
     return enabled_targets(targets).select(

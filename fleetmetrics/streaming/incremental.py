@@ -7,20 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import deduplicate, merge_hours
-from ..operators.flatten import flatten
+from ..operators.flatten import check_quarantine, flatten, rejects
 from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import hours_of, write_curated
 from ..sources.raw import scan_options, scan_schema, with_origin
 
 
-def merge_batch(batch: DataFrame, curated_root: str, on_error: str = "fail") -> None:
+def merge_batch(
+    batch: DataFrame,
+    curated_root: str,
+    on_error: str = "fail",
+    quarantine_root: str | None = None,
+    batch_id: int = 0,
+) -> None:
     """Merge one batch of payloads into the curated table.
 
     The touched hours are read back, united with the new rows, de-duplicated
     and overwritten as a whole, so replaying a batch changes nothing. The new
     rows are used three times (hours, pruning, merge), hence kept while the
-    batch runs; a lost executor only means parsing its files again.
+    batch runs; a lost executor only means parsing its files again. With
+    ``on_error="quarantine"`` the refused rows replace ``batch_id=<id>`` under
+    ``quarantine_root``, so a replay does not repeat them either.
     """
+    check_quarantine(on_error, quarantine_root)
     spark = batch.sparkSession
     fresh = deduplicate(flatten(batch, on_error)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -28,6 +37,8 @@ def merge_batch(batch: DataFrame, curated_root: str, on_error: str = "fail") ->
         write_curated(merge_hours(fresh, hours_of(spark, curated_root, touched)), curated_root)
     finally:
         fresh.unpersist()
+    if on_error == "quarantine":
+        rejects(batch).write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch_id={batch_id}")
 
 
 def incremental_curate(
@@ -39,6 +50,7 @@ def incremental_curate(
     max_files_per_trigger: int = 100_000,
     multi_line: bool = True,
     partitioned_only: bool = False,
+    quarantine_root: str | None = None,
 ) -> StreamingQuery:
     """Process every raw file not seen before, then stop (``availableNow``).
 
@@ -46,6 +58,7 @@ def incremental_curate(
     that fails between hours is replayed from the raw files. ``partitioned_only``
     leaves out objects without an account partition.
     """
+    check_quarantine(on_error, quarantine_root)
     source = f"{raw_root.rstrip('/')}/account_id=*" if partitioned_only else raw_root
     stream = (
         spark.readStream.schema(scan_schema())
@@ -57,6 +70,6 @@ def incremental_curate(
         with_origin(stream, raw_root)
         .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint_root)
-        .foreachBatch(lambda batch, _: merge_batch(batch, curated_root, on_error))
+        .foreachBatch(lambda batch, number: merge_batch(batch, curated_root, on_error, quarantine_root, number))
         .start()
     )

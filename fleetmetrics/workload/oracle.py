@@ -326,7 +326,8 @@ SELECT 'u' || conv_id AS resource_id, (turn + 1)::INTEGER AS rank, trim(text, E'
 FROM conversations WHERE role <> 'system' AND trim(text, E' \\t\\n\\r') <> ''"""
 
 _INSTANCES = """
-SELECT '00000000000' || (n_regionkey + 1) AS account_id, 'ap-northeast-2' AS region, s_suppkey AS ordinal,
+SELECT '00000000000' || (n_regionkey + 1) AS account_id,
+       CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END AS region, s_suppkey AS ordinal,
        s_name AS identifier, CASE WHEN s_acctbal <= 9000 THEN 'db-S' || s_suppkey END AS dbi_resource_id,
        CASE s_suppkey % 8 WHEN 0 THEN 'aurora-mysql' WHEN 1 THEN 'mysql' WHEN 2 THEN 'postgres'
             WHEN 3 THEN 'oracle-ee' WHEN 4 THEN 'sqlserver-ex' WHEN 5 THEN 'sqlserver-se'
@@ -354,18 +355,18 @@ SELECT DISTINCT lower(trim(name)) AS name FROM (
 
 def _resolved(names: str) -> str:
     return f"""
-SELECT name, account_id, tier, resource_id, position FROM (
-  SELECT *, min(tier) OVER (PARTITION BY name, account_id) AS best FROM (
-    SELECT name, account_id, 1 AS tier, identifier AS resource_id, NULL::BIGINT AS position
+SELECT name, account_id, region, tier, resource_id, position FROM (
+  SELECT *, min(tier) OVER (PARTITION BY name, account_id, region) AS best FROM (
+    SELECT name, account_id, region, 1 AS tier, identifier AS resource_id, NULL::BIGINT AS position
     FROM ({names}) JOIN ({_INSTANCES}) ON lower(identifier) = name
     UNION ALL
-    SELECT name, account_id, 2, identifier, ordinal
+    SELECT name, account_id, region, 2, identifier, ordinal
     FROM ({names}) JOIN ({_INSTANCES}) ON lower(cluster_identifier) = name
     UNION ALL
-    SELECT DISTINCT name, account_id, 3, identifier, NULL::BIGINT
+    SELECT DISTINCT name, account_id, region, 3, identifier, NULL::BIGINT
     FROM ({names}) JOIN ({_INSTANCES}) ON contains(lower(cluster_identifier), name)
     UNION ALL
-    SELECT name, account_id, 4, identifier, NULL::BIGINT
+    SELECT name, account_id, region, 4, identifier, NULL::BIGINT
     FROM ({names}) JOIN ({_INSTANCES}) ON contains(lower(identifier), name)))
 WHERE tier = best"""
 
@@ -411,6 +412,12 @@ _TARGETS = """
 SELECT replace(r_name, ' ', '-') AS target_name, '00000000000' || (r_regionkey + 1) AS account_id
 FROM region WHERE r_regionkey < 4"""
 
+# Requests look at a target in the first of its regions.
+_ASKED = """
+SELECT replace(r_name, ' ', '-') AS target_name, '00000000000' || (r_regionkey + 1) AS account_id,
+       CASE WHEN r_regionkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END AS region
+FROM region WHERE r_regionkey < 4"""
+
 _REQUEST_NAMES = f"SELECT DISTINCT lower(target) AS name FROM ({_REQUESTS_SQL}) WHERE status = 'ok'"
 
 # The instance's own cluster only: one supplier in three names none.
@@ -419,16 +426,16 @@ SELECT s_name AS identifier, n_name AS cluster_identifier FROM supplier JOIN nat
 WHERE s_suppkey % 3 <> 0"""
 
 _SCOPE_SQL = f"""
-WITH parsed AS ({_REQUESTS_SQL}), t AS ({_TARGETS}),
-ids AS (SELECT r.name, r.account_id, t.target_name, r.resource_id
-        FROM ({_resolved(_REQUEST_NAMES)}) r JOIN t USING (account_id)),
-counts AS (SELECT name, count(DISTINCT account_id) AS matches, min(account_id) AS account_id,
+WITH parsed AS ({_REQUESTS_SQL}), t AS ({_ASKED}),
+ids AS (SELECT r.name, r.account_id, r.region, t.target_name, r.resource_id
+        FROM ({_resolved(_REQUEST_NAMES)}) r JOIN t USING (account_id, region)),
+counts AS (SELECT name, count(DISTINCT account_id) AS matches, min(account_id) AS account_id, min(region) AS region,
                   min(target_name) AS target_name FROM ids GROUP BY name),
 settled AS (
-  SELECT p.*, t.account_id AS named, c.account_id AS found, c.target_name AS found_name,
+  SELECT p.*, t.account_id AS named, t.region AS named_region, c.account_id AS found, c.region AS found_region, c.target_name AS found_name,
     CASE WHEN p.status <> 'ok' THEN p.status
          WHEN t.account_id IS NOT NULL AND p.mode IN ('live', 'topsql')
-              AND t.account_id NOT IN (SELECT account_id FROM ({_INSTANCES})) THEN 'no_instances'
+              AND t.account_id || t.region NOT IN (SELECT account_id || region FROM ({_INSTANCES})) THEN 'no_instances'
          WHEN t.account_id IS NOT NULL THEN 'ok'
          WHEN c.matches IS NULL THEN 'not_found' WHEN c.matches > 1 THEN 'ambiguous' ELSE 'ok' END AS final
   FROM parsed p LEFT JOIN t ON p.target = t.target_name LEFT JOIN counts c ON lower(p.target) = c.name)"""
@@ -436,23 +443,25 @@ settled AS (
 _SCOPES_SQL = f"""{_SCOPE_SQL}
 SELECT request_id, target, mode, value,
        CASE WHEN final = 'ok' THEN coalesce(named, found) END AS account_id,
+       CASE WHEN final = 'ok' THEN coalesce(named_region, found_region) END AS region,
        CASE WHEN final = 'ok' THEN CASE WHEN named IS NOT NULL THEN target ELSE found_name END END AS target_name,
        coalesce(final = 'ok' AND named IS NOT NULL AND mode NOT IN ('live', 'topsql'), false) AS all_resources,
        CASE WHEN final <> 'ok' THEN NULL
             WHEN named IS NULL THEN CASE WHEN mode IN ('storage', 'report') THEN 'clusters:' ELSE 'name:' END || lower(target)
-            WHEN mode IN ('live', 'topsql') THEN 'account:' || named END AS scope,
+            WHEN mode IN ('live', 'topsql') THEN 'account:' || named || ':' || named_region END AS scope,
        final AS status
 FROM settled"""
 
 _SCOPE_IDS_SQL = f"""{_SCOPE_SQL},
-loose AS (SELECT DISTINCT s.mode IN ('storage', 'report') AS wide, i.name, i.account_id, i.resource_id
+loose AS (SELECT DISTINCT s.mode IN ('storage', 'report') AS wide, i.name, i.account_id, i.region, i.resource_id
           FROM settled s JOIN ids i ON lower(s.target) = i.name WHERE s.final = 'ok' AND s.named IS NULL)
-SELECT CASE WHEN wide THEN 'clusters:' ELSE 'name:' END || name AS scope, account_id, resource_id FROM loose
+SELECT CASE WHEN wide THEN 'clusters:' ELSE 'name:' END || name AS scope, account_id, region, resource_id FROM loose
 UNION
-SELECT 'clusters:' || name, account_id, o.cluster_identifier FROM loose JOIN ({_OWN_CLUSTER}) o ON resource_id = o.identifier
+SELECT 'clusters:' || name, account_id, region, o.cluster_identifier FROM loose JOIN ({_OWN_CLUSTER}) o ON resource_id = o.identifier
 WHERE wide
 UNION
-SELECT DISTINCT 'account:' || named, named, i.identifier FROM settled s JOIN ({_INSTANCES}) i ON s.named = i.account_id
+SELECT DISTINCT 'account:' || named || ':' || named_region, named, named_region, i.identifier
+FROM settled s JOIN ({_INSTANCES}) i ON s.named = i.account_id AND s.named_region = i.region
 WHERE s.final = 'ok' AND s.mode IN ('live', 'topsql')"""
 
 _BASE_METRICS = """['CPUUtilization', 'DatabaseConnections', 'FreeableMemory', 'ReadIOPS', 'WriteIOPS', 'ReadLatency',
@@ -484,7 +493,7 @@ SELECT t.target_name, i.account_id, i.region, 'DBInstanceIdentifier' AS resource
 FROM ({_INSTANCES}) i JOIN ({_TARGETS}) t USING (account_id)
 WHERE status = 'available'
 UNION ALL
-SELECT t.target_name, account_id, 'ap-northeast-2', 'DBClusterIdentifier', n_name,
+SELECT t.target_name, account_id, CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END, 'DBClusterIdentifier', n_name,
        CASE n_nationkey % 3 WHEN 0 THEN 'aurora-mysql' ELSE 'aurora-postgresql' END, n_name, 'cluster',
        'operational-v1', 'aurora-cluster', ['VolumeBytesUsed']
 FROM (SELECT *, '00000000000' || (n_regionkey + 1) AS account_id FROM nation) JOIN ({_TARGETS}) t USING (account_id)
@@ -572,7 +581,7 @@ SELECT (SELECT count(*) * 10 FROM asked) AS raw_payload_count,
        (SELECT count(*) FROM points) AS raw_datapoint_count,
        (SELECT count(*) FROM points) AS curated_row_count,
        (SELECT count(DISTINCT date_trunc('hour', period_start)) FROM points) AS partition_count,
-       0::BIGINT AS duplicates_removed""",
+       0::BIGINT AS rejected_count, 0::BIGINT AS duplicates_removed""",
     "response_datapoints": f"""
 WITH points AS ({_PERIODS}),
 asked AS (SELECT user_id, day, metric_name, statistic, unit
@@ -667,8 +676,8 @@ WHERE identifier IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM custome
 WITH t AS ({_TARGETS}), where_ AS (SELECT *, unnest(['ap-northeast-2', 'us-east-1']) AS region FROM t),
 i AS ({_INSTANCES}), p AS ({_PLAN_SQL})
 SELECT w.target_name, w.account_id, w.region,
-  CASE WHEN w.region = 'ap-northeast-2' THEN (SELECT count(*) FROM nation
-       WHERE '00000000000' || (n_regionkey + 1) = w.account_id) ELSE 0 END AS cluster_count,
+  (SELECT count(*) FROM nation WHERE '00000000000' || (n_regionkey + 1) = w.account_id
+     AND CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END = w.region) AS cluster_count,
   (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region) AS instance_count,
   (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region AND i.status = 'available')
     AS selected_instance_count,

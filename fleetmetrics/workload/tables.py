@@ -16,6 +16,7 @@ from ..schemas import CLUSTER_MEMBERS, CLUSTERS, CURATED, FINDINGS, INSTANCES, S
 
 ACCOUNT = "000000000001"
 REGION = "ap-northeast-2"
+OTHER_REGION = "us-east-1"
 SNAPSHOT_DAY = date(2024, 1, 20)
 AS_OF = datetime(2024, 1, 20, 12, 0)
 LOOKBACK_MINUTES = 1440
@@ -334,7 +335,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nation_region() -> tuple[Column, Column]:
     account = F.concat(F.lit("00000000000"), F.col("n_regionkey") + 1)
-    return account.alias("account_id"), F.lit(REGION).alias("region")
+    region = F.when(F.pmod("n_nationkey", F.lit(2)) == 1, OTHER_REGION).otherwise(REGION)
+    return account.alias("account_id"), region.alias("region")
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,13 +405,15 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """World regions as configured targets; the last one is switched off."""
+    """World regions as configured targets, looked at in either region first; the last one is switched off."""
     key = F.col("r_regionkey")
     return table(spark, sf_dir, "region").select(
         F.replace("r_name", F.lit(" "), F.lit("-")).alias("name"),
         F.concat(F.lit("00000000000"), key + 1).alias("account_id"),
         F.lit("observer").alias("role_name"),
-        F.array(F.lit(REGION), F.lit("us-east-1")).alias("regions"),
+        F.when(F.pmod(key, F.lit(2)) == 1, F.array(F.lit(OTHER_REGION), F.lit(REGION)))
+        .otherwise(F.array(F.lit(REGION), F.lit(OTHER_REGION)))
+        .alias("regions"),
         (key < 4).alias("enabled"),
     ).select(*TARGETS.fieldNames())
 

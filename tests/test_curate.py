@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetmetrics import curate, incremental_curate, read_curated
 from fleetmetrics.operators.dedup import deduplicate
 from fleetmetrics.operators.flatten import POSITION, REASON, flatten, rejects
+from fleetmetrics.plans.curate import refresh_statistics
 from fleetmetrics.schemas import CURATED
 from fleetmetrics.sources.curated import register_curated, scope, write_curated
 from fleetmetrics.sources.raw import object_counts, read_raw
@@ -214,6 +215,27 @@ def test_quarantine_keeps_the_good_and_writes_the_bad(spark, tmp_path):
     assert [r[REASON] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["Empty resource_id"]
 
 
+def test_rejects_are_counted_and_never_lost(spark, tmp_path):
+    bad = [{"timestamp": "2026-08-19T01:00:00Z", "value": 1.0}, {"timestamp": "2026-08-19T01:05:00Z", "value": "x"}]
+    write_payload(tmp_path / "raw", "mixed.json", payload(datapoints=bad))
+    write_payload(tmp_path / "raw", "bad.json", payload(resource_id=""))
+    raw, out, refused = (str(tmp_path / name) for name in ("raw", "out", "refused"))
+    with pytest.raises(ValueError, match="quarantine_root"):
+        curate(spark, raw, out, on_error="quarantine")
+    with pytest.raises(ValueError, match="quarantine_root"):
+        incremental_curate(spark, raw, out, str(tmp_path / "progress"), on_error="quarantine")
+    for _ in range(2):
+        stats = curate(spark, raw, out, on_error="quarantine", quarantine_root=refused)
+        assert (stats["curated_row_count"], stats["rejected_count"], stats["duplicates_removed"]) == (1, 2, 0)
+        assert spark.read.parquet(refused).count() == 2
+    counted = refresh_statistics(raw_of(spark, tmp_path / "raw")).first()
+    assert (counted.raw_datapoint_count, counted.rejected_count, counted.duplicates_removed) == (1, 2, 0)
+    incremental_curate(
+        spark, raw, out, str(tmp_path / "progress"), on_error="quarantine", quarantine_root=f"{refused}-live"
+    ).awaitTermination()
+    assert spark.read.parquet(f"{refused}-live").count() == 2
+
+
 def test_curated_scope_prunes_partitions_and_keeps_text_types(spark, tmp_path):
     raw, out = tmp_path / "raw", tmp_path / "out"
     _fill(raw)

@@ -67,8 +67,10 @@ def test_sql_round_is_half_away_from_zero(spark):
 
 
 def test_steady_drops_only_summation_noise(spark):
-    df = spark.createDataFrame([(1.0149999999999997,), (0.1 + 0.2,), (1e13 + 1,), (0.0,)], "x double")
-    assert [r[0] for r in df.select(steady(F.col("x"))).collect()] == [1.015, 0.3, 1e13 + 1, 0.0]
+    df = spark.createDataFrame([(1.0149999999999997,), (0.1 + 0.2,), (1e13 + 1,), (0.0,), (-3e-200 / 7,), (float("inf"),)], "x double")
+    assert [r[0] for r in df.select(steady(F.col("x"))).collect()] == [
+        1.015, 0.3, 1e13, 0.0, -4.285714285714e-201, float("inf")
+    ]
 
 
 def test_number_text_is_plain(spark):

@@ -176,6 +176,30 @@ def test_scopes_over_several_accounts(spark):
     }
 
 
+def test_only_the_first_region_of_a_target_is_asked(spark):
+    _, members, instances = inventory(spark, FLEET, ALONE)
+    _, far_members, far = inventory(spark, {"far": ["far-1"]}, ["devops-db"])
+    other = F.lit("us-east-1")
+    members = members.unionByName(far_members.withColumn("region", other))
+    instances = instances.unionByName(far.withColumn("region", other))
+    targets = targets_table(
+        spark, [{"name": "main", "account_id": ACCOUNT, "role_name": "r", "regions": [REGION, "us-east-1"]}]
+    )
+    lines = [("1", "topsql main"), ("2", "health far"), ("3", "health devops-db")]
+    scopes, resources = resolve_requests(spark.createDataFrame(lines, REQUESTS), targets, members, instances, TODAY)
+    assert rows_of(scopes, "request_id", "status", "region") == [
+        ("1", "ok", REGION), ("2", "not_found", None), ("3", "ok", REGION),
+    ]
+    listed = scopes.select("request_id", "scope").join(resources, "scope")
+    assert rows_of(listed.where("request_id = '1'"), "resource_id", "region") == [
+        (i, REGION) for i in ("Reports", "bill-1", "devops-db", "orders-a", "orders-c")
+    ]
+    found = resolve_names(spark.createDataFrame([("devops",), ("far",)], "name string"), members, instances)
+    assert rows_of(found, "name", "region", "resource_id") == [
+        ("devops", REGION, "devops-db"), ("devops", "us-east-1", "devops-db"), ("far", "us-east-1", "far-1"),
+    ]
+
+
 def test_target_checks(spark):
     good = {"name": "n", "account_id": ACCOUNT, "role_name": "r", "regions": [REGION, "us-east-1"]}
     assert target_regions(targets_table(spark, [good])).count() == 2

@@ -94,6 +94,13 @@ def test_findings_are_normalized(spark):
     ]
 
 
+def test_numeric_ranks_are_cut_to_integers(spark):
+    note = "struct<resource_id:string,rank:double,finding:string,suggestion:string,confidence:string>"
+    lists = [("o", [("a", 3.7, "x", None, None), ("a", 0.9, "x", None, None), ("a", None, "x", None, None)])]
+    df = spark.createDataFrame(lists, f"overall string, queries array<{note}>")
+    assert rows_of(normalize_findings(df), "resource_id", "rank") == [("a", 3)]
+
+
 def test_last_finding_of_a_statement_stands(spark):
     notes = normalize_findings(findings(spark, [("a", "1", "z first", "s", "high"), ("a", "1", "a last", "s", "low")]))
     ranked = spark.createDataFrame([("a", 1, False)], "resource_id string, rank int, sql_text_truncated boolean")
