@@ -4,7 +4,8 @@ Vectors are centred on the mean of all and scaled to unit length for hashing onl
 function is a pseudo-rotation (three rounds of random signs and a fast Hadamard transform)
 followed by the nearest of the signed axes; a table joins ``depth`` of them, the last one
 cut to as many axes as makes the number of buckets follow the number of vectors. Queries
-also look into the buckets of the next nearest axes (multiprobe). Within a bucket all
+also look into the buckets of the next nearest axes (multiprobe), into more of them the
+more vectors there are (``probes_for``), so that recall holds. Within a bucket all
 vectors are compared exactly, on the original vectors in double precision, and each query
 keeps the best of the bucket, so what leaves a bucket grows with the queries alone.
 
@@ -21,6 +22,7 @@ columns beside the two named are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,24 @@ from .common import built_once, chunked, staged
 FOUND = "query_id long, vec_id long, score double"
 
 
+def layout(dim: int, n: int, bucket: int) -> tuple[int, int]:
+    """(depth, last): buckets = (2 size)^(depth - 1) * 2 last, about n / bucket."""
+    size = 1 << max(1, (dim - 1).bit_length())
+    buckets, depth = max(2.0, n / bucket), 1
+    while buckets > 2 * size:
+        buckets, depth = buckets / (2 * size), depth + 1
+    return depth, int(min(size, max(1, round(buckets / 2))))
+
+
+def probes_for(n: int) -> int:
+    """Buckets a query looks into in each of 12 tables: 24 up to 50,000 vectors, then 24 (n / 50,000)^0.6.
+
+    Fitted on vectors without structure (uniform directions, dim 64), the hardest case: there
+    recall of the 10 nearest stays over 0.9; the README has the figures.
+    """
+    return max(24, math.ceil(24 * (n / 50_000) ** 0.6))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part, v as doubles."""
     v = F.col("embedding").cast("array<double>")
@@ -177,15 +197,16 @@ def nearest(
     queries: DataFrame,
     k: int = 10,
     tables: int = 12,
-    probes: int = 24,
+    probes: int | None = None,
     bucket: int = 48,
     chunk: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): Euclidean neighbours of every row of ``queries``.
 
     ``bucket`` is the number of vectors a bucket should hold on average; the number of
-    buckets follows from it, so the work of a query stays the same at any size. Buckets of
-    more than ``chunk`` vectors are split over tasks.
+    buckets follows from it. A query looks into ``probes`` buckets of each table, by default
+    as many as ``probes_for`` says, so its work grows with the 0.6th power of the vectors.
+    Buckets of more than ``chunk`` vectors are split over tasks.
     """
     spark = vectors.sparkSession
     base = staged(usable(vectors), "vectors")
@@ -196,33 +217,31 @@ def nearest(
     dim, n = int(shape["dim"]), int(shape["count"])
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     mean = np.array(base.agg(*[F.avg(F.element_at("v", i + 1)) for i in range(dim)]).first(), np.float64)
-    size = 1 << max(1, (dim - 1).bit_length())
-    # buckets = (2 size)^(depth - 1) * 2 last, about n / bucket
-    buckets, depth = max(2.0, n / bucket), 1
-    while buckets > 2 * size:
-        buckets, depth = buckets / (2 * size), depth + 1
-    last = int(min(size, max(1, round(buckets / 2))))
+    depth, last = layout(dim, n, bucket)
+    probes = probes or probes_for(n)
     key = uuid.uuid4().hex
 
     def hashed(count: int, kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = built_once(key, lambda: CrossPolytope(dim, mean, tables, depth, last))
+            # Probing tries count * min(count, axes) sums for each row; a block tries about a million.
+            block = min(2048, max(1, (1 << 20) // (count * min(count, 2 * hashes.size))))
             for whole in batches:
-                for start in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(start, 2048)
+                for start in range(0, whole.num_rows, block):
+                    batch = whole.slice(start, block)
                     unit = hashes.unit(_matrix(batch.column(1)))
                     for table in range(tables):
                         codes = hashes.probes(unit, table, count)
-                        for probe in range(codes.shape[1]):
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array(np.full(len(codes), table, np.int32)),
-                                    pa.array(codes[:, probe]),
-                                    pa.array(np.full(len(codes), kind, np.int32)),
-                                    *batch.columns,
-                                ],
-                                ["table", "code", "kind", "vec_id", "v"],
-                            )
+                        each = batch if codes.shape[1] == 1 else batch.take(pa.array(np.repeat(np.arange(len(codes)), codes.shape[1])))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(codes.size, table, np.int32)),
+                                pa.array(codes.ravel()),
+                                pa.array(np.full(codes.size, kind, np.int32)),
+                                *each.columns,
+                            ],
+                            ["table", "code", "kind", "vec_id", "v"],
+                        )
 
         return run
 

@@ -310,6 +310,24 @@ def test_nearest_vectors_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_probes_hold_recall_on_many_vectors():
+    """200,000 vectors without structure; a neighbour is found if it lies in a probed bucket."""
+    rng, n = np.random.default_rng(4), 200_000
+    matrix = rng.normal(size=(n, 64)).astype(np.float32)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    asked = matrix[:100].astype(np.float64)
+    near = matrix @ matrix[:100].T
+    near[np.arange(100), np.arange(100)] = -2
+    best = np.argpartition(-near, 10, axis=0)[:10].T
+    hashes = vectors.CrossPolytope(64, matrix.mean(0, np.float64), 12, *vectors.layout(64, n, 48))
+    found = np.zeros(best.shape, bool)
+    for table in range(12):
+        probed = hashes.probes(hashes.unit(asked), table, vectors.probes_for(n))
+        code = hashes.probes(hashes.unit(matrix[best.ravel()].astype(np.float64)), table, 1).reshape(best.shape)
+        found |= (code[:, :, None] == probed[:, None, :]).any(2)
+    assert found.mean() >= 0.9
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i, [1.0, float(i % 3), 0.5]) for i in range(1, 12)]
