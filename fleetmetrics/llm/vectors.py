@@ -118,25 +118,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int):
-    """For a block: (query number, vec_id, distance) of each query's k best, ties by id."""
+    """For a block: (query number, vec_id, distance) of each query's k best ids, ties by id.
+
+    The rows of an id become one, the nearest, before the best are cut out.
+    """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    single = ids[first]
     for q in range(len(queries)):
         gap = vectors - queries[q]
         distance = np.sqrt((gap * gap).sum(1))
-        distance[ids == own[q]] = np.inf
-        place = np.arange(len(ids))
-        if len(ids) > 4 * k:
-            bound = np.partition(distance, 2 * k)[2 * k]
-            place = np.flatnonzero(distance <= bound)
-        best = place[np.argsort(distance[place], kind="stable")]
-        seen: set[int] = set()
-        for i in best.tolist():
-            if len(seen) == k or distance[i] == np.inf:
-                break
-            if ids[i] not in seen:
-                seen.add(int(ids[i]))
-                yield q, int(ids[i]), float(distance[i])
+        if len(single) < len(ids):
+            distance = np.minimum.reduceat(distance, first)
+        distance[single == own[q]] = np.inf
+        place = np.arange(len(single))
+        if len(single) > k:
+            place = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+        for i in place[np.argsort(distance[place], kind="stable")][:k].tolist():
+            if distance[i] < np.inf:
+                yield q, int(single[i]), float(distance[i])
 
 
 def _compare(k: int):
@@ -178,8 +179,12 @@ def _compare(k: int):
                     queries = [(own, asking)]
                     for q, vec, d in _nearest(asking, ids[~asked], matrix[~asked], own, k):
                         heap = best.setdefault(int(own[q]), [])
-                        if all(vec != -v for _, v in heap):
+                        at = next((i for i, (_, v) in enumerate(heap) if v == -vec), None)
+                        if at is None:
                             (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-d, -vec))
+                        elif d < -heap[at][0]:  # a nearer copy in a later block
+                            heap[at] = (-d, -vec)
+                            heapq.heapify(heap)
         if best:
             yield out()
 
@@ -209,8 +214,8 @@ def nearest(
     Buckets of more than ``chunk`` vectors are split over tasks.
     """
     spark = vectors.sparkSession
-    base = staged(usable(vectors), "vectors")
-    asked = usable(queries)
+    base = staged(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
+    asked = usable(queries).dropDuplicates(["vec_id", "v"])
     shape = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetmetrics.llm import (
@@ -328,6 +329,33 @@ def test_probes_hold_recall_on_many_vectors():
     assert found.mean() >= 0.9
 
 
+@pytest.mark.parametrize("bounds", [{"bucket": 10_000}, {"tables": 1, "probes": 1, "bucket": 10}])
+def test_repeated_ids_take_no_place_of_others(spark, bounds):
+    """Ids 1 and 2 have many rows nearest to the query, equal ones and different ones; all buckets
+    are probed, or only one and the exact way makes up for it."""
+    rng = np.random.default_rng(6)
+    near = [(1, [0.1, 0.0])] * 60 + [(2, [0.2 + i / 1000, 0.0]) for i in range(60)]
+    data = [(0, [0.01, 0.0]), *near, *((i, [1.0 + i / 100, float(rng.random())]) for i in range(3, 40))]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    found = vectors.nearest(rows, rows.where("vec_id = 0"), **bounds).orderBy("rank").collect()
+    least: dict[int, float] = {}
+    for i, v in data[1:]:
+        least[i] = min(least.get(i, np.inf), float(np.hypot(v[0] - 0.01, v[1])))
+    best = sorted((d, i) for i, d in least.items())[:10]
+    assert [r.vec_id for r in found] == [i for _, i in best]
+    assert [r.score for r in found] == pytest.approx([d for d, _ in best])
+
+
+def test_nearer_copy_in_a_later_block_counts():
+    columns = ["table", "code", "chunk", "kind", "vec_id", "v"]
+
+    def block(kind, ids, rows):
+        return pa.RecordBatch.from_arrays([*(pa.array([x] * len(ids)) for x in (0, 0, 0, kind)), pa.array(ids), pa.array(rows)], columns)
+
+    out = list(vectors._compare(2)(iter([block(0, [9], [[0.0]]), block(1, [1, 2], [[5.0], [2.0]]), block(1, [1, 3], [[1.0], [3.0]])])))
+    assert sorted(zip(*(out[0].column(i).to_pylist() for i in (2, 1)))) == [(1.0, 1), (2.0, 2)]
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i, [1.0, float(i % 3), 0.5]) for i in range(1, 12)]
