@@ -185,7 +185,7 @@ def _bucket_links(need: int):
     """Task code over rows (run, token, a, b, print, sketch) sorted by the first four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for prints, sketches in _groups(batches, 4):
+        for _, (prints, sketches) in _groups(batches, 4):
             if len(prints) == 1:
                 continue
             bucket = Bucket(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH), need)
@@ -198,8 +198,8 @@ def _bucket_links(need: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """The columns after the first ``keys`` (of type long), for each run of equal keys."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[list]]]:
+    """The first ``keys`` columns (of type long) and the columns after them, for each run of equal keys."""
     key, rows = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -210,12 +210,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]
         for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(names)]):
             if key is None or (names[x] != key).any():
                 if rows:
-                    yield rows
+                    yield key, rows
                 key, rows = names[x], [[] for _ in values]
             for into, column in zip(rows, values):
                 into += column[x:y]
     if rows:
-        yield rows
+        yield key, rows
 
 
 def in_chunk_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], member: Column) -> DataFrame:
@@ -279,22 +279,22 @@ def _exact_links(similarity: float):
     """Task code over rows (label, a, b, own, print, copies, set) sorted by the first three.
 
     Gives (print, root, links, texts): similar documents and similar texts of each set within
-    the block, and the root of its group there. A block of two chunks counts only pairs
-    between them; every pair of sets meets in one block.
+    the block, and the root of its group there. A block of two chunks (a <> b) counts only
+    pairs between them, none if one of the two has no member; every pair of sets counts in one block.
     """
     top = round(similarity * 10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, prints, copies, packed in _groups(batches, 3):
+        for (_, a, b), (own, prints, copies, packed) in _groups(batches, 3):
             keep = list(dict(zip(prints, range(len(prints)))).values())  # repeated rows are one text
-            if len(keep) < 2:
+            side = np.array([own[i] for i in keep])
+            if len(keep) < 2 or a != b and (side == side[0]).all():
                 continue
             sets = [np.frombuffer(packed[i], np.uint64) for i in keep]
             size = np.array([len(s) for s in sets], np.int64)
             shared = overlaps(sets).astype(np.int64)
             similar = 10_000 * shared >= top * (size[:, None] + size[None, :] - shared)
-            side = np.array([own[i] for i in keep])
-            if (side != side[0]).any():
+            if a != b:
                 similar &= side[:, None] != side[None, :]
             np.fill_diagonal(similar, False)
             weight = np.array([copies[i] for i in keep], np.int64)

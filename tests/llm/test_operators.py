@@ -146,6 +146,18 @@ def test_jaccard_join_on_odd_rows(spark, odd, nothing):
     assert ngram_join.similar_documents(nothing).count() == 0
 
 
+def test_pairs_count_once_with_more_chunks_than_members(spark):
+    """Groups of two and three long texts, each dealt over two or three chunks: some chunks have no member."""
+    rng = random.Random(9)
+    data = []
+    for group in range(12):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        data += [(10 * group + i, " ".join([*base, f"x{i}"])) for i in range(2 + group % 2)]
+    found = ngram_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string"), block_shingles=500).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == similar(data)
+    assert all(r.n_texts == r.n_links for r in found)
+
+
 def test_large_buckets_link_all_likes():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 256, (3, ngram_join.SKETCH), dtype=np.uint8)
