@@ -72,7 +72,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: Models and tokenizers are beyond SQL; tests/llm holds each stage against brute force.
+#: Models and tokenizers are beyond SQL; the README says what tests/llm checks of each stage.
 ORACLE_SQL = None
 
 
