@@ -8,10 +8,12 @@ from . import (
     line_dedup,
     mixing,
     ngram_join,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secrets,
     suffix_dedup,
+    token_alignment,
     vectors,
 )
 
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_nearest_vectors": vectors.op8_nearest_vectors,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {
