@@ -43,7 +43,7 @@ from .bpe import PATTERN, byte_letters
 from .common import built_once, sliced, staged
 
 #: Bytes of text aligned together; longer texts are aligned alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _LONGS = [T.StructField(n, T.LongType(), False) for n in ("n_a", "n_b", "n_groups")]
 _INTS = T.ArrayType(T.IntegerType(), False)
