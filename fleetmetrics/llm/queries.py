@@ -15,6 +15,7 @@ from . import (
     suffix_dedup,
     token_alignment,
     vectors,
+    warc,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_nearest_vectors": vectors.op8_nearest_vectors,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_warc": warc.op11_warc,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -35,4 +37,5 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op11_warc": warc.OP11_SQL,
 }
