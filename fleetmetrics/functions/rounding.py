@@ -10,29 +10,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: From 2**52 on a double has no fraction.
+FRACTIONLESS = 4503599627370496.0
 
-def steady(x: Column) -> Column:
-    """``x`` to 13 significant digits.
 
-    Sums of doubles depend in their last bits on the order in which partial
-    aggregates meet. Dropping those bits before rounding keeps a value that
-    sits on a rounding tie from flipping between runs or after a task retry.
+def sql_round_text(x: str, decimals: int) -> str:
+    """SQL ``ROUND(x, decimals)`` of a double column: scale, half away from zero, unscale.
+
+    Past 2**52 the scaled double has no fraction left to round, so ``x`` stays as it is.
     """
-    magnitude = F.abs(x)
-    exponent = F.floor(F.log10(magnitude))
-    # One of the two factors is 1. Powers of ten up to 1e22 are exact; 1e308 is the last.
-    up = F.pow(F.lit(10.0), F.least(F.greatest(12 - exponent, F.lit(0)), F.lit(308)))
-    down = F.pow(F.lit(10.0), F.greatest(exponent - 12, F.lit(0)))
-    finite = (magnitude > 0) & (magnitude < float("inf"))
-    return F.when(finite, F.rint(x * up / down) * down / up).otherwise(x)
+    if decimals == 0:
+        return f"round({x})"
+    scaled = f"{x} * {10**decimals}D"
+    return f"CASE WHEN abs({scaled}) < {FRACTIONLESS!r}D THEN round({scaled}) / {10**decimals}D ELSE {x} END"
 
 
 def sql_round(x: Column, decimals: int) -> Column:
-    """SQL ``ROUND(x, decimals)`` of a double: scale, half away from zero, unscale."""
+    """:func:`sql_round_text` of an expression."""
     if decimals == 0:
         return F.round(x)
     scale = float(10**decimals)
-    return F.round(x * scale) / scale
+    return F.when(F.abs(x * scale) < FRACTIONLESS, F.round(x * scale) / scale).otherwise(x)
 
 
 def even_round(x: Column, decimals: int = 0) -> Column:
@@ -56,16 +54,12 @@ def even_round(x: Column, decimals: int = 0) -> Column:
         .when(on_tie & (error < 0), below)
         .otherwise(F.rint(product))
     )
-    # Past 2**52 a double has no fraction left to round.
-    return F.when(F.abs(product) < 4503599627370496.0, rounded / scale).otherwise(x)
+    return F.when(F.abs(product) < FRACTIONLESS, rounded / scale).otherwise(x)
 
 
-def round_steady(df: DataFrame, column: str, decimals: int) -> DataFrame:
-    """Replace a computed column by its steadied, half-to-even rounded value.
+def with_even_round(df: DataFrame, column: str, decimals: int) -> DataFrame:
+    """Replace a computed column by its half-to-even rounded value.
 
-    Each step is a projection of its own, so the value is computed once and the
-    plan stays small.
+    The rounding is a projection of its own, so the value is computed once.
     """
-    return df.withColumn(column, steady(F.col(column))).withColumn(
-        column, even_round(F.col(column), decimals)
-    )
+    return df.withColumn(column, even_round(F.col(column), decimals))

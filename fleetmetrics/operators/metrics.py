@@ -6,14 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rounding import sql_round, steady
+from ..functions import exact
+from ..functions.rounding import sql_round_text
 
-_AGGREGATES = {
-    "avg": F.avg,
-    "stddev": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-}
+Stats = Sequence[tuple[str, str, str, int]]
+
+EXTREMES = ("min", "max")
 
 
 def of_metric(metric: str) -> Column:
@@ -21,35 +19,66 @@ def of_metric(metric: str) -> Column:
     return F.when(F.col("metric_name") == metric, F.col("value"))
 
 
-def raw_stats(stats: Sequence[tuple[str, str, str, int]]) -> list[Column]:
-    """The unrounded aggregates."""
-    return [
-        _AGGREGATES[aggregate](of_metric(metric)).alias(column)
-        for metric, aggregate, column, _ in stats
-    ]
+def _metrics(stats: Stats, *aggregates: str) -> list[str]:
+    """Metrics of which one of the aggregates is asked."""
+    return list(dict.fromkeys(metric for metric, aggregate, _, _ in stats if aggregate in aggregates))
+
+
+def _names(metric: str) -> tuple[str, str, str]:
+    """Names of the metric's sum, sum of squares and count."""
+    return f"sum_{metric}", f"squares_{metric}", f"count_{metric}"
+
+
+def with_value_parts(df: DataFrame, stats: Stats) -> DataFrame:
+    """``df`` with the parts of ``value`` (and of its square) that the sums of ``stats`` need."""
+    if _metrics(stats, "avg", "stddev"):
+        df = exact.with_parts(df, "_part", "value")
+    if _metrics(stats, "stddev"):
+        df = exact.with_product_parts(df, "_square", "value", "value")
+    return df
+
+
+def _of(metric: str, column: str = "value") -> str:
+    return f"CASE WHEN metric_name = '{metric}' THEN {column} END"
+
+
+def mergeable_stats(stats: Stats) -> list[str]:
+    """Aggregates over :func:`with_value_parts` whose partial results add up in any order."""
+    columns: list[str] = []
+    for metric in _metrics(stats, "avg", "stddev"):
+        total, _, count = _names(metric)
+        columns += exact.sums("_part", total, f"metric_name = '{metric}'")
+        columns.append(f"count({_of(metric)}) AS {count}")
+    for metric in _metrics(stats, "stddev"):
+        columns += exact.sums("_square", _names(metric)[1], f"metric_name = '{metric}'")
+    return columns + [f"{a}({_of(m)}) AS {c}" for m, a, c, _ in stats if a in EXTREMES]
+
+
+def finished_stats(grouped: DataFrame, stats: Stats, *kept: str) -> DataFrame:
+    """``kept`` columns of aggregated rows, and means, deviations and extremes, rounded."""
 
+    def value(metric: str, aggregate: str, column: str) -> str:
+        total, squares, count = _names(metric)
+        if aggregate == "avg":
+            return f"{exact.mean(total, count)} AS {column}"
+        if aggregate == "stddev":
+            return f"{exact.deviation(total, squares, count)} AS {column}"
+        return column
 
-def rounded_stats(stats: Sequence[tuple[str, str, str, int]]) -> list[Column]:
-    """The aggregated columns rounded for the report."""
-    return [
-        sql_round(F.col(column) if aggregate in ("min", "max") else steady(F.col(column)), decimals).alias(column)
-        for _, aggregate, column, decimals in stats
-    ]
+    # Rounded in a second step: one reference per value keeps the plan small.
+    rows = grouped.selectExpr(*kept, *[value(m, a, c) for m, a, c, _ in stats])
+    return rows.selectExpr(*kept, *[f"{sql_round_text(c, decimals)} AS {c}" for _, _, c, decimals in stats])
 
 
-def wide_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    stats: Sequence[tuple[str, str, str, int]],
-    *extra: Column,
-) -> DataFrame:
+def wide_stats(df: DataFrame, keys: Sequence[str], stats: Stats, *extra: Column) -> DataFrame:
     """``keys``, ``extra`` and all ``stats`` of each group, from one hash aggregate.
 
     Every statistic has a fixed-size buffer, so map tasks send one row per
     group they saw, and a group holding a third of all rows costs the reducer
-    no more than any other. No filter on metric names is added: a resource
-    with other metrics only must still give a row.
+    no more than any other. Sums are exact (:mod:`..functions.exact`): the order
+    in which partial results meet cannot show. No filter on metric names is
+    added: a resource with other metrics only must still give a row.
     """
-    grouped = df.groupBy(*keys).agg(*extra, *raw_stats(stats))
-    kept = grouped.columns[: len(grouped.columns) - len(stats)]
-    return grouped.select(*kept, *rounded_stats(stats))
+    sums = mergeable_stats(stats)
+    grouped = with_value_parts(df, stats).groupBy(*keys).agg(*extra, *map(F.expr, sums))
+    return finished_stats(grouped, stats, *grouped.columns[: len(grouped.columns) - len(sums)])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import BYTES_PER_GIB
-from ..functions.rounding import even_round, round_steady, steady
+from ..functions import exact
+from ..functions.rounding import even_round, with_even_round
 from .metrics import of_metric
 
 FREE, USED = "FreeStorageSpace", "VolumeBytesUsed"
@@ -46,29 +47,44 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
     """Least-squares line per resource and, for shrinking free space, its zero day.
 
     Days are counted from ``anchor`` (pass the start of the window), so the fit
-    is one mergeable aggregate and needs no per-resource first day. The zero of
+    is one mergeable aggregate of exact sums and needs no per-resource first day. The zero of
     the fitted line, not the latest value, sets the day; cluster volume never
     gets one. The line is NULL below three points; a date beyond the calendar
     is NULL while its day count stays.
     """
-    points = storage_points(history).withColumn("x", F.date_diff("date", F.lit(anchor)))
-    is_free = F.col("storage_metric") == FREE
-    fitted = points.groupBy("resource_id").agg(
+    points = with_line_parts(storage_points(history), anchor)
+    fitted = points.groupBy("resource_id").agg(*line_sums())
+    return finished_forecast(fitted)
+
+
+def with_line_parts(points: DataFrame, anchor: date) -> DataFrame:
+    """Points with the day number ``x`` and the exact parts of ``bytes`` and of ``x * bytes``."""
+    points = points.withColumn("x", F.date_diff("date", F.lit(anchor)).cast("long"))
+    points = exact.with_parts(points, "_y", "bytes")
+    return exact.with_product_parts(points, "_xy", "x", "bytes")
+
+
+def line_sums() -> list[Column]:
+    """Aggregates of a group of points that the line and the latest point follow from."""
+    return [
         F.count("*").cast("int").alias("history_days"),
         F.max("date").alias("latest_date"),
         F.max("x").alias("last_x"),
         F.max_by("bytes", "x").alias("latest_value_bytes"),
-        F.max_by(is_free, F.col("x")).alias("is_free"),
-        F.regr_slope("bytes", "x").alias("raw_slope"),
-        F.avg("x").alias("mean_x"),
-        F.avg("bytes").alias("mean_y"),
-    )
+        F.max_by(F.col("storage_metric") == FREE, F.col("x")).alias("is_free"),
+        F.sum("x").alias("sum_x"),
+        F.sum(F.col("x") * F.col("x")).alias("sum_xx"),
+        *map(F.expr, exact.sums("_y", "y") + exact.sums("_xy", "xy")),
+    ]
+
+
+def finished_forecast(fitted: DataFrame, *keys: str) -> DataFrame:
+    """The forecast of each row of :func:`line_sums`; ``keys`` come along."""
+    line = exact.line("xy", "y", "history_days", "sum_x", "sum_xx", "last_x")
+    fitted = fitted.withColumn("line", F.expr(line)).withColumns({"slope": F.col("line.slope"), "zero_in": F.col("line.zero")})
     enough = F.col("history_days") >= MIN_HISTORY_POINTS
-    fitted = fitted.withColumn("slope", F.coalesce("raw_slope", F.lit(0.0))).withColumn(
-        "zero_in", F.col("mean_x") - F.col("mean_y") / F.nullif(F.col("slope"), F.lit(0.0)) - F.col("last_x")
-    )
-    fitted = fitted.withColumn("zero_in", even_round(steady(F.col("zero_in"))))
-    fitted = round_steady(fitted.withColumn("trend", F.col("slope")), "trend", 2)
+    fitted = fitted.withColumns({"slope": F.coalesce("slope", F.lit(0.0)), "zero_in": even_round(F.col("zero_in"))})
+    fitted = with_even_round(fitted.withColumn("trend", F.col("slope")), "trend", 2)
     days = F.greatest(F.col("zero_in"), F.lit(0.0)).try_cast("long")
     room = F.date_diff(F.lit(_LAST_DAY), "latest_date")
     return (
@@ -78,6 +94,7 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
         )
         .select(
             "resource_id",
+            *keys,
             F.when(F.col("is_free"), FREE).otherwise(USED).alias("storage_metric"),
             "history_days",
             "latest_date",

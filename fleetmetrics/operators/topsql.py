@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..catalog import SQL_DISPLAY_LIMIT, SQL_TEXT_LIMIT, TRUNCATION_MARK
-from ..functions.rounding import round_steady
+from ..functions import exact
+from ..functions.rounding import with_even_round
 from ..functions.timestamps import utc_literal
 from ..functions.validators import check_lookback_minutes
 
@@ -39,8 +40,10 @@ def average_load(samples: DataFrame, samples_in_window: int | None = None) -> Da
     sessions are divided by the number of samples in the window: the given
     ``samples_in_window``, or the resource's distinct sample times.
     """
-    summed = samples.groupBy("resource_id", "sql_id", "sql_text").agg(
-        F.sum("active_sessions").alias("sessions")
+    summed = (
+        exact.with_parts(samples, "_part", "active_sessions")
+        .groupBy("resource_id", "sql_id", "sql_text")
+        .agg(*map(F.expr, exact.sums("_part", "sessions")), F.count("active_sessions").alias("known"))
     )
     if samples_in_window is not None:
         counted = summed.withColumn("samples", F.lit(samples_in_window))
@@ -53,9 +56,14 @@ def average_load(samples: DataFrame, samples_in_window: int | None = None) -> Da
         "resource_id",
         "sql_id",
         "sql_text",
-        (F.col("sessions") / F.col("samples")).alias("avg_active_sessions"),
+        F.when(F.col("known") > 0, F.expr(exact.mean("sessions", "samples"))).alias("avg_active_sessions"),
     )
-    return round_steady(loads, "avg_active_sessions", 4)
+    return with_even_round(loads, "avg_active_sessions", 4)
+
+
+def _four_decimals(load: Column) -> Column:
+    """A load, already rounded to four decimals, as the decimal it stands for: sums of it are exact."""
+    return load.try_cast("decimal(28,4)")
 
 
 def truncated(text: Column, limit: int = SQL_TEXT_LIMIT) -> Column:
@@ -106,21 +114,23 @@ def top_statements(loads: DataFrame, k: int = 10) -> DataFrame:
 def total_load(ranked: DataFrame) -> DataFrame:
     """Summed load of each resource's ranked statements, and whether it is near idle."""
     totals = ranked.groupBy("resource_id").agg(
-        F.sum(F.coalesce("avg_active_sessions", F.lit(0.0))).alias("total_active_sessions"),
+        F.sum(F.coalesce(_four_decimals(F.col("avg_active_sessions")), F.lit(0)))
+        .cast("double")
+        .alias("total_active_sessions"),
         F.count("*").alias("ranked_statements"),
     )
-    return round_steady(totals, "total_active_sessions", 4).withColumn(
+    return totals.withColumn(
         "load_note", F.when(F.col("total_active_sessions") < IDLE_BELOW, "idle")
     )
 
 
 def with_share(ranked: DataFrame) -> DataFrame:
     """Add each statement's share of its resource's ranked load (at most k rows per group)."""
-    total = F.sum("avg_active_sessions").over(Window.partitionBy("resource_id"))
+    total = F.sum(_four_decimals(F.col("avg_active_sessions"))).over(Window.partitionBy("resource_id")).cast("double")
     shared = ranked.withColumn("ranked_load", total).withColumn(
         "load_share", F.when(F.col("ranked_load") > 0, F.col("avg_active_sessions") / F.col("ranked_load"))
     )
-    return round_steady(shared.drop("ranked_load"), "load_share", 4)
+    return with_even_round(shared.drop("ranked_load"), "load_share", 4)
 
 
 def normalize_findings(findings: DataFrame) -> DataFrame:

@@ -104,6 +104,24 @@ def read_raw(
     return with_origin(raw, root)
 
 
+def stream_raw(
+    spark: SparkSession,
+    root: str,
+    max_files_per_trigger: int = 100_000,
+    multi_line: bool = True,
+    partitioned_only: bool = False,
+) -> DataFrame:
+    """The payloads under ``root`` as a stream of files; ``partitioned_only`` as in :func:`read_raw`."""
+    source = f"{root.rstrip('/')}/account_id=*" if partitioned_only else root
+    stream = (
+        spark.readStream.schema(scan_schema())
+        .options(**scan_options(multi_line))
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .json(source)
+    )
+    return with_origin(stream, root)
+
+
 def list_objects(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(name, length) of the objects under ``root``; contents are never read."""
     return (

@@ -1,16 +1,38 @@
-"""Live health as a sliding event-time window."""
+"""Live health as a sliding event-time window, on a batch frame or kept up by a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import LIVE_STATS
 from ..functions.timestamps import instant_to_utc, utc_to_instant
-from ..operators.metrics import raw_stats, rounded_stats
+from ..operators.dedup import SAMPLE_KEY
+from ..operators.flatten import flatten
+from ..operators.metrics import finished_stats, mergeable_stats, with_value_parts
+from ..sources.raw import stream_raw
+
+EVENT_TIME = "event_time"
+
+
+def with_event_time(rows: DataFrame, late_by: str) -> DataFrame:
+    """Rows with their sample time as an instant, and the watermark on it."""
+    timed = rows.withColumn(EVENT_TIME, utc_to_instant(F.col("metric_timestamp")))
+    return timed.withWatermark(EVENT_TIME, late_by)
+
+
+def _windowed(timed: DataFrame, window: str, slide: str) -> DataFrame:
+    grouped = (
+        with_value_parts(timed, LIVE_STATS)
+        .groupBy(F.window(EVENT_TIME, window, slide).alias("w"), "resource_id")
+        .agg(*map(F.expr, mergeable_stats(LIVE_STATS)))
+        .withColumns({"window_start": instant_to_utc(F.col("w.start")), "window_end": instant_to_utc(F.col("w.end"))})
+    )
+    return finished_stats(grouped, LIVE_STATS, "window_start", "window_end", "resource_id")
 
 
 def sliding_health(
-    curated_stream: DataFrame,
+    curated: DataFrame,
     window: str = "30 minutes",
     slide: str = "5 minutes",
     late_by: str = "15 minutes",
@@ -21,15 +43,38 @@ def sliding_health(
     watermark then has no effect. State per (window, resource) is one fixed-size
     aggregation buffer.
     """
-    timed = curated_stream.withColumn("event_time", utc_to_instant(F.col("metric_timestamp")))
+    return _windowed(with_event_time(curated, late_by), window, slide)
+
+
+def live_health_stream(
+    spark: SparkSession,
+    raw_root: str,
+    sink_root: str,
+    checkpoint_root: str,
+    window: str = "30 minutes",
+    slide: str = "5 minutes",
+    late_by: str = "15 minutes",
+    max_files_per_trigger: int = 100_000,
+    multi_line: bool = True,
+    partitioned_only: bool = False,
+) -> StreamingQuery:
+    """Keep closed windows of live health as Parquet under ``sink_root``, then stop.
+
+    Payloads not seen before are flattened; a sample collected twice counts once, the
+    first one seen (later ones come while its state is kept, ``late_by`` of event time).
+    Every run goes on from the state and the watermark in ``checkpoint_root``: a sample
+    that is not newer than the last run's watermark is too late and left out, a window is
+    written once, when the watermark has passed its end, and its state is dropped then. Refused
+    rows are left out; the curated refresh reports them.
+    """
+    rows = flatten(stream_raw(spark, raw_root, max_files_per_trigger, multi_line, partitioned_only), "quarantine")
+    once = with_event_time(rows, late_by).dropDuplicatesWithinWatermark(list(SAMPLE_KEY))
     return (
-        timed.withWatermark("event_time", late_by)
-        .groupBy(F.window("event_time", window, slide).alias("w"), "resource_id")
-        .agg(*raw_stats(LIVE_STATS))
-        .select(
-            instant_to_utc(F.col("w.start")).alias("window_start"),
-            instant_to_utc(F.col("w.end")).alias("window_end"),
-            "resource_id",
-            *rounded_stats(LIVE_STATS),
-        )
+        _windowed(once, window, slide)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", sink_root)
+        .option("checkpointLocation", checkpoint_root)
+        .trigger(availableNow=True)
+        .start()
     )

@@ -1,27 +1,43 @@
 """The registered queries as plain SQL over the same tables, for an independent engine.
 
-Averages pass through 13 significant digits (``printf('%.12e')``) before they are
-rounded, so that the order of summation cannot decide a rounding tie.
+Averages are formed from whole numbers: each double is cut into its floor and the rest times
+2**96, both are summed as 128-bit integers, and one division ends it.
 """
 
 from __future__ import annotations
 
-
-def _r(expression: str, decimals: int) -> str:
-    """A computed double, steadied and rounded as SQL ROUND does."""
-    return f"round(printf('%.12e', {expression})::DOUBLE, {decimals})"
+_TWO_48, _TWO_96 = 1 << 48, 1 << 96
 
 
 def _case(metric: str) -> str:
     return f"CASE WHEN metric_name = '{metric}' THEN value END"
 
 
+def _mean(x: str, n: str) -> str:
+    """The exact sum of ``x`` over a group, divided by ``n``."""
+    low = f"sum(((({x}) - floor({x})) * {_TWO_96}.0::DOUBLE)::HUGEINT)"
+    whole = f"(sum(floor({x})::HUGEINT) + {low} // {_TWO_96}::HUGEINT)"
+    part = f"({low} % {_TWO_96}::HUGEINT)"
+    over = f"((({whole} % {n}) + {n}) % {n})"
+    fraction = (
+        f"(({part} // {_TWO_48}::HUGEINT)::DOUBLE / {_TWO_48}.0::DOUBLE"
+        f" + ({part} % {_TWO_48}::HUGEINT)::DOUBLE / {_TWO_48}.0::DOUBLE / {_TWO_48}.0::DOUBLE)"
+    )
+    return f"((({whole} - {over}) // {n})::DOUBLE + ({over}::DOUBLE + {fraction}) / ({n})::DOUBLE)"
+
+
+def _round(x: str, decimals: int) -> str:
+    """SQL ROUND, but for doubles that have no digit left to round."""
+    return f"CASE WHEN abs({x}) * {10**decimals} < 4503599627370496 THEN round({x}, {decimals}) ELSE {x} END"
+
+
 def _avg(metric: str, decimals: int) -> str:
-    return _r(f"avg({_case(metric)})", decimals)
+    x = _case(metric)
+    return f"CASE WHEN count({x}) > 0 THEN {_round(_mean(x, f'greatest(count({x}), 1)'), decimals)} END"
 
 
 def _dev(metric: str, decimals: int) -> str:
-    return _r(f"stddev_samp({_case(metric)})", decimals)
+    return f"round(stddev_samp({_case(metric)}), {decimals})"
 
 
 def _max(metric: str, decimals: int) -> str:
@@ -176,7 +192,7 @@ FROM ({_STORAGE_SERIES})"""
 
 
 def _forecast_sql(anchor: str, bounds: str = "true") -> str:
-    slope = "printf('%.12e', slope)::DOUBLE"
+    # Bytes are whole numbers of at most 50 bits here, so whole-number sums are exact.
     return f"""
 WITH points AS (
   SELECT resource_id, date, coalesce(free_storage_space_bytes, volume_bytes_used) AS bytes,
@@ -186,20 +202,26 @@ WITH points AS (
 fitted AS (
   SELECT resource_id, arg_max(metric, date) AS storage_metric, count(*) AS history_days,
          max(date) AS latest_date, arg_max(bytes, date) AS latest_value_bytes, max(x) AS last_x,
-         coalesce(regr_slope(bytes, x), 0) AS slope, avg(x) AS mean_x, avg(bytes) AS mean_y
+         count(*)::HUGEINT AS n, sum(x)::HUGEINT AS sx, sum(x * x)::HUGEINT AS sxx,
+         sum(bytes::HUGEINT) AS sy, sum(x * bytes::HUGEINT) AS sxy
   FROM points GROUP BY resource_id),
+lines AS (
+  SELECT *, n * sxy - sx * sy AS rise, n * sxx - sx * sx AS run,
+         coalesce((n * sxy - sx * sy)::DOUBLE / nullif((n * sxx - sx * sx)::DOUBLE, 0), 0) AS slope
+  FROM fitted),
 zeroed AS (
   SELECT *, CASE WHEN history_days >= 3 AND storage_metric = 'FreeStorageSpace' AND slope < 0
-    THEN greatest(round_even(printf('%.12e', mean_x - mean_y / nullif(slope, 0) - last_x)::DOUBLE, 0), 0)::BIGINT
-    END AS days FROM fitted)
+    THEN greatest(round_even(((sx - n * last_x) * rise - run * sy)::DOUBLE
+                  / nullif(rise::DOUBLE * n::DOUBLE, 0), 0), 0)::BIGINT
+    END AS days FROM lines)
 SELECT resource_id, storage_metric, history_days::INTEGER AS history_days, latest_date, latest_value_bytes,
-       CASE WHEN history_days >= 3 THEN {_even(slope, 2)} END AS trend_bytes_per_day,
+       CASE WHEN history_days >= 3 THEN {_even('slope', 2)} END AS trend_bytes_per_day,
        CASE WHEN days <= date_diff('day', latest_date, DATE '9999-12-31')
             THEN latest_date + days::INTEGER END AS projected_exhaustion_date,
        days AS days_until_exhaustion,
        CASE WHEN history_days < 3 THEN 'insufficient_history' END AS forecast_note,
        {_even('(latest_value_bytes / 1073741824)', 2)} AS latest_value_gb,
-       CASE WHEN history_days >= 3 THEN {_even(f'({_even(slope, 2)} / 1073741824)', 4)} END AS trend_gb_per_day
+       CASE WHEN history_days >= 3 THEN {_even(f'({_even('slope', 2)} / 1073741824)', 4)} END AS trend_gb_per_day
 FROM zeroed"""
 
 
@@ -288,15 +310,14 @@ FROM ({_MONTHLY_SQL})"""
 
 
 def _loads(where: str) -> str:
-    ratio = "printf('%.12e', sessions / samples)::DOUBLE"
     return f"""
-SELECT resource_id, sql_id, sql_text, {_even(ratio, 4)} AS avg_active_sessions
-FROM (SELECT resource_id, sql_id, sql_text, sum(value) AS sessions FROM (
+SELECT resource_id, sql_id, sql_text, {_even('average', 4)} AS avg_active_sessions
+FROM (SELECT resource_id, sql_id, sql_text, {_mean('value', 'max(samples)')} AS average FROM (
         SELECT 'u' || user_id AS resource_id, 'q' || (props ->> '$.k') AS sql_id,
                'select * from t' || (props ->> '$.k') || ' where id = ?' AS sql_text, value
-        FROM events WHERE {where}) GROUP BY ALL)
-JOIN (SELECT 'u' || user_id AS resource_id, count(DISTINCT ts) AS samples FROM events WHERE {where} GROUP BY 1)
-USING (resource_id)"""
+        FROM events WHERE {where})
+      JOIN (SELECT 'u' || user_id AS resource_id, count(DISTINCT ts) AS samples FROM events WHERE {where} GROUP BY 1)
+      USING (resource_id) GROUP BY resource_id, sql_id, sql_text)"""
 
 
 def _ranked(where: str) -> str:
@@ -311,13 +332,13 @@ _WINDOW = "ts > TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20
 
 _TOP_SQL = f"""
 SELECT resource_id, sql_id, sql_text, avg_active_sessions, rank, sql_text_truncated,
-       CASE WHEN total > 0 THEN {_even("printf('%.12e', avg_active_sessions / total)::DOUBLE", 4)} END AS load_share
-FROM (SELECT *, sum(avg_active_sessions) OVER (PARTITION BY resource_id) AS total FROM ({_ranked(_WINDOW)}))"""
+       CASE WHEN total > 0 THEN {_even("(avg_active_sessions / total)", 4)} END AS load_share
+FROM (SELECT *, sum(avg_active_sessions::DECIMAL(28,4)) OVER (PARTITION BY resource_id) AS total FROM ({_ranked(_WINDOW)}))"""
 
 _TOTAL_SQL = f"""
 SELECT *, CASE WHEN total_active_sessions < 1 THEN 'idle' END AS load_note
-FROM (SELECT resource_id, {_even("printf('%.12e', t)::DOUBLE", 4)} AS total_active_sessions, ranked_statements
-      FROM (SELECT resource_id, sum(avg_active_sessions) AS t, count(*) AS ranked_statements
+FROM (SELECT resource_id, t::DOUBLE AS total_active_sessions, ranked_statements
+      FROM (SELECT resource_id, sum(avg_active_sessions::DECIMAL(28,4)) AS t, count(*) AS ranked_statements
             FROM ({_ranked(_WINDOW)}) GROUP BY resource_id))"""
 
 _FINDINGS_SQL = """
