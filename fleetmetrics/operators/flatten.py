@@ -83,26 +83,60 @@ def points(header_rows: DataFrame, strict: bool = False) -> DataFrame:
     exploded = header_rows.select(
         "*", F.posexplode("datapoints").alias(POSITION, "point")
     ).drop("datapoints")
+    if not strict:
+        return _checked(exploded)
+    stamp, number, bad_stamp, bad_number = _point_values()
+    at_file = F.concat(F.lit(": "), F.col("source_file"))
+    columns = {
+        "metric_timestamp": F.coalesce(
+            stamp, F.raise_error(F.concat(bad_stamp, at_file)).cast("timestamp_ntz")
+        ),
+        "value": F.coalesce(number, F.raise_error(F.concat(bad_number, at_file)).cast("double")),
+    }
+    return exploded.withColumns(columns).drop("point")
+
+
+def _point_values() -> tuple[Column, Column, Column, Column]:
+    """Sample time and value of ``point``, and what is wrong with either if it is NULL."""
     when, value = F.col("point.timestamp"), F.col("point.value")
-    stamp, number = parse_utc(when), value.try_cast("double")
     bad_stamp = F.coalesce(
         missing_or_blank(when, "datapoint.timestamp"), F.lit("Invalid datapoint.timestamp")
     )
     bad_number = F.coalesce(missing_or_blank(value, "datapoint.value"), F.lit("Invalid datapoint.value"))
-    if strict:
-        at_file = F.concat(F.lit(": "), F.col("source_file"))
-        columns = {
-            "metric_timestamp": F.coalesce(
-                stamp, F.raise_error(F.concat(bad_stamp, at_file)).cast("timestamp_ntz")
-            ),
-            "value": F.coalesce(number, F.raise_error(F.concat(bad_number, at_file)).cast("double")),
-        }
-    else:
-        reason = _first_reason(
-            F.col(REASON), F.when(stamp.isNull(), bad_stamp), F.when(number.isNull(), bad_number)
-        )
-        columns = {"metric_timestamp": stamp, "value": number, REASON: reason}
-    return exploded.withColumns(columns).drop("point")
+    return parse_utc(when), value.try_cast("double"), bad_stamp, bad_number
+
+
+def _checked(exploded: DataFrame) -> DataFrame:
+    stamp, number, bad_stamp, bad_number = _point_values()
+    reason = _first_reason(
+        F.col(REASON), F.when(stamp.isNull(), bad_stamp), F.when(number.isNull(), bad_number)
+    )
+    return exploded.withColumns({"metric_timestamp": stamp, "value": number, REASON: reason}).drop("point")
+
+
+def judged(header_rows: DataFrame) -> DataFrame:
+    """Everything a set of payloads holds, good and bad, from one pass over it.
+
+    A row per datapoint of an accepted payload, with its own reason if it is refused, and one row
+    without a position for each refused payload. :func:`accepted` and :func:`refused` part them.
+    """
+    open_lists = F.when(F.col(REASON).isNull(), F.col("datapoints"))
+    exploded = header_rows.withColumn("datapoints", open_lists).select(
+        "*", F.posexplode_outer("datapoints").alias(POSITION, "point")
+    )
+    held = exploded.where(F.col(POSITION).isNotNull() | F.col(REASON).isNotNull())
+    return _checked(held.drop("datapoints"))
+
+
+def accepted(judged_rows: DataFrame) -> DataFrame:
+    """The curated rows among :func:`judged` ones."""
+    return curated_rows(judged_rows.where(F.col(REASON).isNull()))
+
+
+def refused(judged_rows: DataFrame) -> DataFrame:
+    """One row per refused payload or datapoint among :func:`judged` ones."""
+    columns = ("source_file", "account_id", "region", "resource_id", "metric_name", REASON, POSITION)
+    return judged_rows.where(F.col(REASON).isNotNull()).select(*columns)
 
 
 def fail_on_reject(rows: DataFrame) -> DataFrame:
@@ -151,14 +185,4 @@ def check_quarantine(on_error: str, quarantine_root: str | None) -> None:
 
 def rejects(raw: DataFrame) -> DataFrame:
     """Everything :func:`flatten` refuses: one row per bad payload or bad datapoint."""
-    header_rows = headers(raw)
-    columns = ("source_file", "account_id", "region", "resource_id", "metric_name", REASON)
-    bad_headers = header_rows.where(F.col(REASON).isNotNull()).select(
-        *columns, F.lit(None).cast("int").alias(POSITION)
-    )
-    bad_points = (
-        points(header_rows.where(F.col(REASON).isNull()))
-        .where(F.col(REASON).isNotNull())
-        .select(*columns, POSITION)
-    )
-    return bad_headers.unionByName(bad_points)
+    return refused(judged(headers(raw)))

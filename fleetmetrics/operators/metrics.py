@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,8 +11,6 @@ from ..functions.rounding import sql_round_text
 
 Stats = Sequence[tuple[str, str, str, int]]
 
-EXTREMES = ("min", "max")
-
 
 def of_metric(metric: str) -> Column:
     """``value`` where the row belongs to ``metric``, else NULL."""
@@ -44,14 +42,25 @@ def _of(metric: str, column: str = "value") -> str:
 
 def mergeable_stats(stats: Stats) -> list[str]:
     """Aggregates over :func:`with_value_parts` whose partial results add up in any order."""
+    return _aggregates(stats, lambda metric: f"count({_of(metric)})", {"min": "value", "max": "value"})
+
+
+def merged_states(stats: Stats) -> list[str]:
+    """The same aggregates over daily states (:mod:`.rollup`) in place of samples."""
+    return _aggregates(
+        stats, lambda metric: f"coalesce(sum({_of(metric, 'n')}), 0)", {"min": "low", "max": "high"}
+    )
+
+
+def _aggregates(stats: Stats, counted: Callable[[str], str], extremes: dict[str, str]) -> list[str]:
     columns: list[str] = []
     for metric in _metrics(stats, "avg", "stddev"):
         total, _, count = _names(metric)
         columns += exact.sums("_part", total, f"metric_name = '{metric}'")
-        columns.append(f"count({_of(metric)}) AS {count}")
+        columns.append(f"{counted(metric)} AS {count}")
     for metric in _metrics(stats, "stddev"):
         columns += exact.sums("_square", _names(metric)[1], f"metric_name = '{metric}'")
-    return columns + [f"{a}({_of(m)}) AS {c}" for m, a, c, _ in stats if a in EXTREMES]
+    return columns + [f"{a}({_of(m, extremes[a])}) AS {c}" for m, a, c, _ in stats if a in extremes]
 
 
 def finished_stats(grouped: DataFrame, stats: Stats, *kept: str) -> DataFrame:

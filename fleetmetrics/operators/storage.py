@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import BYTES_PER_GIB
 from ..functions import exact
@@ -57,6 +57,69 @@ def storage_forecast(history: DataFrame, anchor: date = date(1970, 1, 1)) -> Dat
     return finished_forecast(fitted)
 
 
+def rolling_forecast(history: DataFrame, first: date, last: date, days: int = 30) -> DataFrame:
+    """The forecast of ``as_of - days`` .. ``as_of`` for every ``as_of`` from ``first`` to ``last``.
+
+    One pass instead of one fit a day: each point adds its sums on its own day and takes them
+    back ``days + 1`` later, and a running sum over the days of a resource holds what is in the
+    window. Sums are whole numbers, so nothing of a point stays behind, and every row equals the
+    forecast of its window alone. A window without a point gives no row.
+    """
+    anchor = first - timedelta(days=days)
+    points = storage_points(history).where(F.col("date").between(anchor, last))
+    latest = F.struct("date", "x", "bytes", (F.col("storage_metric") == FREE).alias("is_free"))
+    parted = with_line_parts(points, anchor).withColumn("latest", latest)
+    sums = [f"{s}_{i}" for s in ("y", "xy") for i in range(exact.LIMBS)]
+    moves = F.array(
+        F.struct(F.col("x").alias("day"), F.lit(1).alias("sign"), "latest"),
+        F.struct((F.col("x") + days + 1).alias("day"), F.lit(-1).alias("sign"), F.lit(None).alias("latest")),
+    )
+    signed = parted.select("resource_id", "x", *[F.col(f"_{s}") for s in (*sums, "xy_x")], F.explode(moves).alias("move"))
+    sign, x = F.col("move.sign"), F.col("x")
+    whole = {"history_days": F.lit(1), "sum_x": x, "sum_xx": x * x, "odd": F.col("_xy_x").isNotNull().cast("int")}
+    whole |= {s: F.coalesce(F.col(f"_{s}"), F.lit(0)) for s in sums}
+    moved = signed.select(
+        "resource_id",
+        F.col("move.day").alias("day"),
+        F.col("move.latest").alias("latest"),
+        F.lit(False).alias("asked"),
+        *[(sign * c).cast("decimal(38,0)").alias(n) for n, c in whole.items()],
+    )
+    asked = points.select("resource_id").distinct().select(
+        "resource_id",
+        F.explode(F.sequence(F.lit(days).cast("long"), F.lit((last - anchor).days).cast("long"))).alias("day"),
+    )
+    asked = asked.withColumn("asked", F.lit(True))
+    per_day = (
+        moved.unionByName(asked, allowMissingColumns=True)
+        .groupBy("resource_id", "day")
+        .agg(F.max("latest").alias("latest"), F.max("asked").alias("asked"), *[F.sum(n).alias(n) for n in whole])
+    )
+    so_far = Window.partitionBy("resource_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    running = per_day.select(
+        "resource_id",
+        F.date_add(F.lit(anchor), F.col("day").cast("int")).alias("as_of"),
+        "asked",
+        F.last("latest", ignorenulls=True).over(so_far).alias("latest"),
+        *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).cast("decimal(38,0)").alias(n) for n in whole],
+    )
+    unknown = F.when(F.col("odd") > 0, F.lit(float("nan")))
+    return finished_forecast(
+        running.where(F.col("asked") & (F.col("history_days") > 0)).withColumns(
+            {
+                "history_days": F.col("history_days").cast("int"),
+                "latest_date": F.col("latest.date"),
+                "last_x": F.col("latest.x"),
+                "latest_value_bytes": F.col("latest.bytes"),
+                "is_free": F.col("latest.is_free"),
+                "y_x": unknown,
+                "xy_x": unknown,
+            }
+        ),
+        "as_of",
+    )
+
+
 def with_line_parts(points: DataFrame, anchor: date) -> DataFrame:
     """Points with the day number ``x`` and the exact parts of ``bytes`` and of ``x * bytes``."""
     points = points.withColumn("x", F.date_diff("date", F.lit(anchor)).cast("long"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import nullcontext
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.dedup import SAMPLE_KEY, deduplicate, merge_hours
-from ..operators.flatten import REASON, check_quarantine, headers, rejects, rows_of
+from ..operators.flatten import REASON, accepted, check_quarantine, headers, judged, refused, rows_of
 from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import hours_of, register_curated, write_curated
+from ..sources.files import staged
+from ..sources.published import create_published, publish_hours, published_hours, touched_hours
 from ..sources.raw import list_objects, object_counts, read_raw
 
 
@@ -25,6 +28,7 @@ def curate(
     multi_line: bool = True,
     table: str | None = None,
     file_stats: bool = False,
+    publish_to: str | None = None,
 ) -> dict[str, int]:
     """Flatten, de-duplicate and write every raw payload; return refresh statistics.
 
@@ -33,12 +37,15 @@ def curate(
     payloads collected on those days and merges them into the hours they touch.
     With ``on_error="quarantine"`` the
     refused rows replace what ``quarantine_root`` holds, each with its reason, and are
-    counted. The row statistics are
-    observed while the one write job runs; ``file_stats`` adds a listing of the
-    files written.
+    counted. ``table`` registers the hours found under ``curated_root``; ``publish_to`` instead
+    keeps a catalogue table whose hours are swapped one by one (:mod:`..sources.published`).
+    Payloads are parsed once: where their rows are needed more than once they are staged below
+    ``curated_root``. The row statistics are observed while the jobs run;
+    ``file_stats`` adds a listing of the files written.
     """
     check_quarantine(on_error, quarantine_root)
     collection_dates = None if collection_dates is None else list(collection_dates)
+    quarantine, partial = on_error == "quarantine", collection_dates is not None
     started = datetime.now(timezone.utc)
     raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line)
     if raw.select("source_file").isEmpty():
@@ -50,23 +57,33 @@ def curate(
         F.count(F.lit(1)).alias("raw_payload_count"),
         F.count_if(F.size("datapoints") == 0).alias("no_data_payload_count"),
     )
-    rows = rows_of(payloads, on_error).observe(flat, F.count(F.lit(1)).alias("raw_datapoint_count"))
-    latest = deduplicate(rows).observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
-    if collection_dates is not None:
-        # Part of the payloads only: their hours may hold samples of the others.
-        touched = rows_of(headers(raw), on_error).select(*PARTITION_COLUMNS).distinct()
-        latest = merge_hours(latest, hours_of(spark, curated_root, touched))
-    write_curated(latest, curated_root)
-
-    if on_error == "quarantine":
-        refused = Observation("rejected")
-        bad = rejects(raw).observe(refused, F.count(F.lit(1)).alias("rejected_count"))
-        bad.write.mode("overwrite").parquet(quarantine_root)
+    parsed = judged(payloads) if quarantine else rows_of(payloads, on_error)
+    bad = F.col(REASON).isNotNull() if quarantine else F.lit(False)
+    parsed = parsed.observe(
+        flat, F.count_if(~bad).alias("raw_datapoint_count"), F.count_if(bad).alias("rejected_count")
+    )
+    several_uses = quarantine or partial or publish_to
+    with staged(parsed, curated_root) if several_uses else nullcontext(parsed) as rows:
+        fresh = accepted(rows) if quarantine else rows
+        latest = deduplicate(fresh).observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
+        hours = touched_hours(fresh) if partial or publish_to else None
+        if publish_to:
+            create_published(spark, publish_to, curated_root)
+            # Part of the payloads only: their hours may hold samples of the others.
+            merged = merge_hours(latest, published_hours(spark, publish_to, hours)) if partial else latest
+            publish_hours(spark, publish_to, curated_root, merged, hours)
+        else:
+            merged = latest
+            if partial:
+                touched = fresh.select(*PARTITION_COLUMNS).distinct()
+                merged = merge_hours(latest, hours_of(spark, curated_root, touched))
+            write_curated(merged, curated_root)
+        if quarantine:
+            refused(rows).write.mode("overwrite").parquet(quarantine_root)
     if table:
-        register_curated(spark, table, curated_root)
+        register_curated(spark, table, curated_root, hours)
 
-    stats = {**read.get, **flat.get, **kept.get}
-    stats["rejected_count"] = refused.get["rejected_count"] if on_error == "quarantine" else 0
+    stats = {**read.get, **flat.get, **(kept.get if hours != [] or not publish_to else {"curated_row_count": 0})}
     stats["duplicates_removed"] = stats["raw_datapoint_count"] - stats["curated_row_count"]
     if partitioned_only:
         stats["skipped_object_count"] = object_counts(spark, raw_root).first()["skipped_count"]

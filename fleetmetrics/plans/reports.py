@@ -21,7 +21,7 @@ from ..operators.health import (
 from ..operators.inventory import load_enabled_split
 from ..operators.monthly import compare_months, monthly_aggregate, with_notable
 from ..operators.storage import storage_forecast as forecast_lines
-from ..operators.storage import storage_history, with_gib
+from ..operators.storage import rolling_forecast, storage_history, with_gib
 from ..operators.topsql import (
     attach_findings,
     average_load,
@@ -130,6 +130,22 @@ def storage_forecast(
     return with_gib(forecast_lines(history, first or HISTORY_ANCHOR)).orderBy("resource_id")
 
 
+def storage_forecasts(
+    curated: DataFrame,
+    account_id: str,
+    region: str | Sequence[str],
+    first: str | date,
+    last: str | date,
+    resource_ids: Ids = None,
+    days: int = 30,
+) -> DataFrame:
+    """The storage forecast of every day from ``first`` to ``last``, from one pass over the samples."""
+    since, until = check_date(first), check_date(last)
+    scoped = scope(curated, account_id, region, since - timedelta(days=days), until, resource_ids)
+    forecasts = rolling_forecast(storage_history(scoped), since, until, days)
+    return with_gib(forecasts).orderBy("resource_id", "as_of")
+
+
 def monthly_report(
     curated: DataFrame,
     account_id: str,
@@ -217,6 +233,7 @@ __all__ = [
     "live_health",
     "monthly_report",
     "storage_forecast",
+    "storage_forecasts",
     "top_sql",
     "top_sql_overview",
     "trailing_baseline",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.validators import check_account_id, check_date, check_region, check_resource_id
 from ..schemas import CURATED, PARTITION_COLUMNS
@@ -58,28 +59,44 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
 def hours_of(spark: SparkSession, root: str, hours: DataFrame) -> DataFrame | None:
     """Curated rows of the given hours (partition values), or None before the first write.
 
-    One aggregate row, the least and greatest value of each partition column, goes into
-    the partition filters, so files outside these ranges are not read however many hours
-    there are; the join keeps exactly the hours.
+    The least and greatest day of each account and region go into the partition filters, so an
+    old sample of one account does not widen what is read of the others; the join keeps exactly
+    the hours.
     """
     existing = read_curated_or_none(spark, root)
     if existing is None:
         return None
-    ends = hours.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in PARTITION_COLUMNS for f in (F.min, F.max)]).first()
-    for column in PARTITION_COLUMNS:
-        existing = existing.where(F.col(column).between(ends[f"min_{column}"], ends[f"max_{column}"]))
-    return existing.join(hours, list(PARTITION_COLUMNS), "left_semi")
+    spans = hours.groupBy("account_id", "region").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    within = [
+        (F.col("account_id") == s["account_id"]) & (F.col("region") == s["region"]) & F.col("date").between(s["first"], s["last"])
+        for s in spans.collect()
+    ]
+    inside = reduce(lambda a, b: a | b, within, F.lit(False))
+    return existing.where(inside).join(hours, list(PARTITION_COLUMNS), "left_semi")
 
 
-def register_curated(spark: SparkSession, table: str, root: str) -> None:
-    """Make ``table`` an external table over ``root`` and add its new partitions."""
+def register_curated(spark: SparkSession, table: str, root: str, hours: Sequence[Row] | None = None) -> None:
+    """Make ``table`` an external table over ``root`` and add its new partitions.
+
+    With the ``hours`` a refresh touched only those are looked at; without, the catalogue
+    looks for partitions under the whole root.
+    """
     if not spark.catalog.tableExists(table):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in CURATED.fields)
         spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet "
             f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{root}'"
         )
-    spark.sql(f"MSCK REPAIR TABLE {table}")
+        hours = None
+    if hours is None:
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+        return
+    for first in range(0, len(hours), 200):
+        added = " ".join(
+            "PARTITION (" + ", ".join(f"{c}='{hour[c]}'" for c in PARTITION_COLUMNS) + ")" for hour in hours[first : first + 200]
+        )
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
+    spark.catalog.refreshTable(table)
 
 
 def empty_curated(spark: SparkSession) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import deduplicate, merge_hours
-from ..operators.flatten import check_quarantine, flatten, rejects
+from ..operators.flatten import accepted, check_quarantine, headers, judged, refused, rows_of
+from ..operators.rollup import refresh_days
 from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import hours_of, write_curated
-from ..sources.raw import scan_options, scan_schema, with_origin
+from ..sources.files import staged
+from ..sources.published import create_published, publish_hours, published_hours, touched_hours
+from ..sources.raw import stream_raw
 
 
 def merge_batch(
@@ -19,26 +21,40 @@ def merge_batch(
     on_error: str = "fail",
     quarantine_root: str | None = None,
     batch_id: int = 0,
+    table: str | None = None,
+    rollup_root: str | None = None,
 ) -> None:
     """Merge one batch of payloads into the curated table.
 
-    The touched hours are read back, united with the new rows, de-duplicated
-    and overwritten as a whole, so replaying a batch changes nothing. The new
-    rows are used three times (hours, pruning, merge), hence kept while the
-    batch runs; a lost executor only means parsing its files again. With
+    The payloads are parsed once: their rows are staged below ``curated_root``, on storage that
+    outlives an executor, and the touched hours, the merge and the refused rows are read from
+    there. The touched hours are read back, united with the new rows, de-duplicated
+    and replaced as a whole, so replaying a batch changes nothing. With ``table`` the hours are
+    published in that catalogue table, each swapped at once; without, they are overwritten in
+    place. With ``rollup_root`` the daily states of the touched days follow (``table`` needed). With
     ``on_error="quarantine"`` the refused rows replace ``batch_id=<id>`` under
     ``quarantine_root``, so a replay does not repeat them either.
     """
     check_quarantine(on_error, quarantine_root)
+    if rollup_root and not table:
+        raise ValueError("a rollup follows a published table: pass table")
     spark = batch.sparkSession
-    fresh = deduplicate(flatten(batch, on_error)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        touched = fresh.select(*PARTITION_COLUMNS).distinct()
-        write_curated(merge_hours(fresh, hours_of(spark, curated_root, touched)), curated_root)
-    finally:
-        fresh.unpersist()
-    if on_error == "quarantine":
-        rejects(batch).write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch_id={batch_id}")
+    payloads = headers(batch)
+    parsed = judged(payloads) if on_error == "quarantine" else rows_of(payloads, on_error)
+    with staged(parsed, curated_root) as rows:
+        fresh = deduplicate(accepted(rows) if on_error == "quarantine" else rows)
+        if table:
+            hours = touched_hours(fresh)
+            create_published(spark, table, curated_root)
+            merged = merge_hours(fresh, published_hours(spark, table, hours))
+            publish_hours(spark, table, curated_root, merged, hours)
+            if rollup_root:
+                refresh_days(spark, table, rollup_root, hours)
+        else:
+            touched = fresh.select(*PARTITION_COLUMNS).distinct()
+            write_curated(merge_hours(fresh, hours_of(spark, curated_root, touched)), curated_root)
+        if on_error == "quarantine":
+            refused(rows).write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch_id={batch_id}")
 
 
 def incremental_curate(
@@ -51,25 +67,24 @@ def incremental_curate(
     multi_line: bool = True,
     partitioned_only: bool = False,
     quarantine_root: str | None = None,
+    table: str | None = None,
+    rollup_root: str | None = None,
 ) -> StreamingQuery:
     """Process every raw file not seen before, then stop (``availableNow``).
 
     Progress lives in ``checkpoint_root``, which must be shared storage. A batch
-    that fails between hours is replayed from the raw files. ``partitioned_only``
-    leaves out objects without an account partition.
+    that fails between hours is replayed from the raw files; readers of ``table`` see whole
+    hours meanwhile. ``partitioned_only`` leaves out objects without an account partition.
     """
     check_quarantine(on_error, quarantine_root)
-    source = f"{raw_root.rstrip('/')}/account_id=*" if partitioned_only else raw_root
-    stream = (
-        spark.readStream.schema(scan_schema())
-        .options(**scan_options(multi_line))
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(source)
-    )
+    stream = stream_raw(spark, raw_root, max_files_per_trigger, multi_line, partitioned_only)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_batch(batch, curated_root, on_error, quarantine_root, number, table, rollup_root)
+
     return (
-        with_origin(stream, raw_root)
-        .writeStream.trigger(availableNow=True)
+        stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint_root)
-        .foreachBatch(lambda batch, number: merge_batch(batch, curated_root, on_error, quarantine_root, number))
+        .foreachBatch(merge)
         .start()
     )

@@ -191,20 +191,21 @@ SELECT resource_id, date,
 FROM ({_STORAGE_SERIES})"""
 
 
-def _forecast_sql(anchor: str, bounds: str = "true") -> str:
+def _forecast_sql(anchor: str, bounds: str = "true", days: str = "", also: str = "") -> str:
+    """The forecast; ``days`` joins a table of report days, and ``also`` names its column."""
     # Bytes are whole numbers of at most 50 bits here, so whole-number sums are exact.
     return f"""
 WITH points AS (
-  SELECT resource_id, date, coalesce(free_storage_space_bytes, volume_bytes_used) AS bytes,
+  SELECT resource_id, {also} date, coalesce(free_storage_space_bytes, volume_bytes_used) AS bytes,
          CASE WHEN free_storage_space_bytes IS NOT NULL THEN 'FreeStorageSpace' ELSE 'VolumeBytesUsed' END AS metric,
          date_diff('day', DATE '{anchor}', date) AS x
-  FROM ({_STORAGE_HISTORY_SQL}) WHERE {bounds}),
+  FROM ({_STORAGE_HISTORY_SQL}) {days} WHERE {bounds}),
 fitted AS (
-  SELECT resource_id, arg_max(metric, date) AS storage_metric, count(*) AS history_days,
+  SELECT resource_id, {also} arg_max(metric, date) AS storage_metric, count(*) AS history_days,
          max(date) AS latest_date, arg_max(bytes, date) AS latest_value_bytes, max(x) AS last_x,
          count(*)::HUGEINT AS n, sum(x)::HUGEINT AS sx, sum(x * x)::HUGEINT AS sxx,
          sum(bytes::HUGEINT) AS sy, sum(x * bytes::HUGEINT) AS sxy
-  FROM points GROUP BY resource_id),
+  FROM points GROUP BY ALL),
 lines AS (
   SELECT *, n * sxy - sx * sy AS rise, n * sxx - sx * sx AS run,
          coalesce((n * sxy - sx * sy)::DOUBLE / nullif((n * sxx - sx * sx)::DOUBLE, 0), 0) AS slope
@@ -214,7 +215,7 @@ zeroed AS (
     THEN greatest(round_even(((sx - n * last_x) * rise - run * sy)::DOUBLE
                   / nullif(rise::DOUBLE * n::DOUBLE, 0), 0), 0)::BIGINT
     END AS days FROM lines)
-SELECT resource_id, storage_metric, history_days::INTEGER AS history_days, latest_date, latest_value_bytes,
+SELECT resource_id, {also} storage_metric, history_days::INTEGER AS history_days, latest_date, latest_value_bytes,
        CASE WHEN history_days >= 3 THEN {_even('slope', 2)} END AS trend_bytes_per_day,
        CASE WHEN days <= date_diff('day', latest_date, DATE '9999-12-31')
             THEN latest_date + days::INTEGER END AS projected_exhaustion_date,
@@ -636,10 +637,32 @@ LEFT JOIN ({_BASELINE_SQL}) b ON q.resource_id = b.resource_id""",
 SELECT window_start, window_start + INTERVAL 30 MINUTE AS window_end, resource_id, {_LIVE}
 FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, metric_timestamp) - to_minutes(5 * step) AS window_start
       FROM ({_CURATED}), (SELECT unnest([0, 1, 2, 3, 4, 5]) AS step))
+GROUP BY window_start, resource_id""",
+    "baseline_from_states": _BASELINE_SQL,
+    "monthly_from_states": _MONTHLY_SQL,
+    "published_roundtrip": _CURATED_FILES_SQL,
+    "live_stream": f"""
+WITH samples AS (
+  SELECT *, metric_name IN ('DiskQueueDepth', 'AuroraReplicaLag', 'FreeableMemory', 'FreeStorageSpace') AS second
+  FROM ({_CURATED_FILES_SQL})),
+marks AS (
+  SELECT max(metric_timestamp) FILTER (NOT second) - INTERVAL 15 MINUTE AS first_mark,
+         max(metric_timestamp) - INTERVAL 15 MINUTE AS last_mark FROM samples)
+SELECT window_start, window_start + INTERVAL 30 MINUTE AS window_end, resource_id, {_LIVE}
+FROM (SELECT *, metric_timestamp - to_minutes(5 * step) AS window_start
+      FROM samples, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS step), marks
+      WHERE NOT second OR metric_timestamp > first_mark)
+WHERE window_start + INTERVAL 30 MINUTE <= last_mark
 GROUP BY window_start, resource_id""",
     "storage_history": _STORAGE_HISTORY_SQL,
     "storage_forecast": _FORECAST_SQL,
     "storage_forecast_full": _forecast_sql("1990-01-01"),
+    "storage_forecast_daily": _forecast_sql(
+        "1998-05-02",
+        "date BETWEEN as_of - 30 AND as_of",
+        "CROSS JOIN (SELECT DATE '1998-06-30' - n::INTEGER AS as_of FROM range(30) AS r(n))",
+        "as_of,",
+    ),
     "storage_text": f"SELECT resource_id, {_spelled(_FORECAST_TEXT_COLUMNS)} AS line FROM ({_FORECAST_SQL})",
     "monthly_aggregate": _MONTH_SQL,
     "monthly_report": _MONTHLY_SQL,

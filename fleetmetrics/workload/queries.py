@@ -9,16 +9,18 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..catalog import BASELINE_STATS, MONTHLY_STATS
 from ..functions.calendar import month_bounds, previous_month
 from ..functions.text import forecast_line, health_line, monthly_line, top_sql_line
 from ..operators.collection import unsupported_metrics
 from ..operators.dedup import deduplicate
 from ..operators.flatten import REASON, flatten, headers, points
 from ..operators.inventory import attach_roles, available, extend_with_clusters, load_enabled_split
-from ..operators.monthly import monthly_aggregate
+from ..operators.monthly import compare_months, monthly_aggregate, with_notable
 from ..operators.names import resolve_names
 from ..operators.health import baseline, health_snapshot
 from ..operators.requests import parse_requests, resolve_scope, scope_resources
+from ..operators.rollup import daily_states, monthly_of_states, read_states, wide_stats_of_states, write_states
 from ..operators.storage import storage_history
 from ..operators.topsql import normalize_findings, total_load, truncate_statements, with_display_text
 from ..plans import reports
@@ -27,10 +29,11 @@ from ..plans.collection import collection_summary as summarize_collection
 from ..plans.collection import planned_resources, resource_metric_counts
 from ..plans.curate import curate, refresh_statistics
 from ..sources.curated import read_curated, scope
+from ..sources.published import read_published
 from ..sources.raw import write_raw
 from ..sources.responses import as_raw, payloads
 from ..streaming.incremental import incremental_curate
-from ..streaming.live import sliding_health
+from ..streaming.live import live_health_stream, sliding_health
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +123,48 @@ def incremental_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _curated_view(spark, f"{base}/curated")
 
 
+def published_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two landings merged into a published table; the second brings more samples of hours it has."""
+    base = _scratch(spark)
+    table = f"published_{uuid.uuid4().hex}"
+    rows = payloads(t.response_requests(spark, sf), t.response_pages(spark, sf))
+    for landing in (~t.sent_late(), t.sent_late()):
+        write_raw(rows.where(landing), f"{base}/raw")
+        incremental_curate(
+            spark, f"{base}/raw", f"{base}/curated", f"{base}/progress", multi_line=False, table=table
+        ).awaitTermination()
+    return read_published(spark, table).select(_curated_view(spark, f"{base}/curated").columns)
+
+
+def live_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Live health kept up by a stream over two landings, the second of them late."""
+    base = _scratch(spark)
+    rows = payloads(t.response_requests(spark, sf), t.response_pages(spark, sf))
+    for landing in (~t.sent_late(), t.sent_late()):
+        write_raw(rows.where(landing), f"{base}/raw")
+        live_health_stream(
+            spark, f"{base}/raw", f"{base}/health", f"{base}/progress", multi_line=False
+        ).awaitTermination()
+    return spark.read.parquet(f"{base}/health")
+
+
+def _states(spark: SparkSession, samples: DataFrame) -> DataFrame:
+    root = f"{_scratch(spark)}/states"
+    write_states(daily_states(samples), root)
+    return read_states(spark, root)
+
+
+def baseline_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    states = _states(spark, t.events_as_curated(spark, sf))
+    week = scope(states, t.ACCOUNT, t.REGION, _WEEK_BEFORE, t.SNAPSHOT_DAY)
+    return wide_stats_of_states(week, ("resource_id",), BASELINE_STATS)
+
+
+def monthly_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    states = scope(_states(spark, t.orders_as_curated(spark, sf)), t.ACCOUNT, t.REGION, *_MONTH_RANGE)
+    return with_notable(compare_months(monthly_of_states(states, MONTHLY_STATS), t.REPORT_MONTH, TODAY))
+
+
 def _week(spark: SparkSession, sf: str) -> DataFrame:
     return t.events_as_curated(spark, sf, _WEEK_BEFORE, t.SNAPSHOT_DAY)
 
@@ -181,6 +226,11 @@ def storage_forecast_full(spark: SparkSession, sf: str) -> DataFrame:
     return reports.storage_forecast(t.storage_as_curated(spark, sf), t.ACCOUNT, t.REGION, days=None)
 
 
+def storage_forecast_daily(spark: SparkSession, sf: str) -> DataFrame:
+    first = t.STORAGE_AS_OF - timedelta(days=29)
+    return reports.storage_forecasts(t.storage_as_curated(spark, sf), t.ACCOUNT, t.REGION, first, t.STORAGE_AS_OF)
+
+
 def storage_text(spark: SparkSession, sf: str) -> DataFrame:
     return forecast_line(storage_forecast(spark, sf)).select("resource_id", "line")
 
@@ -343,6 +393,10 @@ QUERIES: dict[str, Query] = {
     "response_datapoints": response_datapoints,
     "curate_roundtrip": curate_roundtrip,
     "incremental_roundtrip": incremental_roundtrip,
+    "published_roundtrip": published_roundtrip,
+    "live_stream": live_stream,
+    "baseline_from_states": baseline_from_states,
+    "monthly_from_states": monthly_from_states,
     "health_snapshot": snapshot,
     "baseline": week_baseline,
     "health_vs_baseline": health_vs_baseline,
@@ -352,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "storage_history": history_per_day,
     "storage_forecast": storage_forecast,
     "storage_forecast_full": storage_forecast_full,
+    "storage_forecast_daily": storage_forecast_daily,
     "storage_text": storage_text,
     "monthly_aggregate": month_rows,
     "monthly_report": monthly_report,

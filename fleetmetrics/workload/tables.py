@@ -66,6 +66,11 @@ EVENT_METRICS = (
 )
 
 
+def sent_late() -> Column:
+    """Payloads of the second of two landings: the metrics that error events stand for."""
+    return F.col("metric_name").isin(*EVENT_METRICS[6:])
+
+
 def _midnight(day: date) -> Column:
     return utc_literal(datetime.combine(day, datetime.min.time()))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 
 import pytest
 
@@ -14,7 +15,14 @@ from .compare import connect, difference, oracle_result, spark_result
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
-EAGER = ("curate_roundtrip", "incremental_roundtrip")
+EAGER = (
+    "curate_roundtrip",
+    "incremental_roundtrip",
+    "published_roundtrip",
+    "live_stream",
+    "baseline_from_states",
+    "monthly_from_states",
+)
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +52,14 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_library_queries_stay_when_a_package_of_the_others_is_missing(monkeypatch):
+    import __spark_entry__ as entry_module
+
+    for name in [n for n in sys.modules if n.startswith("fleetmetrics.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    for missing in ("zstandard", "pyarrow", "tiktoken"):
+        monkeypatch.setitem(sys.modules, missing, None)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
