@@ -96,6 +96,11 @@ def check_of(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that none can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+
+
 def chunked(rows: DataFrame, keys: list[str], member: Column, limit: int) -> DataFrame:
     """Add ``n_chunks`` and ``chunk``: a key of more than ``limit`` rows is split evenly.
 

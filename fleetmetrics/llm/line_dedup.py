@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, check_of, partitions, staged
+from .common import SPACES, check_of, partitions, staged, whole_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
@@ -194,15 +194,18 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the text of kept lines in ``_kept`` and the count of the others in ``_n_dropped``."""
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_check": check_of()})
-    marks = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("check").alias("_check"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep")
+    """``docs`` with the text of kept lines in ``_kept`` and the count of the others in ``_n_dropped``.
+
+    Columns of ``docs`` with these two names are replaced, all others pass through.
+    """
+    passed = docs.drop("_kept", "_n_dropped")
+    keyed = passed.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), check_of().alias("check"), whole_row(passed).alias("row")
+    )
+    joined = keyed.join(bitmaps.select("doc", "check", "n_dropped", "keep"), ["doc", "check"], "left")
+    return joined.select(
+        "row.*", _kept_text("row.text", "keep").alias("_kept"), F.coalesce("n_dropped", F.lit(0)).alias("_n_dropped")
     )
-    joined = keyed.join(marks, ["_doc", "_check"], "left")
-    return joined.withColumns(
-        {"_kept": _kept_text("text", "_keep"), "_n_dropped": F.coalesce("_n_dropped", F.lit(0))}
-    ).drop("_doc", "_check", "_keep")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, staged, whole_row
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2, o
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     _, limits = mix(docs, seed)
-    packed = docs.select("doc_id", "source", draw(seed).alias("u"), F.struct(*docs.columns).alias("row"))
+    packed = docs.select("doc_id", "source", draw(seed).alias("u"), whole_row(docs).alias("row"))
     taken = with_copies(packed, limits).where("copies > 0")
     return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 

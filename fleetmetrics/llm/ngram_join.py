@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_of, mix, staged, text_bytes, word_bounds, word_hashes
+from .common import check_of, mix, staged, text_bytes, whole_row, word_bounds, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -362,9 +362,10 @@ def similar_documents(
     block_members: int = 1024,
     block_shingles: int = 400_000,
 ) -> DataFrame:
-    """(doc_id, check, class_id, n_links, n_copies, n_texts) of every row.
+    """(doc_id, check, label, class_id, n_links, n_copies, n_texts) of every row.
 
-    ``class_id`` is the smallest id among documents connected by links, ``n_links`` the
+    ``label`` names the group of documents connected by links (null without shingles); two groups
+    never share it, as they can share an id. ``class_id`` is the smallest id among documents connected by links, ``n_links`` the
     number of other documents with at least ``similarity``, of which ``n_copies`` have the
     same shingles and ``n_texts`` different sets do the rest. ``chunk`` and the ``block_``
     parameters bound what meets in one task; larger groups are dealt out in pairs of chunks.
@@ -409,6 +410,7 @@ def similar_documents(
     told = staged(
         grouped.join(least, "label").select(
             "print",
+            "label",
             "class_id",
             (F.col("copies") - 1).alias("n_copies"),
             F.coalesce("links", F.lit(0)).alias("links"),
@@ -420,6 +422,7 @@ def similar_documents(
     return full.select(
         "doc_id",
         "check",
+        "label",
         F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("n_copies", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
@@ -428,16 +431,18 @@ def similar_documents(
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: of each class the document with the smallest id (and check)."""
+    """``docs`` without near duplicates: of each group one row, that with the smallest id (and check).
+
+    A null id is greater than any other. Rows without shingles are a group for each id and text.
+    """
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    # Documents that resemble nothing, null ids among them, are told apart by id and check.
-    alone = F.when(F.col("class_id").isNull() | (F.col("n_links") == 0), F.struct(key, "check"))
-    keepers = found.select(key.alias("_doc"), F.col("check").alias("_check"), "class_id", alone.alias("alone"))
-    first = keepers.groupBy("class_id", "alone").agg(F.min(F.struct("_doc", "_check")).alias("first")).select("first.*")
-    keyed = docs.withColumns({"_doc": key, "_check": check_of()})
-    return keyed.join(first, ["_doc", "_check"], "left_semi").dropDuplicates(["_doc", "_check"]).drop("_doc", "_check")
+    alone = F.when(F.col("label").isNull(), F.struct(key, "check")).alias("alone")
+    keepers = found.select(key.alias("doc"), "check", "label", alone)
+    first = keepers.groupBy("label", "alone").agg(F.min(F.struct("doc", "check")).alias("first")).select("first.*")
+    keyed = docs.select(key.alias("doc"), check_of().alias("check"), whole_row(docs).alias("row"))
+    return keyed.join(first, ["doc", "check"], "left_semi").dropDuplicates(["doc", "check"]).select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return similar_documents(docs).drop("check")
+    return similar_documents(docs).drop("check", "label")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, RangeHash, check_of, mix, partitions, sliced, staged, text_bytes
+from .common import BLOCK, RangeHash, check_of, mix, partitions, sliced, staged, text_bytes, whole_row
 
 LENGTH, SEED = 50, 20
 #: Seeds inside a string of LENGTH bytes.
@@ -487,10 +487,13 @@ def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``cut``: n_bytes, n_removed, n_spans and the bytes kept."""
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_check": check_of()})
-    marks = spans.select(F.col("doc").alias("_doc"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
-    return keyed.join(marks, ["_doc", "_check"], "left").withColumn("cut", _cut_out("text", "_spans")).drop("_doc", "_check", "_spans")
+    """``docs`` with ``cut``: n_bytes, n_removed, n_spans and the bytes kept; a column of that name is replaced."""
+    passed = docs.drop("cut")
+    keyed = passed.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), check_of().alias("check"), whole_row(passed).alias("row")
+    )
+    joined = keyed.join(spans.select("doc", "check", "spans"), ["doc", "check"], "left")
+    return joined.select("row.*", _cut_out("row.text", "spans").alias("cut"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
