@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetmetrics.llm import bpe, line_dedup, mixing, ngram_join, quality_classifier
-from fleetmetrics.llm.common import check_of, staged
+from fleetmetrics.llm.common import check_of, staged, whole_row
 
 #: The tokenizer file of the last stage.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,21 +29,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = quality_classifier.resampled(docs, labels).where("kept")
     none = F.lit(-(1 << 63))
     kept = found.select(F.coalesce("doc_id", none).alias("_doc"), F.col("check").alias("_check")).distinct()
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", none), "_check": check_of()})
-    return keyed.join(kept, ["_doc", "_check"], "left_semi").drop("_doc", "_check")
+    keyed = docs.select(
+        F.coalesce("doc_id", none).alias("_doc"), check_of().alias("_check"), whole_row(docs).alias("row")
+    )
+    return keyed.join(kept, ["_doc", "_check"], "left_semi").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that at least three documents share, but for the largest id's."""
-    applied = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    changed = {"text": F.col("_kept")}
+    others = whole_row(docs.drop("text")).alias("row")
+    applied = line_dedup.apply_bitmaps(docs.select("doc_id", "text", others), line_dedup.keep_bitmaps(docs))
+    row = F.col("row")
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_n_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return applied.withColumns(changed).select(*docs.columns)
+        length = F.when(F.col("_n_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", length)
+    changed = applied.select(F.col("_kept").alias("text"), row.alias("row")).select("text", "row.*")
+    return changed.select(*[f"`{name}`" for name in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id."""
+    """One row of each group of linked documents, that with the smallest id; ids do not join groups."""
     return ngram_join.one_of_each(docs, ngram_join.similar_documents(docs))
 
 
