@@ -120,9 +120,14 @@ def top_sql_line(df: DataFrame) -> DataFrame:
     return df.withColumn("line", F.concat(start, body))
 
 
+def table_text(df: DataFrame) -> DataFrame:
+    """Every cell of a report as the text shown for it; NULL is blank."""
+    return df.select(*[F.coalesce(_text(df, c), F.lit("")).alias(c) for c in df.columns])
+
+
 def show_table(df: DataFrame, rows: int) -> None:
-    """Print up to ``rows`` rows of a report as an aligned table; NULL is blank."""
+    """Print up to ``rows`` rows of a report as an aligned table."""
     if df.isEmpty():
         print("(no rows)")
         return
-    df.select(*[F.coalesce(_text(df, c), F.lit("")).alias(c) for c in df.columns]).show(rows, truncate=False)
+    table_text(df).show(rows, truncate=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, functions as F
 
 # Accepted shapes of request parameters.
 PATTERNS = {
@@ -68,6 +68,11 @@ def check_lookback_minutes(value: int) -> int:
     return value
 
 
+def is_lookback(minutes: Column) -> Column:
+    """Column predicate of :func:`check_lookback_minutes`; false for NULL."""
+    return F.coalesce(minutes.between(MIN_LOOKBACK_MINUTES, MAX_LOOKBACK_MINUTES), F.lit(False))
+
+
 def has_shape(column: Column, kind: str) -> Column:
     """Column predicate: the whole text has the shape ``kind``."""
     return column.rlike(rf"\A(?:{PATTERNS[kind]})\z")

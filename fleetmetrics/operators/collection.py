@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..catalog import BASE_INSTANCE_METRICS, METRICS, PROFILE_NAME, metric_catalogue
+from ..catalog import BASE_INSTANCE_METRICS, METRICS, PROFILE_NAME, RESOURCE_DIMENSIONS, metric_catalogue
 
 
 def _clean(name: str) -> Column:
@@ -40,6 +40,9 @@ def _check_profile(profile: str) -> None:
         raise ValueError(f"Unsupported metric profile: {profile}")
 
 
+# The rules below (which engine, role, class or storage publishes which metric) are fixed values.
+
+
 def instance_metrics(instances: DataFrame, profile: str = PROFILE_NAME) -> DataFrame:
     """Add ``metric_profile``, ``resource_profile`` and the ordered ``metrics`` of an instance."""
     _check_profile(profile)
@@ -119,6 +122,22 @@ def plan_rows(resources: DataFrame) -> DataFrame:
     ).drop("metrics").join(catalogue, "metric_name")
 
 
+def with_request_errors(requested: DataFrame) -> DataFrame:
+    """Requests (``resource_dimension``, ``metric_name``) with what is wrong with each, or NULL.
+
+    The dimension is looked at first; names are compared as they are written.
+    """
+    known = F.broadcast(metric_catalogue(requested.sparkSession).select("metric_name", F.lit(True).alias("_known")))
+    dimension, metric = F.col("resource_dimension"), F.col("metric_name")
+    unknown_dimension = ~F.coalesce(dimension.isin(*RESOURCE_DIMENSIONS), F.lit(False))
+    error = (
+        F.when(unknown_dimension, F.concat(F.lit("Unsupported resource dimension: "), F.coalesce(dimension, F.lit(""))))
+        .when(F.coalesce(metric, F.lit("")) == "", F.lit("At least one metric name is required"))
+        .when(F.col("_known").isNull(), F.concat(F.lit("Unsupported metric: "), metric))
+    )
+    return requested.join(known, "metric_name", "left").withColumn("request_error", error).drop("_known")
+
+
 def unsupported_metrics(requested: DataFrame) -> DataFrame:
     """Requested metrics that the catalogue does not know."""
     return requested.join(

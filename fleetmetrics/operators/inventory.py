@@ -56,12 +56,19 @@ def load_enabled_split(requested: DataFrame, instances: DataFrame) -> DataFrame:
     )
 
 
-def extend_with_clusters(ids: DataFrame, instances: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def extend_with_clusters(
+    ids: DataFrame, instances: DataFrame, keys: tuple[str, ...] = ("account_id", "region")
+) -> DataFrame:
     """Add the cluster of each id to the set: distinct ids, per group of ``keys``.
 
     Volume use is published per cluster, so storage and month reports need the
-    clusters of their instances in scope.
+    clusters of their instances in scope. Ids repeat across accounts and regions, so they
+    bring these keys; where one account and region is meant anyway, limit ``instances`` to it
+    and pass ``keys=()``.
     """
+    missing = [k for k in keys if k not in ids.columns]
+    if missing:
+        raise ValueError(f"ids need the columns {missing}, or limit the instances and pass keys=()")
     clusters = instances.where(F.col("cluster_identifier") != "").select(
         *[k for k in keys if k in instances.columns],
         F.col("identifier").alias("resource_id"),

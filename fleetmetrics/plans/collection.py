@@ -75,9 +75,20 @@ def collection_plan(
     return plan_rows(planned_resources(targets, clusters, instances, profile, metrics))
 
 
-def collection_summary(targets: DataFrame, clusters: DataFrame, instances: DataFrame, plan: DataFrame) -> DataFrame:
-    """Counts per target and region: clusters, instances, selected, requested metrics."""
+def collection_summary(
+    targets: DataFrame, clusters: DataFrame, instances: DataFrame, plan: DataFrame, landed: DataFrame | None = None
+) -> DataFrame:
+    """Counts per target and region: clusters, instances, selected, requested and uploaded payloads.
+
+    ``uploaded_count`` counts the payloads of ``landed`` (a scan of the raw layer), of the plan's
+    targets only; without it, the requests of the plan, all of which a complete run uploads.
+    """
     where = ["account_id", "region"]
+    uploads = plan
+    if landed is not None:
+        account = F.coalesce(F.nullif(F.col("source_account_id"), F.lit("")), F.col("path_account_id"))
+        region = F.coalesce(F.nullif(F.col("region"), F.lit("")), F.col("path_region"))
+        uploads = landed.select("target_name", account.alias("account_id"), region.alias("region"))
     return (
         target_regions(targets)
         .join(clusters.groupBy(*where).agg(F.count("*").alias("cluster_count")), where, "left")
@@ -92,7 +103,7 @@ def collection_summary(targets: DataFrame, clusters: DataFrame, instances: DataF
             "left",
         )
         .join(
-            plan.groupBy("target_name", *where).agg(F.count("*").alias("uploaded_count")),
+            uploads.groupBy("target_name", *where).agg(F.count("*").alias("uploaded_count")),
             ["target_name", *where],
             "left",
         )

@@ -12,18 +12,19 @@ from ..operators.inventory import attach_roles
 from ..schemas import CLUSTER_MEMBERS, CLUSTER_PAGE, CLUSTERS, INSTANCE_PAGE, INSTANCES, TARGETS
 
 
-def read_cluster_pages(spark: SparkSession, path: str) -> DataFrame:
-    return _read_pages(spark, path, CLUSTER_PAGE)
+def read_cluster_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Dumped cluster pages, one JSON document per file, or JSON lines without ``multi_line``."""
+    return _read_pages(spark, path, CLUSTER_PAGE, multi_line)
 
 
-def read_instance_pages(spark: SparkSession, path: str) -> DataFrame:
-    return _read_pages(spark, path, INSTANCE_PAGE)
+def read_instance_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return _read_pages(spark, path, INSTANCE_PAGE, multi_line)
 
 
-def _read_pages(spark: SparkSession, path: str, schema: Any) -> DataFrame:
+def _read_pages(spark: SparkSession, path: str, schema: Any, multi_line: bool) -> DataFrame:
     return (
         spark.read.schema(schema)
-        .option("multiLine", "true")
+        .option("multiLine", str(multi_line).lower())
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
         .json(path)

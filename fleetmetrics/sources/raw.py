@@ -14,6 +14,10 @@ from ..functions.timestamps import parse_utc
 from ..schemas import RAW_PAYLOAD
 
 CORRUPT = "_corrupt"
+# Fixed value: the folder a partitioned sink writes for NULL.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+#: Raw objects: one JSON document a file, and the JSON lines that :func:`write_raw` lands.
+RAW_FILES = "{*.json,part-*.txt}"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
@@ -31,10 +35,9 @@ def _file_path() -> Column:
 
 
 def path_value(path: Column, key: str) -> Column:
-    """First Hive-style ``key=value`` segment of a path; NULL if absent or empty."""
-    return F.nullif(
-        F.regexp_extract(F.concat(F.lit("/"), path), rf"/{key}=([^/]*)", 1), F.lit("")
-    )
+    """First Hive-style ``key=value`` segment of a path; NULL if absent, empty or written for NULL."""
+    value = F.regexp_extract(F.concat(F.lit("/"), path), rf"/{key}=([^/]*)", 1)
+    return F.nullif(F.nullif(value, F.lit("")), F.lit(NULL_FOLDER))
 
 
 def relative_name(path: Column, root: str) -> Column:
@@ -44,7 +47,7 @@ def relative_name(path: Column, root: str) -> Column:
 
 
 def with_origin(raw: DataFrame, root: str) -> DataFrame:
-    """Add ``source_file``, ``path_account_id`` and ``path_region`` from file metadata.
+    """Add ``source_file``, ``source_bytes``, ``path_account_id`` and ``path_region`` from file metadata.
 
     Partition discovery is not used: it would read account "012..." as a
     number, and the path's ``region`` would collide with the payload's.
@@ -53,6 +56,7 @@ def with_origin(raw: DataFrame, root: str) -> DataFrame:
     return raw.withColumns(
         {
             "source_file": relative_name(path, root),
+            "source_bytes": F.col("_metadata.file_size"),
             "path_account_id": path_value(path, "account_id"),
             "path_region": path_value(path, "region"),
         }
@@ -67,7 +71,7 @@ def scan_options(multi_line: bool = True) -> dict[str, str]:
     return {
         "multiLine": str(multi_line).lower(),
         "recursiveFileLookup": "true",
-        "pathGlobFilter": "*.json",
+        "pathGlobFilter": RAW_FILES,
         "columnNameOfCorruptRecord": CORRUPT,
     }
 
@@ -122,7 +126,7 @@ def stream_raw(
     return with_origin(stream, root)
 
 
-def list_objects(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+def list_objects(spark: SparkSession, root: str, pattern: str = RAW_FILES) -> DataFrame:
     """(name, length) of the objects under ``root``; contents are never read."""
     return (
         spark.read.format("binaryFile")
@@ -148,23 +152,25 @@ def object_counts(spark: SparkSession, root: str) -> DataFrame:
 def write_raw(payloads: DataFrame, root: str) -> None:
     """Land payloads as JSON lines under ``account_id=/region=/metric=/date=``.
 
-    ``date`` is the collection date. The partition columns are copies, except
-    ``region``, which the path carries for the payload (the scan falls back on
-    it). Payloads are rebalanced by directory, so that not every task leaves a
+    ``date`` is the collection date. All partition columns are copies: the document keeps
+    every field, ``region`` included, so it can be read without its path. A partitioned JSON
+    sink would take ``region`` out of the document, hence documents are written as text. Payloads
+    are rebalanced by directory, so that not every task leaves a
     small file in every directory. Read the result with
     ``read_raw(..., multi_line=False)``.
     """
     layout = ("account_id", "region", "metric", "date")
+    document = F.to_json(F.struct(*payloads.columns))
     (
-        payloads.withColumns(
-            {
-                "account_id": F.col("source_account_id"),
-                "metric": F.col("metric_name"),
-                "date": F.date_format(parse_utc(F.col("end_time")), "yyyy-MM-dd"),
-            }
+        payloads.select(
+            document.alias("value"),
+            F.col("source_account_id").alias("account_id"),
+            "region",
+            F.col("metric_name").alias("metric"),
+            F.date_format(parse_utc(F.col("end_time")), "yyyy-MM-dd").alias("date"),
         )
         .hint("rebalance", *layout)
         .write.mode("append")
         .partitionBy(*layout)
-        .json(root)
+        .text(root)
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import deduplicate, merge_hours
-from ..operators.flatten import accepted, check_quarantine, headers, judged, refused, rows_of
+from ..operators.flatten import REASON, accepted, check_quarantine, headers, judged, refused, rows_of
 from ..operators.rollup import refresh_days
 from ..schemas import PARTITION_COLUMNS
 from ..sources.curated import hours_of, write_curated
@@ -23,6 +23,7 @@ def merge_batch(
     batch_id: int = 0,
     table: str | None = None,
     rollup_root: str | None = None,
+    stats_root: str | None = None,
 ) -> None:
     """Merge one batch of payloads into the curated table.
 
@@ -31,7 +32,8 @@ def merge_batch(
     there. The touched hours are read back, united with the new rows, de-duplicated
     and replaced as a whole, so replaying a batch changes nothing. With ``table`` the hours are
     published in that catalogue table, each swapped at once; without, they are overwritten in
-    place. With ``rollup_root`` the daily states of the touched days follow (``table`` needed). With
+    place. With ``rollup_root`` the daily states of the touched days follow (``table`` needed), with
+    ``stats_root`` the counts of the batch (see :func:`read_batch_stats`). With
     ``on_error="quarantine"`` the refused rows replace ``batch_id=<id>`` under
     ``quarantine_root``, so a replay does not repeat them either.
     """
@@ -39,22 +41,47 @@ def merge_batch(
     if rollup_root and not table:
         raise ValueError("a rollup follows a published table: pass table")
     spark = batch.sparkSession
-    payloads = headers(batch)
+    read, flat, kept = Observation("payloads"), Observation("datapoints"), Observation("curated")
+    payloads = headers(batch).observe(
+        read,
+        F.count(F.lit(1)).alias("raw_payload_count"),
+        F.count_if(F.size("datapoints") == 0).alias("no_data_payload_count"),
+    )
     parsed = judged(payloads) if on_error == "quarantine" else rows_of(payloads, on_error)
+    bad = F.col(REASON).isNotNull() if on_error == "quarantine" else F.lit(False)
+    parsed = parsed.observe(
+        flat, F.count_if(~bad).alias("raw_datapoint_count"), F.count_if(bad).alias("rejected_count")
+    )
     with staged(parsed, curated_root) as rows:
         fresh = deduplicate(accepted(rows) if on_error == "quarantine" else rows)
+        latest = fresh.observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
+        hours = touched_hours(fresh) if table or stats_root else []
         if table:
-            hours = touched_hours(fresh)
             create_published(spark, table, curated_root)
-            merged = merge_hours(fresh, published_hours(spark, table, hours))
-            publish_hours(spark, table, curated_root, merged, hours)
+            publish_hours(spark, table, curated_root, merge_hours(latest, published_hours(spark, table, hours)), hours)
             if rollup_root:
                 refresh_days(spark, table, rollup_root, hours)
         else:
             touched = fresh.select(*PARTITION_COLUMNS).distinct()
-            write_curated(merge_hours(fresh, hours_of(spark, curated_root, touched)), curated_root)
+            write_curated(merge_hours(latest, hours_of(spark, curated_root, touched)), curated_root)
         if on_error == "quarantine":
             refused(rows).write.mode("overwrite").parquet(f"{quarantine_root.rstrip('/')}/batch_id={batch_id}")
+    if stats_root:
+        counts = {**read.get, **flat.get, **(kept.get if hours else {"curated_row_count": 0})}
+        counts["duplicates_removed"] = counts["raw_datapoint_count"] - counts["curated_row_count"]
+        counts["touched_hour_count"] = len(hours)
+        files = batch.select("source_file", "source_bytes").distinct()
+        files = files.agg(F.count("*").alias("raw_file_count"), F.coalesce(F.sum("source_bytes"), F.lit(0)).alias("raw_bytes"))
+        row = files.withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
+        row.write.mode("overwrite").parquet(f"{stats_root.rstrip('/')}/batch_id={batch_id}")
+
+
+def read_batch_stats(spark: SparkSession, stats_root: str) -> DataFrame:
+    """One row a batch: files, bytes, payloads, datapoints, refused and curated rows, touched hours.
+
+    A replayed batch has replaced its row.
+    """
+    return spark.read.parquet(stats_root)
 
 
 def incremental_curate(
@@ -69,6 +96,7 @@ def incremental_curate(
     quarantine_root: str | None = None,
     table: str | None = None,
     rollup_root: str | None = None,
+    stats_root: str | None = None,
 ) -> StreamingQuery:
     """Process every raw file not seen before, then stop (``availableNow``).
 
@@ -80,7 +108,7 @@ def incremental_curate(
     stream = stream_raw(spark, raw_root, max_files_per_trigger, multi_line, partitioned_only)
 
     def merge(batch: DataFrame, number: int) -> None:
-        merge_batch(batch, curated_root, on_error, quarantine_root, number, table, rollup_root)
+        merge_batch(batch, curated_root, on_error, quarantine_root, number, table, rollup_root, stats_root)
 
     return (
         stream.writeStream.trigger(availableNow=True)

@@ -164,7 +164,7 @@ SELECT 'o' || o_orderkey AS source_file,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'O' THEN 'n/a'
             WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN NULL
             ELSE CAST(o_totalprice AS VARCHAR) END AS value_text,
-       o_totalprice, o_orderdate
+       o_totalprice, o_orderdate, o_orderstatus
 FROM orders"""
 
 _GUARDED = f"""
@@ -578,6 +578,18 @@ def _spelled(columns: tuple[str, ...]) -> str:
     ) + ")"
 
 
+_SUMMARY_SQL = f"""
+WITH t AS ({_TARGETS}), where_ AS (SELECT *, unnest(['ap-northeast-2', 'us-east-1']) AS region FROM t),
+i AS ({_INSTANCES}), p AS ({_PLAN_SQL})
+SELECT w.target_name, w.account_id, w.region,
+  (SELECT count(*) FROM nation WHERE '00000000000' || (n_regionkey + 1) = w.account_id
+     AND CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END = w.region) AS cluster_count,
+  (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region) AS instance_count,
+  (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region AND i.status = 'available')
+    AS selected_instance_count,
+  (SELECT count(*) FROM p WHERE p.account_id = w.account_id AND p.region = w.region) AS uploaded_count
+FROM where_ w"""
+
 ORACLES: dict[str, str] = {
     "dedup_latest": f"""
 SELECT resource_id, metric_name, metric_timestamp, value, collected_at, source_file FROM (
@@ -641,6 +653,17 @@ GROUP BY window_start, resource_id""",
     "baseline_from_states": _BASELINE_SQL,
     "monthly_from_states": _MONTHLY_SQL,
     "published_roundtrip": _CURATED_FILES_SQL,
+    "observed_batches": f"""
+SELECT (NOT first)::INTEGER AS batch_id, count(*) AS raw_payload_count, 0::BIGINT AS no_data_payload_count,
+       count(*) FILTER (WHERE reason IS NULL) AS raw_datapoint_count, count(reason) AS rejected_count,
+       count(DISTINCT (resource_id, date)) FILTER (WHERE reason IS NULL) AS curated_row_count,
+       count(*) FILTER (WHERE reason IS NULL) - count(DISTINCT (resource_id, date)) FILTER (WHERE reason IS NULL)
+         AS duplicates_removed,
+       count(DISTINCT date) FILTER (WHERE reason IS NULL) AS touched_hour_count
+FROM (SELECT o_orderstatus <> 'F' AS first, resource_id, CAST(o_orderdate AS DATE) AS date,
+             CASE WHEN o_orderstatus = 'F' THEN 'Missing source_account_id' ELSE reject_reason END AS reason
+      FROM ({_GUARDED}))
+GROUP BY first""",
     "live_stream": f"""
 WITH samples AS (
   SELECT *, metric_name IN ('DiskQueueDepth', 'AuroraReplicaLag', 'FreeableMemory', 'FreeStorageSpace') AS second
@@ -716,16 +739,62 @@ WHERE identifier IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM custome
     "scope_resources": _SCOPE_IDS_SQL,
     "collection_plan": _PLAN_SQL,
     "resource_metric_counts": f"SELECT * EXCLUDE (metrics), len(metrics)::INTEGER AS metric_count FROM ({_PLANNED})",
-    "collection_summary": f"""
-WITH t AS ({_TARGETS}), where_ AS (SELECT *, unnest(['ap-northeast-2', 'us-east-1']) AS region FROM t),
-i AS ({_INSTANCES}), p AS ({_PLAN_SQL})
-SELECT w.target_name, w.account_id, w.region,
-  (SELECT count(*) FROM nation WHERE '00000000000' || (n_regionkey + 1) = w.account_id
-     AND CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END = w.region) AS cluster_count,
-  (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region) AS instance_count,
-  (SELECT count(*) FROM i WHERE i.account_id = w.account_id AND i.region = w.region AND i.status = 'available')
-    AS selected_instance_count,
-  (SELECT count(*) FROM p WHERE p.account_id = w.account_id AND p.region = w.region) AS uploaded_count
-FROM where_ w""",
+    "collection_summary": _SUMMARY_SQL,
+    "request_check": f"""
+SELECT event_id, resource_dimension, metric_name,
+       CASE WHEN resource_dimension = 'DBName' THEN 'Unsupported resource dimension: DBName'
+            WHEN metric_name = 'ErrorCount' THEN 'Unsupported metric: ErrorCount' END AS request_error
+FROM (SELECT event_id,
+             CASE event_id % 3 WHEN 0 THEN 'DBInstanceIdentifier' WHEN 1 THEN 'DBClusterIdentifier' ELSE 'DBName' END
+               AS resource_dimension,
+             CASE event_type WHEN 'error' THEN 'ErrorCount' ELSE {_METRIC} END AS metric_name FROM events)""",
+    "raw_objects": f"""
+SELECT DISTINCT true AS partitioned, '000000000001' AS account_id, 'ap-northeast-2' AS region, metric_name AS metric,
+       strftime(day + 1, '%Y-%m-%d') AS date
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), {_RESPONSE_METRICS}
+UNION ALL SELECT false, NULL, NULL, NULL, NULL""",
+    "payload_regions": f"""
+SELECT 'ap-northeast-2' AS region, m.metric_name, count(*) AS documents, sum(coalesce(n, 0))::BIGINT AS datapoints
+FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) d CROSS JOIN {_RESPONSE_METRICS}
+LEFT JOIN (SELECT user_id, day, metric_name, count(*) AS n FROM ({_PERIODS}) GROUP BY ALL) p
+  ON p.user_id = d.user_id AND p.day = d.day AND p.metric_name = m.metric_name
+GROUP BY m.metric_name""",
+    "registered_hours": """
+SELECT '000000000001' AS account_id, 'ap-northeast-2' AS region, CAST(ts AS DATE) AS date,
+       strftime(ts, '%H') AS hour, count(*) AS samples FROM events GROUP BY ALL""",
+    "health_without_history": f"""
+SELECT s.*, b.* EXCLUDE (resource_id), {_DEVIATIONS}
+FROM ({_SNAPSHOT_SQL}) s LEFT JOIN (SELECT * FROM ({_BASELINE_SQL}) WHERE false) b ON s.resource_id = b.resource_id""",
+    "validated_values": r"""
+SELECT id, value, regexp_full_match(value, '[0-9]{12}') AS account_id,
+       regexp_full_match(value, '[a-z]{2}-[a-z]+-[0-9]') AS region,
+       regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS date,
+       regexp_full_match(value, '[0-9]{4}-(0[1-9]|1[0-2])') AS month,
+       regexp_full_match(value, '[A-Za-z0-9_-]+') AS resource_id,
+       regexp_full_match(value, 'db-[A-Z0-9]+') AS dbi_resource_id,
+       coalesce(TRY_CAST(value AS BIGINT) BETWEEN 1 AND 1440, false) AS lookback
+FROM (SELECT 'o' || o_orderkey AS id,
+             CASE o_orderkey % 7 WHEN 0 THEN lpad(o_orderkey::VARCHAR, 12, '0') WHEN 1 THEN strftime(o_orderdate, '%Y-%m')
+                  WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN 'db-' || upper(o_orderstatus) || o_orderkey
+                  WHEN 4 THEN 'ap-northeast-2' WHEN 5 THEN o_orderpriority || chr(10)
+                  ELSE strftime(o_orderdate, '%Y-') || (o_orderkey % 20) END AS value
+      FROM orders
+      UNION ALL SELECT 'p' || p_partkey, (p_partkey * 37 % 1600 - 20)::VARCHAR FROM part)""",
+    "landed_summary": _SUMMARY_SQL,
+    "shown_instances": f"""
+SELECT COLUMNS(*)::VARCHAR FROM (SELECT * REPLACE (coalesce(dbi_resource_id, '') AS dbi_resource_id,
+       coalesce(engine, '') AS engine) FROM ({_INSTANCES}))""",
+    "cluster_extend_keyed": f"""
+SELECT account_id, region, identifier AS resource_id FROM ({_INSTANCES})
+UNION SELECT account_id, region, cluster_identifier FROM ({_INSTANCES})""",
+    "described_clusters": """
+SELECT '00000000000' || (n_regionkey + 1) AS account_id,
+       CASE WHEN n_nationkey % 2 = 1 THEN 'us-east-1' ELSE 'ap-northeast-2' END AS region, n_name AS identifier,
+       CASE n_nationkey % 3 WHEN 0 THEN 'aurora-mysql' WHEN 1 THEN 'aurora-postgresql' ELSE 'mysql' END AS engine,
+       '1' AS engine_version, CASE n_nationkey % 4 WHEN 3 THEN 'creating' ELSE 'available' END AS status FROM nation""",
+    "described_members": f"""
+SELECT account_id, region, cluster_identifier, identifier, cluster_role AS role,
+       (ordinal % 16)::INTEGER AS promotion_tier FROM ({_INSTANCES})""",
+    "described_instances": f"SELECT * EXCLUDE (ordinal) FROM ({_INSTANCES})",
     "metric_allow_list": "SELECT event_id, 'ErrorCount' AS metric_name FROM events WHERE event_type = 'error'",
 }

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import BASELINE_STATS, MONTHLY_STATS
 from ..functions.calendar import month_bounds, previous_month
-from ..functions.text import forecast_line, health_line, monthly_line, top_sql_line
-from ..operators.collection import unsupported_metrics
+from ..functions.text import forecast_line, health_line, monthly_line, table_text, top_sql_line
+from ..functions.validators import PATTERNS, has_shape, is_lookback
+from ..operators.collection import unsupported_metrics, with_request_errors
 from ..operators.dedup import deduplicate
 from ..operators.flatten import REASON, flatten, headers, points
 from ..operators.inventory import attach_roles, available, extend_with_clusters, load_enabled_split
@@ -28,11 +29,18 @@ from ..plans.collection import collection_plan as plan_collection
 from ..plans.collection import collection_summary as summarize_collection
 from ..plans.collection import planned_resources, resource_metric_counts
 from ..plans.curate import curate, refresh_statistics
-from ..sources.curated import read_curated, scope
+from ..sources.curated import read_curated, read_history, register_curated, scope, write_curated
+from ..sources.inventory import (
+    clusters_from_pages,
+    instances_from_pages,
+    members_from_pages,
+    read_cluster_pages,
+    read_instance_pages,
+)
 from ..sources.published import read_published
-from ..sources.raw import write_raw
+from ..sources.raw import list_objects, path_value, read_raw, write_raw
 from ..sources.responses import as_raw, payloads
-from ..streaming.incremental import incremental_curate
+from ..streaming.incremental import incremental_curate, read_batch_stats
 from ..streaming.live import live_health_stream, sliding_health
 from . import tables as t
 
@@ -136,6 +144,19 @@ def published_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_published(spark, table).select(_curated_view(spark, f"{base}/curated").columns)
 
 
+def observed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """What each batch of a stream over two landings read, refused and kept."""
+    base = _scratch(spark)
+    flawed = t.flawed_documents(spark, sf)
+    for landing in ("source_account_id IS NOT NULL", "source_account_id IS NULL"):
+        write_raw(flawed.where(landing), f"{base}/raw")
+        incremental_curate(
+            spark, f"{base}/raw", f"{base}/curated", f"{base}/progress", "quarantine", multi_line=False,
+            quarantine_root=f"{base}/refused", stats_root=f"{base}/stats",
+        ).awaitTermination()
+    return read_batch_stats(spark, f"{base}/stats").drop("raw_file_count", "raw_bytes")
+
+
 def live_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Live health kept up by a stream over two landings, the second of them late."""
     base = _scratch(spark)
@@ -334,7 +355,35 @@ def available_instances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_extend(spark: SparkSession, sf: str) -> DataFrame:
-    return extend_with_clusters(t.instance_ids(spark, sf), role_join(spark, sf))
+    return extend_with_clusters(t.instance_ids(spark, sf), role_join(spark, sf), keys=())
+
+
+def cluster_extend_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every instance and cluster of the fleet, each in its account and region."""
+    known = role_join(spark, sf)
+    return extend_with_clusters(known.withColumnRenamed("identifier", "resource_id"), known)
+
+
+def described_members(spark: SparkSession, sf: str) -> DataFrame:
+    return members_from_pages(_cluster_pages(spark, sf)).drop("cluster_ordinal", "member_pos")
+
+
+def _cluster_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster pages written as JSON documents and read back."""
+    root = f"{_scratch(spark)}/clusters"
+    t.cluster_pages(spark, sf).write.json(root)
+    return read_cluster_pages(spark, root, multi_line=False)
+
+
+def described_instances(spark: SparkSession, sf: str) -> DataFrame:
+    root = f"{_scratch(spark)}/instances"
+    t.instance_pages(spark, sf).write.json(root)
+    pages = read_instance_pages(spark, root, multi_line=False)
+    return instances_from_pages(pages, members_from_pages(_cluster_pages(spark, sf))).drop("ordinal")
+
+
+def described_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters_from_pages(_cluster_pages(spark, sf)).drop("ordinal")
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,6 +426,72 @@ def collection_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def landed_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary with uploads counted in the raw layer, where every planned payload was landed."""
+    root = f"{_scratch(spark)}/raw"
+    plan = collection_plan(spark, sf)
+    write_raw(t.planned_payloads(plan), root)
+    landed = read_raw(spark, root, multi_line=False)
+    return summarize_collection(t.targets(spark, sf), t.clusters(spark, sf), role_join(spark, sf), plan, landed)
+
+
+def raw_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The folders of a raw layer that also holds objects of an older layout, by their names alone."""
+    root = f"{_scratch(spark)}/raw"
+    write_raw(payloads(t.response_requests(spark, sf), t.response_pages(spark, sf)), root)
+    t.table(spark, sf, "nation").select(F.to_json(F.struct("n_name"))).write.text(f"{root}/older")
+    name = F.col("name")
+    return list_objects(spark, root).where("length > 0").select(
+        name.startswith("account_id=").alias("partitioned"),
+        *[path_value(name, key).alias(key) for key in ("account_id", "region", "metric", "date")],
+    ).distinct()
+
+
+def payload_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the raw layer by the region they name themselves."""
+    root = f"{_scratch(spark)}/raw"
+    write_raw(payloads(t.response_requests(spark, sf), t.response_pages(spark, sf)), root)
+    documents = read_raw(spark, root, multi_line=False)
+    return documents.groupBy("region", "metric_name").agg(
+        F.count("*").alias("documents"), F.sum("datapoint_count").alias("datapoints")
+    )
+
+
+def registered_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of each registered hour, through the catalogue."""
+    root, table = f"{_scratch(spark)}/curated", f"registered_{uuid.uuid4().hex}"
+    write_curated(t.events_as_curated(spark, sf), root)
+    register_curated(spark, table, root)
+    return spark.table(table).groupBy("account_id", "region", "date", "hour").agg(F.count("*").alias("samples"))
+
+
+def health_without_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Day health while there is no curated table to take a baseline from."""
+    day = t.events_as_curated(spark, sf, t.SNAPSHOT_DAY, t.SNAPSHOT_DAY)
+    nothing = read_history(spark, f"{_scratch(spark)}/never-written")
+    return reports.health_on_date(day, t.ACCOUNT, t.REGION, t.SNAPSHOT_DAY, history=nothing)
+
+
+def validated_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Which shapes the texts of orders have, and which part numbers are lookbacks."""
+    texts = t.parameter_texts(spark, sf)
+    flags = {kind: has_shape(F.col("value"), kind) for kind in PATTERNS}
+    return texts.withColumns({**flags, "lookback": is_lookback(F.col("value").try_cast("long"))})
+
+
+def shown_instances(spark: SparkSession, sf: str) -> DataFrame:
+    return table_text(role_join(spark, sf))
+
+
+def request_check(spark: SparkSession, sf: str) -> DataFrame:
+    asked = t.events(spark, sf).select(
+        "event_id",
+        t.event_dimension().alias("resource_dimension"),
+        F.when(F.col("event_type") == "error", "ErrorCount").otherwise(t.event_metric()).alias("metric_name"),
+    )
+    return with_request_errors(asked)
+
+
 def metric_allow_list(spark: SparkSession, sf: str) -> DataFrame:
     asked = t.events(spark, sf).select(
         "event_id",
@@ -395,6 +510,7 @@ QUERIES: dict[str, Query] = {
     "incremental_roundtrip": incremental_roundtrip,
     "published_roundtrip": published_roundtrip,
     "live_stream": live_stream,
+    "observed_batches": observed_batches,
     "baseline_from_states": baseline_from_states,
     "monthly_from_states": monthly_from_states,
     "health_snapshot": snapshot,
@@ -431,4 +547,16 @@ QUERIES: dict[str, Query] = {
     "resource_metric_counts": resource_counts,
     "collection_summary": collection_summary,
     "metric_allow_list": metric_allow_list,
+    "request_check": request_check,
+    "landed_summary": landed_summary,
+    "raw_objects": raw_objects,
+    "payload_regions": payload_regions,
+    "registered_hours": registered_hours,
+    "health_without_history": health_without_history,
+    "validated_values": validated_values,
+    "shown_instances": shown_instances,
+    "cluster_extend_keyed": cluster_extend_keyed,
+    "described_clusters": described_clusters,
+    "described_members": described_members,
+    "described_instances": described_instances,
 }

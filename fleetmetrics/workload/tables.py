@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog import metric_catalogue
 from ..functions.timestamps import iso_utc, utc_literal
-from ..schemas import CLUSTER_MEMBERS, CLUSTERS, CURATED, FINDINGS, INSTANCES, SQL_LOAD, TARGETS
+from ..schemas import CLUSTER_MEMBERS, CLUSTERS, CURATED, FINDINGS, INSTANCES, RAW_PAYLOAD, SQL_LOAD, TARGETS
 
 ACCOUNT = "000000000001"
 REGION = "ap-northeast-2"
@@ -195,6 +195,13 @@ def flawed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flawed payloads as documents to land; the day they were collected is their order's."""
+    rows = flawed_payloads(spark, sf_dir)
+    given = {name: F.col(name) for name in rows.columns} | {"end_time": F.lit("1999-01-01T00:00:00Z")}
+    return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAYLOAD.fields])
+
+
 def response_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as metric responses: five-minute averages, one request per user and day.
 
@@ -357,6 +364,84 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*CLUSTERS.fieldNames())
 
 
+def cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and their suppliers as describe pages: five clusters a page."""
+    member = F.struct(
+        F.col("s_name").alias("DBInstanceIdentifier"),
+        F.when(F.pmod("s_suppkey", F.lit(4)) == 0, True)
+        .when(F.pmod("s_suppkey", F.lit(4)) == 1, F.lit(None).cast("boolean"))
+        .otherwise(False)
+        .alias("IsClusterWriter"),
+        F.pmod("s_suppkey", F.lit(16)).cast("int").alias("PromotionTier"),
+    )
+    members = _suppliers(spark, sf_dir).groupBy("n_nationkey").agg(F.collect_list(member).alias("members"))
+    cluster = F.struct(
+        F.col("identifier").alias("DBClusterIdentifier"),
+        F.col("engine").alias("Engine"),
+        F.col("engine_version").alias("EngineVersion"),
+        F.col("status").alias("Status"),
+        F.col("members").alias("DBClusterMembers"),
+    )
+    described = clusters(spark, sf_dir).join(members, F.col("ordinal") == F.col("n_nationkey"), "left")
+    return described.groupBy("account_id", "region", F.floor(F.col("ordinal") / 5).alias("page_number")).agg(
+        F.collect_list(cluster).alias("DBClusters")
+    )
+
+
+def instance_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as describe pages of a hundred instances; switches that are off are left out."""
+    entry = F.struct(
+        F.col("identifier").alias("DBInstanceIdentifier"),
+        F.col("dbi_resource_id").alias("DbiResourceId"),
+        F.col("engine").alias("Engine"),
+        F.col("engine_version").alias("EngineVersion"),
+        F.col("instance_class").alias("DBInstanceClass"),
+        F.col("availability_zone").alias("AvailabilityZone"),
+        F.col("status").alias("DBInstanceStatus"),
+        F.when(F.col("multi_az"), True).alias("MultiAZ"),
+        F.col("storage_type").alias("StorageType"),
+        F.when(F.col("performance_insights_enabled"), True).alias("PerformanceInsightsEnabled"),
+        F.col("cluster_identifier").alias("DBClusterIdentifier"),
+    )
+    page = F.floor(F.col("ordinal") / 100).alias("page_number")
+    return instances(spark, sf_dir).groupBy("account_id", "region", page).agg(F.collect_list(entry).alias("DBInstances"))
+
+
+def planned_payloads(plan: DataFrame) -> DataFrame:
+    """A payload without datapoints for every planned request."""
+    texts = ("target_name", "region", "resource_dimension", "resource_id", "engine", "cluster_identifier", "cluster_role")
+    texts += ("metric_profile", "resource_profile", "metric_name", "statistic", "unit")
+    end = F.lit("2024-01-20T12:00:00Z")
+    given = {name: F.col(name) for name in texts} | {"source_account_id": F.col("account_id"), "end_time": end, "collected_at": end}
+    empty = {"datapoint_count": F.lit(0), "datapoints": F.array()}
+    return plan.select(
+        *[(given | empty).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAYLOAD.fields]
+    )
+
+
+def parameter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they come in as report parameters, from orders and parts."""
+    key, when = F.col("o_orderkey"), F.col("o_orderdate")
+    text = (
+        F.when(F.pmod(key, F.lit(7)) == 0, F.lpad(key.cast("string"), 12, "0"))
+        .when(F.pmod(key, F.lit(7)) == 1, F.date_format(when, "yyyy-MM"))
+        .when(F.pmod(key, F.lit(7)) == 2, F.date_format(when, "yyyy-MM-dd"))
+        .when(F.pmod(key, F.lit(7)) == 3, F.concat(F.lit("db-"), F.upper("o_orderstatus"), key))
+        .when(F.pmod(key, F.lit(7)) == 4, F.lit(REGION))
+        .when(F.pmod(key, F.lit(7)) == 5, F.concat(F.col("o_orderpriority"), F.lit("\n")))
+        .otherwise(F.concat(F.date_format(when, "yyyy-"), F.pmod(key, F.lit(20))))
+    )
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key).alias("id"), text.alias("value"))
+    minutes = F.pmod(F.col("p_partkey") * 37, F.lit(1600)) - 20
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), minutes.cast("string").alias("value"))
+    return orders.unionByName(parts)
+
+
+def event_dimension() -> Column:
+    """The dimension an event asks for, one in three of them unknown."""
+    return _choose(F.col("event_id"), "DBInstanceIdentifier", "DBClusterIdentifier", "DBName")
+
+
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])

@@ -92,7 +92,7 @@ def test_name_search_has_no_nested_loop(spark):
 def test_cluster_extension(spark):
     _, _, instances = inventory(spark, FLEET, ALONE)
     ids = spark.createDataFrame([("orders-a",), ("orders-a",), ("devops-db",), ("unknown",)], "resource_id string")
-    assert rows_of(extend_with_clusters(ids, instances), "resource_id") == [
+    assert rows_of(extend_with_clusters(ids, instances, keys=()), "resource_id") == [
         ("devops-db",), ("orders",), ("orders-a",), ("unknown",),
     ]
 

@@ -22,6 +22,13 @@ EAGER = (
     "live_stream",
     "baseline_from_states",
     "monthly_from_states",
+    "landed_summary",
+    "raw_objects",
+    "payload_regions",
+    "registered_hours",
+    "described_members",
+    "described_instances",
+    "described_clusters",
 )
 
 

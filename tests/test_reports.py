@@ -11,6 +11,7 @@ from fleetmetrics.functions.text import forecast_line, health_line, monthly_line
 from fleetmetrics.operators.monthly import compare_months, monthly_aggregate
 from fleetmetrics.operators.storage import storage_forecast as forecast_lines
 from fleetmetrics.operators.storage import storage_history, with_gib
+from fleetmetrics.plans import reports
 from fleetmetrics.sources.curated import empty_curated
 
 from .helpers import ACCOUNT, REGION, at, curated, history, rows_of
@@ -311,3 +312,24 @@ def test_storage_filter_and_date_range_reach_the_scan(spark, tmp_path):
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert schema.startswith("struct<resource_id:string,metric_name:string,value:double>")
     assert F is not None
+
+
+def test_reports_come_in_their_order(spark):
+    """Rows arrive sorted, not only with the right content."""
+    names = [f"r{n:02d}" for n in (7, 3, 11, 0, 5, 9)]
+    samples = [(n, "mysql", "writer", m, at(f"2026-0{month}-1{d}T00:00:00"), d)
+               for n in names for m in ("CPUUtilization", "FreeStorageSpace") for month in (7, 8) for d in range(4)]
+    rows = curated(spark, samples).repartition(5)
+    where = (ACCOUNT, REGION)
+
+    def order(df, *columns):
+        return [tuple(r[c] for c in columns) for r in df.collect()]
+
+    by_name = [(n,) for n in sorted(names)]
+    assert order(reports.health_on_date(rows, *where, "2026-08-13"), "resource_id") == by_name
+    assert order(reports.storage_forecast(rows, *where, "2026-08-13"), "resource_id") == by_name
+    assert order(reports.monthly_report(rows, *where, "2026-08", today=date(2026, 9, 2)), "resource_id") == by_name
+    days = reports.storage_forecasts(rows, *where, "2026-08-11", "2026-08-13")
+    assert order(days, "resource_id", "as_of") == [(n, date(2026, 8, d)) for n in sorted(names) for d in (11, 12, 13)]
+    asked = reports.live_health(rows, *where, names, at("2026-08-13T00:10:00"))
+    assert order(asked, "position", "resource_id") == list(enumerate(names))
