@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timestamps import parse_utc
 from ..schemas import CURATED
-from ..sources.raw import CORRUPT
+from ..sources.raw import CORRUPT, LIST_TYPE
 
 REASON = "reject_reason"
 POSITION = "point_pos"
@@ -60,6 +60,7 @@ def headers(raw: DataFrame) -> DataFrame:
         missing_or_blank(F.col("metric_name"), "metric_name"),
         missing_or_blank(collected, "collected_at"),
         F.when(parse_utc(collected).isNull(), F.lit("Invalid collected_at")),
+        *_list_reasons(raw),
     )
     return raw.select(
         account.alias("account_id"),
@@ -74,6 +75,13 @@ def headers(raw: DataFrame) -> DataFrame:
     )
 
 
+def _list_reasons(raw: DataFrame) -> list[Column]:
+    """A missing list is an empty one; anything else than a list, JSON ``null`` too, is refused."""
+    if LIST_TYPE not in raw.columns:
+        return []
+    return [F.when(~F.col(LIST_TYPE).startswith("ARRAY"), F.lit("datapoints must be a list"))]
+
+
 def points(header_rows: DataFrame, strict: bool = False) -> DataFrame:
     """One row per datapoint of each payload, with position and reject reason.
 

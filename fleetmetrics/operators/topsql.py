@@ -160,6 +160,37 @@ def normalize_findings(findings: DataFrame) -> DataFrame:
     ).where((F.col("resource_id") != "") & (F.col("rank") >= 1) & (F.col("finding") != ""))
 
 
+def normalize_finding_documents(documents: DataFrame, column: str = "document") -> DataFrame:
+    """:func:`normalize_findings` of whole answers in a VARIANT column.
+
+    Entries keep the types they were given: a rank that is a number is cut to its integer part,
+    one that is text must be written as an integer, so 3.7 counts as 3 and "3.7" is dropped. Entries
+    that are no objects are dropped, and zero or false is no resource, as it is no text.
+    """
+    entry = documents.select(F.expr(f"posexplode(try_variant_get({column}, '$.queries', 'array<variant>')) AS (position, q)"))
+    whole = r"^\\s*[+-]?[0-9]+\\s*$"
+
+    def text(name: str) -> Column:
+        as_text, kind = f"try_variant_get(q, '$.{name}', 'string')", f"schema_of_variant(try_variant_get(q, '$.{name}', 'variant'))"
+        nothing = f"{kind} <> 'STRING' AND try_variant_get(q, '$.{name}', 'double') = 0"
+        return F.regexp_replace(F.expr(f"CASE WHEN {nothing} THEN '' ELSE coalesce({as_text}, '') END"), r"(?U)^\s+|\s+$", "")
+
+    given, rank_text = "schema_of_variant(try_variant_get(q, '$.rank', 'variant'))", "try_variant_get(q, '$.rank', 'string')"
+    rank = F.expr(
+        f"CASE WHEN {given} = 'STRING' THEN CASE WHEN {rank_text} RLIKE '{whole}' THEN try_cast(trim({rank_text}) AS INT) END "
+        "ELSE try_cast(try_variant_get(q, '$.rank', 'double') AS INT) END"
+    )
+    confidence = text("confidence")
+    return entry.select(
+        text("resource_id").alias("resource_id"),
+        rank.alias("rank"),
+        text("finding").alias("finding"),
+        text("suggestion").alias("suggestion"),
+        F.when(confidence == "", "low").otherwise(confidence).alias("confidence"),
+        "position",
+    ).where((F.col("resource_id") != "") & (F.col("rank") >= 1) & (F.col("finding") != ""))
+
+
 def confidence_label(confidence: Column) -> Column:
     """Display label of a confidence code; an unknown code is shown as it is."""
     label = confidence

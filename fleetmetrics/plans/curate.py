@@ -29,6 +29,7 @@ def curate(
     table: str | None = None,
     file_stats: bool = False,
     publish_to: str | None = None,
+    variant: bool = False,
 ) -> dict[str, int]:
     """Flatten, de-duplicate and write every raw payload; return refresh statistics.
 
@@ -47,7 +48,7 @@ def curate(
     collection_dates = None if collection_dates is None else list(collection_dates)
     quarantine, partial = on_error == "quarantine", collection_dates is not None
     started = datetime.now(timezone.utc)
-    raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line)
+    raw = read_raw(spark, raw_root, partitioned_only, collection_dates, multi_line, variant)
     if raw.select("source_file").isEmpty():
         raise ValueError(f"No raw JSON files found under {raw_root}")
 

@@ -14,6 +14,8 @@ from ..functions.timestamps import parse_utc
 from ..schemas import RAW_PAYLOAD
 
 CORRUPT = "_corrupt"
+#: The type a document gives its datapoints, where whole documents are parsed.
+LIST_TYPE = "_list_type"
 # Fixed value: the folder a partitioned sink writes for NULL.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 #: Raw objects: one JSON document a file, and the JSON lines that :func:`write_raw` lands.
@@ -76,12 +78,40 @@ def scan_options(multi_line: bool = True) -> dict[str, str]:
     }
 
 
+def _documents(spark: SparkSession, paths: list[str], multi_line: bool) -> DataFrame:
+    """Whole documents as VARIANT: NULL where a text is no JSON object.
+
+    Typed columns come out of the variant, as text where the scan schema has text, beside the
+    type that the document gives ``datapoints`` (NULL if it has none).
+    """
+    texts = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", RAW_FILES)
+        .text(paths, wholetext=multi_line)
+        .where(F.col("value").rlike(r"\S"))
+    )
+    parsed = F.expr("try_parse_json(value)")
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    docs = texts.select(F.when(is_object, parsed).alias("document"), "_metadata")
+    fields = {f.name: F.try_variant_get("document", f"$.{f.name}", f.dataType.simpleString()) for f in RAW_PAYLOAD.fields}
+    fields["datapoints"] = F.expr(
+        "transform(try_variant_get(document, '$.datapoints', 'array<variant>'), p -> named_struct("
+        "'timestamp', try_variant_get(p, '$.timestamp', 'string'), 'value', try_variant_get(p, '$.value', 'string')))"
+    )
+    held = F.schema_of_variant(F.try_variant_get("document", "$.datapoints", "variant"))
+    corrupt = F.when(F.col("document").isNull(), F.lit("no JSON object"))
+    return docs.select(
+        *[c.alias(name) for name, c in fields.items()], corrupt.alias(CORRUPT), held.alias(LIST_TYPE), "_metadata"
+    )
+
+
 def read_raw(
     spark: SparkSession,
     root: str,
     partitioned_only: bool = False,
     collection_dates: Iterable[str] | None = None,
     multi_line: bool = True,
+    variant: bool = False,
 ) -> DataFrame:
     """Scan every ``*.json`` payload under ``root``.
 
@@ -90,7 +120,9 @@ def read_raw(
     directories in parallel. ``collection_dates`` narrows the listing itself to
     those ``date=`` directories, which is what an hourly refresh should pass.
     ``multi_line`` reads one (pretty-printed) document per file; switch it off
-    for JSON lines, which Spark can also split.
+    for JSON lines, which Spark can also split. ``variant`` parses whole documents
+    first: it tells a ``datapoints`` that is JSON ``null`` or no list from a missing
+    one, which a scan with a schema cannot, and costs a parse of the fields nobody reads.
     """
     base = root.rstrip("/")
     if collection_dates is not None:
@@ -100,7 +132,10 @@ def read_raw(
     else:
         paths = [base]
     try:
-        raw = spark.read.schema(scan_schema()).options(**scan_options(multi_line)).json(paths)
+        if variant:
+            raw = _documents(spark, paths, multi_line)
+        else:
+            raw = spark.read.schema(scan_schema()).options(**scan_options(multi_line)).json(paths)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise ValueError(f"No raw JSON files found under {root}") from error

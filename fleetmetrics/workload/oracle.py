@@ -664,6 +664,17 @@ FROM (SELECT o_orderstatus <> 'F' AS first, resource_id, CAST(o_orderdate AS DAT
              CASE WHEN o_orderstatus = 'F' THEN 'Missing source_account_id' ELSE reject_reason END AS reason
       FROM ({_GUARDED}))
 GROUP BY first""",
+    "variant_guard": """
+SELECT reject_reason, count(*) AS rows, sum(value::DECIMAL(28,2))::DECIMAL(28,2) AS total
+FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'Malformed payload'
+                  WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'datapoints must be a list' END
+               AS reject_reason,
+             CASE WHEN o_orderstatus <> 'P' AND o_orderpriority = '5-LOW' THEN o_totalprice END AS value,
+             o_orderstatus, o_orderpriority FROM orders)
+WHERE reject_reason IS NOT NULL OR value IS NOT NULL GROUP BY reject_reason""",
+    "findings_variant": """
+SELECT conv_id::VARCHAR AS resource_id, (turn + 1)::INTEGER AS rank, role AS finding, '' AS suggestion, 'low' AS confidence
+FROM conversations WHERE role <> 'system' AND conv_id <> 0""",
     "live_stream": f"""
 WITH samples AS (
   SELECT *, metric_name IN ('DiskQueueDepth', 'AuroraReplicaLag', 'FreeableMemory', 'FreeStorageSpace') AS second

@@ -15,7 +15,7 @@ from ..functions.text import forecast_line, health_line, monthly_line, table_tex
 from ..functions.validators import PATTERNS, has_shape, is_lookback
 from ..operators.collection import unsupported_metrics, with_request_errors
 from ..operators.dedup import deduplicate
-from ..operators.flatten import REASON, flatten, headers, points
+from ..operators.flatten import REASON, flatten, headers, judged, points
 from ..operators.inventory import attach_roles, available, extend_with_clusters, load_enabled_split
 from ..operators.monthly import compare_months, monthly_aggregate, with_notable
 from ..operators.names import resolve_names
@@ -23,7 +23,7 @@ from ..operators.health import baseline, health_snapshot
 from ..operators.requests import parse_requests, resolve_scope, scope_resources
 from ..operators.rollup import daily_states, monthly_of_states, read_states, wide_stats_of_states, write_states
 from ..operators.storage import storage_history
-from ..operators.topsql import normalize_findings, total_load, truncate_statements, with_display_text
+from ..operators.topsql import normalize_finding_documents, normalize_findings, total_load, truncate_statements, with_display_text
 from ..plans import reports
 from ..plans.collection import collection_plan as plan_collection
 from ..plans.collection import collection_summary as summarize_collection
@@ -157,6 +157,18 @@ def observed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return read_batch_stats(spark, f"{base}/stats").drop("raw_file_count", "raw_bytes")
 
 
+def variant_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose datapoints are a list, missing, null or something else, and broken ones."""
+    root = f"{_scratch(spark)}/raw"
+    t.loose_documents(spark, sf).write.text(f"{root}/account_id={t.ACCOUNT}")
+    rows = judged(headers(read_raw(spark, root, multi_line=False, variant=True)))
+    return rows.groupBy(REASON).agg(F.count("*").alias("rows"), F.sum("value").cast("decimal(28,2)").alias("total"))
+
+
+def findings_variant(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_finding_documents(t.finding_documents(spark, sf)).drop("position")
+
+
 def live_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Live health kept up by a stream over two landings, the second of them late."""
     base = _scratch(spark)
@@ -510,6 +522,8 @@ QUERIES: dict[str, Query] = {
     "incremental_roundtrip": incremental_roundtrip,
     "published_roundtrip": published_roundtrip,
     "live_stream": live_stream,
+    "variant_guard": variant_guard,
+    "findings_variant": findings_variant,
     "observed_batches": observed_batches,
     "baseline_from_states": baseline_from_states,
     "monthly_from_states": monthly_from_states,

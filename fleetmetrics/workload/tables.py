@@ -202,6 +202,38 @@ def flawed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAYLOAD.fields])
 
 
+def loose_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON texts with all that can stand for ``datapoints``, some cut off in the middle."""
+    priority = F.col("o_orderpriority")
+    held = (
+        F.when(priority == "1-URGENT", "null")
+        .when(priority == "2-HIGH", '{"timestamp": "x"}')
+        .when(priority == "3-MEDIUM", '"none"')
+        .otherwise(F.concat(F.lit('[{"timestamp": "2024-01-20T00:00:00Z", "value": '), F.col("o_totalprice"), F.lit("}]")))
+    )
+    listed = F.when(priority == "4-NOT SPECIFIED", "").otherwise(F.concat(F.lit(', "datapoints": '), held))
+    known = F.concat(
+        F.lit('{"resource_id": "c'), F.col("o_custkey"), F.lit('", "metric_name": "CPUUtilization", "region": "'), F.lit(REGION),
+        F.lit('", "collected_at": "2024-01-20T01:00:00Z"'), listed, F.lit("}"),
+    )
+    cut = F.when(F.col("o_orderstatus") == "P", F.substring(known, 1, 40)).otherwise(known)
+    return table(spark, sf_dir, "orders").select(cut.alias("value"))
+
+
+def finding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as answers: ranks as numbers with a fraction, as text, and as text with one."""
+    role, turn = F.col("role"), F.col("turn")
+    rank = (
+        F.when(role == "user", F.concat(turn + 1, F.lit(".7")))
+        .when(role == "system", '"3.7"')
+        .otherwise(F.concat(F.lit('" '), turn + 1, F.lit('"')))
+    )
+    entry = F.concat(
+        F.lit('{"queries": [7, {"resource_id": '), F.col("conv_id"), F.lit(', "rank": '), rank, F.lit(', "finding": "'), role, F.lit('"}]}')
+    )
+    return table(spark, sf_dir, "conversations").select(F.parse_json(entry).alias("document"))
+
+
 def response_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as metric responses: five-minute averages, one request per user and day.
 

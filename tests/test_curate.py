@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from datetime import date, datetime
 
@@ -303,3 +304,34 @@ def test_missing_history_is_empty(spark, tmp_path):
 
     table = read_history(spark, str(tmp_path / "never"))
     assert table.schema.fieldNames() == CURATED.fieldNames() and table.isEmpty()
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_whole_documents_tell_null_from_missing(spark, tmp_path, multi_line):
+    from fleetmetrics.operators.flatten import accepted, headers, judged
+
+    documents = {
+        "list": payload(), "missing": payload(datapoints=...), "null": payload(datapoints=None),
+        "object": payload(datapoints={"timestamp": "x"}), "text": payload(datapoints="none"),
+        "entries": payload(datapoints=[7, {"timestamp": "2026-08-19T01:00:00Z", "value": "1e3"}, {"value": True}]),
+        "late": payload(datapoints=None, resource_id=""), "broken": '{"resource_id": "a"', "array": "[1, 2]",
+    }
+    for name, document in documents.items():
+        text = document if isinstance(document, str) else json.dumps(document, indent=2 if multi_line else None)
+        write_payload(tmp_path, f"{PLACE}/{name}.json", text)
+    raw = read_raw(spark, str(tmp_path), multi_line=multi_line, variant=True)
+    rows = judged(headers(raw))
+    reasons = {}
+    for row in rows.where(F.col(REASON).isNotNull()).collect():
+        reasons.setdefault(row.source_file.split("/")[-1][:-5], []).append(row[REASON])
+    not_a_list = ["datapoints must be a list"]
+    assert {k: sorted(v) for k, v in reasons.items()} == {
+        "null": not_a_list, "object": not_a_list, "text": not_a_list, "late": ["Empty resource_id"],
+        "broken": ["Malformed payload"], "array": ["Malformed payload"],
+        "entries": ["Missing datapoint.timestamp", "Missing datapoint.timestamp"],
+    }
+    got = {(r.source_file.split("/")[-1], r.value) for r in accepted(rows).collect()}
+    assert got == {("list.json", 42.5), ("entries.json", 1000.0)}
+    assert "missing" not in reasons  # a missing list is an empty one
+    with pytest.raises(Exception, match="must be a list|Malformed|Missing|Empty"):
+        curate(spark, str(tmp_path), str(tmp_path / "out"), variant=True, multi_line=multi_line)

@@ -139,3 +139,34 @@ def test_states_of_days_give_the_reports_of_samples(spark, tmp_path, table):
     now = {p: p.stat().st_mtime_ns for p in (tmp_path / "states").rglob("*.parquet")}
     changed = {p.parent.name for p in set(written.items()) ^ set(now.items()) for p in [p[0]]}
     assert changed == {"date=2026-08-04"}
+
+
+def scanned_rows(df):
+    """The answer, and how many rows the scan gave for it."""
+    rows = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return rows, leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_a_report_on_one_resource_skips_row_groups_that_cannot_hold_it(spark, tmp_path):
+    from fleetmetrics.sources.curated import write_curated
+
+    from .helpers import at, curated
+
+    # One hour, sixty sample times; every group of rows spans the names from a to z.
+    samples = []
+    for minute in range(60):
+        when = at(f"2026-08-19T06:{minute:02d}:00")
+        samples += [(f"{letter}{n:03d}", "mysql", "writer", "CPUUtilization", when, n) for letter in "az" for n in range(50)]
+        if minute == 31:
+            samples += [("m-one", "mysql", "writer", "CPUUtilization", when, 7), ("m-one", "mysql", "writer", "BurstBalance", when, 9)]
+    write_curated(curated(spark, samples).coalesce(1), str(tmp_path / "fine"), row_group_bytes=8 << 10)
+    table = read_curated(spark, str(tmp_path / "fine"))
+    rows, scanned = scanned_rows(table.where("resource_id = 'm-one'").select("metric_name", "value"))
+    assert sorted(map(tuple, rows)) == [("BurstBalance", 9.0), ("CPUUtilization", 7.0)]
+    assert 2 <= scanned < len(samples) / 4
+    rows, scanned = scanned_rows(table.where("metric_name = 'BurstBalance'").select("resource_id", "value"))
+    assert [tuple(r) for r in rows] == [("m-one", 9.0)] and scanned < len(samples) / 4
+    rows, scanned = scanned_rows(table.where("resource_id = 'm-two'").select("value"))
+    assert rows == [] and scanned < len(samples) / 4
+    assert scanned_rows(table.select("value"))[1] == len(samples)

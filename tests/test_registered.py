@@ -29,6 +29,8 @@ EAGER = (
     "described_members",
     "described_instances",
     "described_clusters",
+    "observed_batches",
+    "variant_guard",
 )
 
 

@@ -169,3 +169,15 @@ def test_line(spark):
         "[a] Top SQL #1: avg_active_sessions=2.0, sql_id=q1, sql_text_truncated=false, sql_text=select q1"
     )
     assert F is not None
+
+
+def test_finding_documents_keep_the_type_of_a_rank(spark):
+    from fleetmetrics.operators.topsql import normalize_finding_documents
+
+    ranks = ["3.7", '"3.7"', '" 2 "', "4", "null", "true", '"first"', "0.9", "[1]", '"-1"']
+    texts = ['{"queries": [{"resource_id": "r%d", "rank": %s, "finding": " f "}]}' % (n, rank) for n, rank in enumerate(ranks)]
+    texts += ['{"queries": [{"resource_id": "gone", "finding": "no rank"}, 7, "x", {"resource_id": 0, "rank": 1, "finding": "f"}]}']
+    texts += ['{"queries": null}', "{}", '{"queries": [{"resource_id": 12, "rank": 1, "finding": 5, "confidence": ""}]}']
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("parse_json(text) AS document")
+    got = rows_of(normalize_finding_documents(rows), "resource_id", "rank", "finding", "confidence")
+    assert got == [("12", 1, "5", "low"), ("r0", 3, "f", "low"), ("r2", 2, "f", "low"), ("r3", 4, "f", "low"), ("r5", 1, "f", "low")]
