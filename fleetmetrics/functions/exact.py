@@ -22,6 +22,8 @@ LIMBS = 4
 _UNIT = f"{1 << BITS}D"
 _WHOLE_UNIT = f"{1 << BITS}BD"
 _WHOLE = "DECIMAL(38,0)"
+#: What product steps hand on.
+_PASSED = ("a", "b", "ah", "bh", "p", "e")
 #: Magnitudes that have parts; those of the factors of a product.
 _SUM, _PRODUCT = f"{float(1 << 111)!r}D", f"{float(1 << 55)!r}D"
 
@@ -35,34 +37,52 @@ def _parts(x: str) -> list[str]:
     return [f"CAST({part} AS BIGINT)" for part in cut]
 
 
-def _with(df: DataFrame, **columns: str) -> DataFrame:
-    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
-
-
-def with_parts(df: DataFrame, name: str, x: str) -> DataFrame:
-    """Add the parts ``<name>_0`` .. ``<name>_3`` of column ``x``, or ``<name>_x`` if it has none.
-
-    They are columns of their own, so a row is cut once however many sums use it.
-    """
+def parts_steps(name: str, x: str) -> list[dict[str, str]]:
+    """The parts ``<name>_0`` .. ``<name>_3`` of column ``x``, or ``<name>_x`` if it has none, as one projection."""
     fits = f"abs({x}) < {_SUM}"
     parts = {f"{name}_{i}": f"CASE WHEN {fits} THEN CAST({p} AS DECIMAL(20,0)) END" for i, p in enumerate(_parts(x))}
-    return _with(df, **parts, **{f"{name}_x": f"CASE WHEN NOT {fits} THEN {x} END"})
+    return [parts | {f"{name}_x": f"CASE WHEN NOT {fits} THEN {x} END"}]
 
 
-def with_product_parts(df: DataFrame, name: str, x: str, y: str) -> DataFrame:
-    """Add the parts of ``x * y``: those of the rounded product and of its exact error.
+def product_steps(name: str, x: str, y: str) -> list[dict[str, str]]:
+    """The parts of ``x * y``, those of the rounded product and of its exact error.
 
     Each step is a projection of its own: what it names is computed once, not written out again.
+    Columns that begin with ``<name>_`` and a letter are only passed on between steps.
     """
-    a, b, ah, bh, p, e = (f"{name}_{v}" for v in ("a", "b", "ah", "bh", "p", "e"))
+    a, b, ah, bh, p, e = (f"{name}_{v}" for v in _PASSED)
     fits = f"abs({x}) < {_PRODUCT} AND abs({y}) < {_PRODUCT}"
-    df = _with(df, **{v: f"CASE WHEN {fits} THEN CAST({of} AS DOUBLE) END" for v, of in ((a, x), (b, y))})
-    df = _with(df, **{h: f"{v} * 134217729D - ({v} * 134217729D - {v})" for v, h in ((a, ah), (b, bh))}, **{p: f"{a} * {b}"})
     error = f"(({ah} * {bh} - {p}) + {ah} * ({b} - {bh}) + ({a} - {ah}) * {bh}) + ({a} - {ah}) * ({b} - {bh})"
-    df = _with(df, **{e: error})
     both = zip(_parts(p), _parts(e))
-    parts = {f"{name}_{i}": f"CAST({one} + {other} AS DECIMAL(20,0))" for i, (one, other) in enumerate(both)}
-    return _with(df, **parts, **{f"{name}_x": f"CASE WHEN NOT ({fits}) THEN {x} * {y} END"}).drop(a, b, ah, bh, p, e)
+    return [
+        {v: f"CASE WHEN {fits} THEN CAST({of} AS DOUBLE) END" for v, of in ((a, x), (b, y))},
+        {h: f"{v} * 134217729D - ({v} * 134217729D - {v})" for v, h in ((a, ah), (b, bh))} | {p: f"{a} * {b}"},
+        {e: error},
+        {f"{name}_{i}": f"CAST({one} + {other} AS DECIMAL(20,0))" for i, (one, other) in enumerate(both)}
+        | {f"{name}_x": f"CASE WHEN NOT ({fits}) THEN {x} * {y} END"},
+    ]
+
+
+def with_steps(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
+    for columns in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
+    return df
+
+
+def steps_sql(source: str, steps: list[dict[str, str]]) -> str:
+    """The same as a SQL text around the query ``source``."""
+    for columns in steps:
+        source = f"SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in columns.items())} FROM ({source})"
+    return source
+
+
+def with_parts(df: DataFrame, name: str, x: str) -> DataFrame:
+    """Add the parts of a column: a row is cut once however many sums use it."""
+    return with_steps(df, parts_steps(name, x))
+
+
+def with_product_parts(df: DataFrame, name: str, x: str, y: str) -> DataFrame:
+    return with_steps(df, product_steps(name, x, y)).drop(*[f"{name}_{v}" for v in _PASSED])
 
 
 def sums(parts: str, name: str, where: str = "true") -> list[str]:

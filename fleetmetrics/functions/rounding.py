@@ -33,6 +33,21 @@ def sql_round(x: Column, decimals: int) -> Column:
     return F.when(F.abs(x * scale) < FRACTIONLESS, F.round(x * scale) / scale).otherwise(x)
 
 
+def even_round_text(x: str, decimals: int = 0) -> str:
+    """:func:`even_round` of a double column, as a SQL text."""
+    if decimals == 0:
+        return f"rint({x})"
+    scale = f"{10**decimals}D"
+    product, high = f"({x} * {scale})", f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    below, error = f"CAST(floor({product}) AS DOUBLE)", f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
+    return (
+        f"CASE WHEN NOT abs({product}) < {FRACTIONLESS!r}D THEN {x} "
+        f"WHEN {product} - {below} = 0.5D AND {error} > 0 THEN ({below} + 1) / {scale} "
+        f"WHEN {product} - {below} = 0.5D AND {error} < 0 THEN {below} / {scale} "
+        f"ELSE rint({product}) / {scale} END"
+    )
+
+
 def even_round(x: Column, decimals: int = 0) -> Column:
     """Python's ``round(x, decimals)`` of a double, for 0 <= decimals <= 6.
 

@@ -27,13 +27,14 @@ def _names(metric: str) -> tuple[str, str, str]:
     return f"sum_{metric}", f"squares_{metric}", f"count_{metric}"
 
 
+def value_steps(stats: Stats) -> list[dict[str, str]]:
+    """Projections that add the parts of ``value`` (and of its square) that the sums of ``stats`` need."""
+    steps = exact.parts_steps("_part", "value") if _metrics(stats, "avg", "stddev") else []
+    return steps + (exact.product_steps("_square", "value", "value") if _metrics(stats, "stddev") else [])
+
+
 def with_value_parts(df: DataFrame, stats: Stats) -> DataFrame:
-    """``df`` with the parts of ``value`` (and of its square) that the sums of ``stats`` need."""
-    if _metrics(stats, "avg", "stddev"):
-        df = exact.with_parts(df, "_part", "value")
-    if _metrics(stats, "stddev"):
-        df = exact.with_product_parts(df, "_square", "value", "value")
-    return df
+    return exact.with_steps(df, value_steps(stats))
 
 
 def _of(metric: str, column: str = "value") -> str:
@@ -63,8 +64,11 @@ def _aggregates(stats: Stats, counted: Callable[[str], str], extremes: dict[str,
     return columns + [f"{a}({_of(m, extremes[a])}) AS {c}" for m, a, c, _ in stats if a in extremes]
 
 
-def finished_stats(grouped: DataFrame, stats: Stats, *kept: str) -> DataFrame:
-    """``kept`` columns of aggregated rows, and means, deviations and extremes, rounded."""
+def finishing(stats: Stats) -> tuple[list[str], list[str]]:
+    """Two projections of aggregated rows: means, deviations and extremes, and the same rounded.
+
+    Rounded in a second step: one reference per value keeps the plan small.
+    """
 
     def value(metric: str, aggregate: str, column: str) -> str:
         total, squares, count = _names(metric)
@@ -74,9 +78,23 @@ def finished_stats(grouped: DataFrame, stats: Stats, *kept: str) -> DataFrame:
             return f"{exact.deviation(total, squares, count)} AS {column}"
         return column
 
-    # Rounded in a second step: one reference per value keeps the plan small.
-    rows = grouped.selectExpr(*kept, *[value(m, a, c) for m, a, c, _ in stats])
-    return rows.selectExpr(*kept, *[f"{sql_round_text(c, decimals)} AS {c}" for _, _, c, decimals in stats])
+    rounded = [f"{sql_round_text(c, decimals)} AS {c}" for _, _, c, decimals in stats]
+    return [value(m, a, c) for m, a, c, _ in stats], rounded
+
+
+def finished_stats(grouped: DataFrame, stats: Stats, *kept: str) -> DataFrame:
+    """``kept`` columns of aggregated rows, and the statistics, rounded."""
+    values, rounded = finishing(stats)
+    return grouped.selectExpr(*kept, *values).selectExpr(*kept, *rounded)
+
+
+def wide_stats_sql(source: str, keys: Sequence[str], stats: Stats, *extra: str) -> str:
+    """:func:`wide_stats` of the query ``source`` as a SQL text; ``extra`` are named aggregates."""
+    kept = [*keys, *[e.rsplit(" AS ", 1)[1] for e in extra]]
+    parted = exact.steps_sql(source, value_steps(stats))
+    grouped = f"SELECT {', '.join([*keys, *extra, *mergeable_stats(stats)])} FROM ({parted}) GROUP BY {', '.join(keys)}"
+    values, rounded = finishing(stats)
+    return f"SELECT {', '.join([*kept, *rounded])} FROM (SELECT {', '.join([*kept, *values])} FROM ({grouped}))"
 
 
 def wide_stats(df: DataFrame, keys: Sequence[str], stats: Stats, *extra: Column) -> DataFrame:

@@ -720,6 +720,15 @@ LEFT JOIN (SELECT 'u' || ordinal AS id FROM ({_INSTANCES})
            WHERE performance_insights_enabled AND dbi_resource_id IS NOT NULL) h ON q.resource_id = h.id
 LEFT JOIN ({_TOTAL_SQL}) t ON q.resource_id = t.resource_id AND h.id IS NOT NULL
 LEFT JOIN ({_LIVE_SQL}) l ON q.resource_id = l.resource_id""",
+    "sql_health": f"""
+SELECT s.*, b.* EXCLUDE (resource_id), {_DEVIATIONS}
+FROM ({_SNAPSHOT_SQL}) s LEFT JOIN ({_BASELINE_SQL}) b ON s.resource_id = b.resource_id""",
+    "sql_live": f"""
+SELECT l.*, b.* EXCLUDE (resource_id), {_DEVIATIONS}
+FROM ({_LIVE_SQL}) l LEFT JOIN ({_BASELINE_SQL}) b ON l.resource_id = b.resource_id""",
+    "sql_storage": _FORECAST_SQL,
+    "sql_months": _MONTHLY_SQL,
+    "sql_top_sql": _TOP_SQL,
     "sql_truncate": """
 SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS sql_text,
        coalesce(length(text) > 1200, false) AS sql_text_truncated,

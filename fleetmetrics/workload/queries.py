@@ -29,7 +29,8 @@ from ..plans.collection import collection_plan as plan_collection
 from ..plans.collection import collection_summary as summarize_collection
 from ..plans.collection import planned_resources, resource_metric_counts
 from ..plans.curate import curate, refresh_statistics
-from ..sources.curated import read_curated, read_history, register_curated, scope, write_curated
+from ..plans.sql import create_report_functions
+from ..sources.curated import empty_curated, read_curated, read_history, register_curated, scope, write_curated
 from ..sources.inventory import (
     clusters_from_pages,
     instances_from_pages,
@@ -305,6 +306,41 @@ def top_sql_text(spark: SparkSession, sf: str) -> DataFrame:
     return top_sql_line(top_sql(spark, sf)).select("resource_id", "rank", "line")
 
 
+def _sql_report(spark: SparkSession, sf: str, curated: DataFrame, call: str, **args: object) -> DataFrame:
+    """A report through its SQL table function, over views of whole tables."""
+    # Views of one report hold its columns only; the functions name those of all.
+    whole = empty_curated(spark).unionByName(curated, allowMissingColumns=True)
+    whole.createOrReplaceTempView("fleet_curated")
+    t.sql_load(spark, sf).createOrReplaceTempView("fleet_load")
+    create_report_functions(spark, "fleet_curated", "fleet_load")
+    return spark.sql(f"SELECT * FROM {call}", args={"account": t.ACCOUNT, "region": t.REGION, **args})
+
+
+def sql_health(spark: SparkSession, sf: str) -> DataFrame:
+    samples = t.events_as_curated(spark, sf)
+    return _sql_report(spark, sf, samples, "fleet_health(:account, :region, :day, 7)", day=t.SNAPSHOT_DAY)
+
+
+def sql_live(spark: SparkSession, sf: str) -> DataFrame:
+    call = "fleet_live(:account, :region, :as_of, :minutes, 7)"
+    return _sql_report(spark, sf, t.events_as_curated(spark, sf), call, as_of=t.AS_OF, minutes=t.LOOKBACK_MINUTES)
+
+
+def sql_storage(spark: SparkSession, sf: str) -> DataFrame:
+    call = "fleet_storage(:account, :region, :day, 30)"
+    return _sql_report(spark, sf, t.storage_as_curated(spark, sf), call, day=t.STORAGE_AS_OF)
+
+
+def sql_months(spark: SparkSession, sf: str) -> DataFrame:
+    call = "fleet_months(:account, :region, :month, :today)"
+    return _sql_report(spark, sf, t.orders_as_curated(spark, sf), call, month=t.REPORT_MONTH, today=TODAY)
+
+
+def sql_top_sql(spark: SparkSession, sf: str) -> DataFrame:
+    call = "fleet_top_sql(:as_of, :minutes, 10)"
+    return _sql_report(spark, sf, t.events_as_curated(spark, sf), call, as_of=t.AS_OF, minutes=t.LOOKBACK_MINUTES)
+
+
 def top_sql_overview(spark: SparkSession, sf: str) -> DataFrame:
     users = t.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("position"), F.concat(F.lit("u"), "c_custkey").alias("resource_id")
@@ -546,6 +582,11 @@ QUERIES: dict[str, Query] = {
     "top_sql_total_load": top_sql_total_load,
     "top_sql_text": top_sql_text,
     "top_sql_overview": top_sql_overview,
+    "sql_health": sql_health,
+    "sql_live": sql_live,
+    "sql_storage": sql_storage,
+    "sql_months": sql_months,
+    "sql_top_sql": sql_top_sql,
     "sql_truncate": sql_truncate,
     "findings_normalized": findings_normalized,
     "findings_join": findings_join,
