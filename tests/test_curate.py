@@ -16,7 +16,7 @@ from fleetmetrics.sources.curated import register_curated, scope, write_curated
 from fleetmetrics.sources.raw import object_counts, read_raw
 from fleetmetrics.streaming.incremental import merge_batch
 
-from .helpers import ACCOUNT, REGION, at, curated, payload, rows_of, write_payload
+from .helpers import ACCOUNT, COLLECTED, REGION, VALUE, at, curated, payload, rows_of, write_payload
 
 PLACE = f"account_id={ACCOUNT}/region={REGION}/metric=CPUUtilization/date=2026-08-19"
 
@@ -38,7 +38,7 @@ def test_flatten_copies_the_header_to_every_datapoint(spark, tmp_path):
     ]
     first = rows[0]
     assert (first.account_id, first.region, first.source_file) == (ACCOUNT, REGION, f"{PLACE}/a.json")
-    assert (first.period_seconds, first.collected_at, first.date) == (300, at("2026-08-19T07:00:05"), date(2026, 8, 19))
+    assert (first.period_seconds, first.collected_at, first.date) == (300, at(COLLECTED[:-1]), date(2026, 8, 19))
 
 
 def test_path_stands_in_for_missing_account_and_region_but_never_wins(spark, tmp_path):
@@ -275,7 +275,7 @@ def test_timestamps_are_naive(spark, tmp_path):
     write_payload(tmp_path / "raw", "a.json", payload())
     curate(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     row = read_curated(spark, str(tmp_path / "out")).first()
-    assert row.metric_timestamp == datetime(2026, 8, 19, 6, 55)
+    assert row.metric_timestamp == datetime(2026, 8, 19, 5, 5)
 
 
 def test_refresh_by_collection_date_equals_whole_refresh(spark, tmp_path):
@@ -331,7 +331,7 @@ def test_whole_documents_tell_null_from_missing(spark, tmp_path, multi_line):
         "entries": ["Missing datapoint.timestamp", "Missing datapoint.timestamp"],
     }
     got = {(r.source_file.split("/")[-1], r.value) for r in accepted(rows).collect()}
-    assert got == {("list.json", 42.5), ("entries.json", 1000.0)}
+    assert got == {("list.json", VALUE), ("entries.json", 1000.0)}
     assert "missing" not in reasons  # a missing list is an empty one
     with pytest.raises(Exception, match="must be a list|Malformed|Missing|Empty"):
         curate(spark, str(tmp_path), str(tmp_path / "out"), variant=True, multi_line=multi_line)

@@ -55,7 +55,7 @@ def test_pages_are_joined_paired_sorted_and_rounded(spark):
 def test_landed_payloads_are_read_back_the_same(spark, tmp_path):
     requests, pages = _requests(spark, "ReadIOPS", "WriteIOPS"), _pages(spark)
     land_responses(requests, pages, str(tmp_path / "raw"))
-    directories = {p.parent.relative_to(tmp_path / "raw").as_posix() for p in (tmp_path / "raw").rglob("*.json")}
+    directories = {p.parent.relative_to(tmp_path / "raw").as_posix() for p in (tmp_path / "raw").rglob("part-*.txt")}
     assert f"account_id={ACCOUNT}/region={REGION}/metric=ReadIOPS/date=2026-08-19" in directories
     columns = ("account_id", "region", "resource_id", "metric_name", "metric_timestamp", "value", "collected_at")
     direct = rows_of(flatten(as_raw(payloads(requests, pages))), *columns)
