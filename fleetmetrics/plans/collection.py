@@ -123,6 +123,6 @@ def resource_metric_counts(planned: DataFrame) -> DataFrame:
     return planned.select("*", F.size("metrics").alias("metric_count"))
 
 
-def land_responses(requests: DataFrame, pages: DataFrame, raw_root: str) -> None:
+def land_responses(requests: DataFrame, pages: DataFrame, raw_root: str, compressed: bool = False) -> None:
     """Turn response pages into raw payloads and append them to the raw layer."""
-    write_raw(payloads(requests, pages), raw_root)
+    write_raw(payloads(requests, pages), raw_root, compressed)

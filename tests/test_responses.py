@@ -3,10 +3,12 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 from fleetmetrics import curate, land_responses, read_curated
 from fleetmetrics.operators.flatten import flatten
 from fleetmetrics.schemas import METRIC_RESPONSE
-from fleetmetrics.sources.raw import read_raw
+from fleetmetrics.sources.raw import list_objects, read_raw, write_raw
 from fleetmetrics.sources.responses import as_raw, payloads, read_responses
 
 from .helpers import ACCOUNT, REGION, rows_of
@@ -65,6 +67,21 @@ def test_landed_payloads_are_read_back_the_same(spark, tmp_path):
     assert rows_of(read_curated(spark, str(tmp_path / "out")), *columns) == direct
 
 
+def test_compressed_landing_is_small_and_read_back_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("fleetmetrics.sources.raw.COMPRESSED_FILE_ROWS", 400)
+    one = payloads(_requests(spark, "ReadIOPS", "WriteIOPS"), _pages(spark))
+    many = one.crossJoin(spark.range(1000)).withColumn("resource_id", F.concat("resource_id", "id")).drop("id")
+    plain, packed = tmp_path / "plain", tmp_path / "packed"
+    write_raw(many, str(plain))
+    write_raw(many, str(packed), compressed=True)
+    sizes = [[f.stat().st_size for f in root.rglob("part-*")] for root in (plain, packed)]
+    assert sum(sizes[1]) * 5 < sum(sizes[0]) and len(sizes[1]) >= 6
+    columns = ("account_id", "region", "resource_id", "metric_name", "metric_timestamp", "value", "collected_at")
+    rows = [rows_of(flatten(read_raw(spark, str(root), multi_line=False)), *columns) for root in (plain, packed)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3000
+    assert list_objects(spark, str(packed)).count() == len(sizes[1])
+
+
 def test_dumped_pages_are_read(spark, tmp_path):
     page = {"request_id": "r1", "MetricDataResults": [{"Id": "m0", "Timestamps": ["2026-08-19T15:05:00+09:00"], "Values": [5]}]}
     (tmp_path / "p.json").write_text(json.dumps(page, indent=2))
