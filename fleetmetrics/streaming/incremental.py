@@ -53,8 +53,9 @@ def merge_batch(
         flat, F.count_if(~bad).alias("raw_datapoint_count"), F.count_if(bad).alias("rejected_count")
     )
     with staged(parsed, curated_root) as rows:
-        fresh = deduplicate(accepted(rows) if on_error == "quarantine" else rows)
-        latest = fresh.observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
+        # Hours are asked of the staged rows: copies of a sample lie in its hour, so nothing is ranked for them.
+        fresh = accepted(rows) if on_error == "quarantine" else rows
+        latest = deduplicate(fresh).observe(kept, F.count(F.lit(1)).alias("curated_row_count"))
         hours = touched_hours(fresh) if table or stats_root else []
         if table:
             create_published(spark, table, curated_root)

@@ -14,6 +14,8 @@ from fleetmetrics.plans.curate import refresh_statistics
 from fleetmetrics.schemas import CURATED
 from fleetmetrics.sources.curated import register_curated, scope, write_curated
 from fleetmetrics.sources.raw import object_counts, read_raw
+from fleetmetrics.sources.published import touched_hours
+from fleetmetrics.streaming import incremental
 from fleetmetrics.streaming.incremental import merge_batch
 
 from .helpers import ACCOUNT, COLLECTED, REGION, VALUE, at, curated, payload, rows_of, write_payload
@@ -335,3 +337,24 @@ def test_whole_documents_tell_null_from_missing(spark, tmp_path, multi_line):
     assert "missing" not in reasons  # a missing list is an empty one
     with pytest.raises(Exception, match="must be a list|Malformed|Missing|Empty"):
         curate(spark, str(tmp_path), str(tmp_path / "out"), variant=True, multi_line=multi_line)
+
+
+def test_touched_hours_are_asked_without_ranking_the_copies(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def asked(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return touched_hours(rows)
+
+    monkeypatch.setattr(incremental, "touched_hours", asked)
+    copies = [payload(collected_at=f"2026-08-19T05:12:{second}Z") for second in (30, 31)]
+    for number, document in enumerate((*copies, payload(resource_id=" "))):
+        write_payload(tmp_path / "raw", f"{number}.json", document)
+    stats = str(tmp_path / "stats")
+    incremental.merge_batch(
+        read_raw(spark, str(tmp_path / "raw")), str(tmp_path / "out"), "quarantine", str(tmp_path / "refused"), stats_root=stats
+    )
+    assert len(plans) == 1 and "Window" not in plans[0]
+    [row] = incremental.read_batch_stats(spark, stats).collect()
+    assert (row.raw_datapoint_count, row.curated_row_count, row.duplicates_removed) == (2, 1, 1)
+    assert (row.touched_hour_count, row.rejected_count) == (1, 1)
