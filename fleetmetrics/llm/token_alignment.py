@@ -44,6 +44,8 @@ from .common import built_once, sliced, staged
 
 #: Bytes of text aligned together; longer texts are aligned alone.
 BATCH_BYTES = 1 << 18
+#: Links counted or scored together: an Arrow batch may hold millions.
+BATCH_LINKS = 1 << 18
 
 _LONGS = [T.StructField(n, T.LongType(), False) for n in ("n_a", "n_b", "n_groups")]
 _INTS = T.ArrayType(T.IntegerType(), False)
@@ -259,17 +261,25 @@ def aligned(
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
+def linked(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about ``BATCH_LINKS`` links, with links as (offsets, numbers); longer rows stay whole."""
+    for batch in batches:
+        offsets = batch.column(place).field("links").offsets.to_numpy()
+        part = (offsets[1:] - offsets[0]) // BATCH_LINKS
+        starts = np.flatnonzero(np.append(True, np.diff(part) > 0)).tolist() if batch.num_rows else []
+        for first, last in zip(starts, [*starts[1:], batch.num_rows]):
+            some = batch.slice(first, last - first)
+            links = some.column(place).field("links")
+            ends = links.offsets.to_numpy()
+            yield some, ends - ends[0], links.flatten().to_numpy()
+
+
 def _over_links(df: DataFrame, schema: T.StructType, each: Callable) -> DataFrame:
-    """``each`` gets the batches of ``df``, with links as (offsets, numbers)."""
+    """``each`` gets what :func:`linked` makes of the batches of ``df``."""
+    place = df.columns.index("alignment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened():
-            for batch in batches:
-                links = batch.column(batch.num_columns - 1)
-                offsets = links.offsets.to_numpy()
-                yield batch, offsets - offsets[0], links.flatten().to_numpy()
-
-        yield from each(opened())
+        yield from each(linked(batches, place))
 
     return df.mapInArrow(run, schema)
 
@@ -285,15 +295,16 @@ def link_counts(alignments: DataFrame, n_pairs: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "links"])
 
     schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("pair", "links")])
-    counted = _over_links(alignments.select("alignment.links"), schema, each)
+    counted = _over_links(alignments.select(F.struct("alignment.links").alias("alignment")), schema, each)
     return counted.groupBy("pair").agg(F.sum("links").alias("links"))
 
 
-def scored(alignments: DataFrame, pairs: np.ndarray) -> DataFrame:
+def scored(alignments: DataFrame, pairs: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """Add ``scores``: links, links whose count is the highest of their B id, and all counts summed.
 
     ``alignments`` is read twice and should be staged. The counts, one for each pair that the
-    vocabularies allow, pass through the driver.
+    vocabularies allow, pass through the driver. Where links are not needed again, ``keep`` names
+    the columns to give back, so that links enter tasks but do not come out of them.
     """
     counted = link_counts(alignments, len(pairs)).toArrow()
     counts = np.zeros(len(pairs), np.int64)
@@ -302,19 +313,21 @@ def scored(alignments: DataFrame, pairs: np.ndarray) -> DataFrame:
     highest = np.zeros(int(id_b.max(initial=0)) + 1, np.int64)
     np.maximum.at(highest, id_b, counts)
     shared = alignments.sparkSession.sparkContext.broadcast((counts, counts == highest[id_b]))
-    kept = [f for f in alignments.schema.fields if f.name != "scores"]
+    kept = [f for f in alignments.schema.fields if f.name != "scores" and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, T.StructField("scores", SCORES, False)])
-    with_links = alignments.select(*[f"`{f.name}`" for f in kept], F.col("alignment.links").alias("_links"))
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    if "alignment" not in schema.names:
+        columns.append(F.struct("alignment.links").alias("alignment"))
 
     def each(opened):
         count, best = shared.value
         for batch, offsets, links in opened:
-            sums = [np.concatenate(([0], np.cumsum(x[links]))) for x in (best.astype(np.int64), count)]
-            columns = [np.diff(offsets), *(s[offsets[1:]] - s[offsets[:-1]] for s in sums)]
-            scores = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], SCORES.names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], schema.names)
+            sums = [np.concatenate(([0], np.cumsum(x[links], dtype=np.int64))) for x in (best, count)]
+            found = [np.diff(offsets), *(s[offsets[1:]] - s[offsets[:-1]] for s in sums)]
+            scores = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in found], SCORES.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], scores], schema.names)
 
-    return _over_links(with_links, schema, each)
+    return _over_links(alignments.select(*columns), schema, each)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,10 +337,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = aligned(docs, *paths).drop("text")
     digest = F.when(F.col("alignment.n_a") > 0, F.sha2("alignment.groups", 256)).otherwise(F.lit(""))
+    sizes = [f.name for f in _LONGS]
     slim = found.select(
-        "doc_id", digest.alias("groups_sha256"), F.col("alignment").dropFields("groups").alias("alignment")
-    )
-    done = scored(staged(slim, "alignments"), link_pairs(*paths))
-    return done.select(
-        "doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups", "scores.*", "groups_sha256"
+        "doc_id",
+        *[f"alignment.{n}" for n in sizes],
+        digest.alias("groups_sha256"),
+        F.struct("alignment.links").alias("alignment"),
     )
+    done = scored(staged(slim, "alignments"), link_pairs(*paths), keep=["doc_id", *sizes, "groups_sha256"])
+    return done.select("doc_id", *sizes, "scores.*", "groups_sha256")

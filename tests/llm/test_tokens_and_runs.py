@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -134,6 +135,28 @@ def test_alignment_of_odd_and_empty_tables(spark, odd, nothing):
     assert empty.collect() == []
 
 
+def test_links_are_counted_and_scored_in_small_slices(spark, texts, monkeypatch):
+    sizes, limit = [0, 5, 3, 9, 0, 2, 2], 6
+    links = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([links], ["links"])], ["alignment"])
+    monkeypatch.setattr(token_alignment, "BATCH_LINKS", limit)
+    for whole in (batch, batch.slice(2, 4), batch.slice(7)):
+        wanted = whole.column(0).field("links").to_pylist()
+        found = []
+        for some, offsets, flat in token_alignment.linked(iter([whole]), 0):
+            lists = [flat[x:y].tolist() for x, y in zip(offsets, offsets[1:])]
+            assert len(flat) <= limit + max(sizes) and some.num_rows == len(lists)
+            found += lists
+        assert found == wanted
+
+
+def test_links_do_not_come_back_from_the_scoring_tasks(spark):
+    query = token_alignment.op12_token_alignment(spark, SF)
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    scoring = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "alignment" not in scoring.split(", [")[-1]
+
+
 def test_every_linked_pair_is_in_the_table():
     a, b = {0: b"ab", 1: b"b", 2: b"xab", 5: b"c"}, {3: b"b", 4: b" ab", 6: b"b"}
     pairs = {(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in token_alignment.suffix_pairs(a, b)}
