@@ -101,6 +101,20 @@ def test_windows_across_days_and_wide_values_cost_no_copies_in_the_shuffle(spark
         }
 
 
+def test_windows_of_one_value_are_not_divided(spark, monkeypatch):
+    from fleetmetrics.functions import exact
+
+    start = at("2026-08-19T23:00:00")
+    values = (0.1, -0.0, -1e-30, 2.0**70 + 2.0**20, -17.25, 1e300)
+    rows = [("a", "mysql", "writer", "CPUUtilization", start + timedelta(hours=i), v) for i, v in enumerate(values)]
+    whole = sliding_health(curated(spark, rows), "30 minutes", "30 minutes").orderBy("window_start").collect()
+    # Whole sums of a window with one value are never formed into a quotient.
+    monkeypatch.setattr(exact, "mean", lambda *_: "CAST(raise_error('divided') AS DOUBLE)")
+    single = sliding_health(curated(spark, rows), "30 minutes", "30 minutes").orderBy("window_start").collect()
+    assert [str(r.cpu_avg) for r in single] == [str(r.cpu_avg) for r in whole]
+    assert [str(r.cpu_avg) for r in whole] == ["0.1", "0.0", "0.0", str(2.0**70 + 2.0**20), "-17.25", "1e+300"]
+
+
 def test_rolling_forecasts_equal_the_forecast_of_each_window(spark):
     random.seed(9)
     rows = []
