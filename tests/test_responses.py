@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from fleetmetrics import curate, land_responses, read_curated
 from fleetmetrics.operators.flatten import flatten
@@ -82,6 +82,35 @@ def test_compressed_landing_is_small_and_read_back_the_same(spark, tmp_path, mon
     assert list_objects(spark, str(packed)).count() == len(sizes[1])
 
 
+def test_landing_keeps_files_open_and_loses_nothing_past_their_number(spark, tmp_path, monkeypatch):
+    key, seen, plain_text = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.text
+
+    def text(writer, *args, **kwargs):
+        seen.append(spark.conf.get(key, None))
+        return plain_text(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    metrics = [f"Metric{i}" for i in range(40)]
+    rows = payloads(_requests(spark, *metrics), _pages(spark)).crossJoin(spark.range(50)).drop("id")
+    before = spark.conf.get(key, None)
+    for files in (100, 3):  # more directories than open files: the rest is sorted
+        monkeypatch.setattr("fleetmetrics.sources.raw.OPEN_FILES", files)
+        root = str(tmp_path / f"raw{files}")
+        write_raw(rows.coalesce(1), root, compressed=True)
+        landed = read_raw(spark, root, multi_line=False)
+        in_place = F.col("source_file").contains(F.concat(F.lit("/metric="), "metric_name", F.lit("/")))
+        assert landed.select("metric_name").distinct().count() == 40
+        assert landed.where(in_place).count() == 2000 == landed.count()
+        assert spark.conf.get(key, None) == before
+    assert seen == ["100", "3"]
+    spark.conf.set(key, "7")
+    try:
+        write_raw(rows.limit(1), str(tmp_path / "again"))
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_dumped_pages_are_read(spark, tmp_path):
     page = {"request_id": "r1", "MetricDataResults": [{"Id": "m0", "Timestamps": ["2026-08-19T15:05:00+09:00"], "Values": [5]}]}
     (tmp_path / "p.json").write_text(json.dumps(page, indent=2))
