@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -425,6 +426,36 @@ def test_bpe_on_random_text():
         assert flat[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_keeps_no_words():
+    """What a worker holds does not grow with the words it has met, nor is it built from a million strings."""
+    path, _ = library()
+    with open(path, encoding="utf-8") as file:
+        content = file.read()
+    rng = random.Random(5)
+    slices = [["".join(rng.choices("abcdefghij", k=12)) + " x" for _ in range(10_000)] for _ in range(4)]
+    tracemalloc.start()
+    try:
+        mine = bpe.Bpe(content)
+        built, most = tracemalloc.get_traced_memory()
+        for texts in slices:
+            mine.encode_all(texts)
+        grown = tracemalloc.get_traced_memory()[0] - built
+    finally:
+        tracemalloc.stop()
+    assert most < 60e6 and grown < 1e6
+
+
+def test_bpe_cuts_texts_as_the_pattern_does():
+    path, tokenizer = library()
+    mine, rng = bpe.Bpe(open(path, encoding="utf-8").read()), random.Random(7)
+    parts = [" ", "  ", "'", "'s", "'re", "'l", "r", "e", "st", "aaaa", "<|endoftext|>", "<|endo", "\n", "\t", "\u00a0", "\u3000", "1", "!", "\u00e9", "\u0301", "\U00011240"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(5000)] + [None, ""]
+    flat, offsets = mine.encode_all(texts)
+    decoded = mine.decode_all(flat, offsets).to_pylist()
+    for text, a, b, back in zip(texts, offsets, offsets[1:], decoded):
+        assert flat[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids and back == (text or "")
+
+
 # ---------------------------------------------------------------- 10
 
 
