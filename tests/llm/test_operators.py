@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from fleetmetrics.llm import (
     bpe,
@@ -445,6 +447,22 @@ def test_bpe_keeps_no_words():
     assert most < 60e6 and grown < 1e6
 
 
+def test_bpe_takes_less_time_than_a_search_for_words():
+    """Words that repeat cost no Python step each: less than finding them by the pattern."""
+    path, _ = library()
+    mine, rng = bpe.Bpe(open(path, encoding="utf-8").read()), random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(1000)]
+    pattern = regex.compile(bpe.PATTERN)
+    mine.encode_all(texts[:10])
+    took = []
+    for step in (lambda: [pattern.findall(text) for text in texts], lambda: mine.encode_all(texts)):
+        start = time.process_time()
+        step()
+        took.append(time.process_time() - start)
+    assert took[1] < took[0]
+
+
 def test_bpe_cuts_texts_as_the_pattern_does():
     path, tokenizer = library()
     mine, rng = bpe.Bpe(open(path, encoding="utf-8").read()), random.Random(7)
