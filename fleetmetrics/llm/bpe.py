@@ -40,9 +40,11 @@ from .common import built_once, sliced, text_bytes
 #: The pattern that splits a text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = 1 << 30
-#: Bytes of text encoded together, and cut into words together; longer texts are taken alone.
+#: Bytes of text encoded together, cut into words together, and handed to Spark together; longer
+#: texts are taken alone.
 BATCH_BYTES = 8 << 20
 CUT_BYTES = 1 << 19
+GIVEN_BYTES = 1 << 19
 #: Classes of code points in ``PATTERN``; those on whose class libraries differ are unsure.
 OTHER, SPACE, LETTER, NUMBER, UNSURE = range(5)
 
@@ -285,7 +287,8 @@ def encoded(docs: DataFrame, path: str, column: str = "text", decode: bool = Fal
                 columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
                 if decode:
                     columns.append(bpe.decode_all(flat, offsets))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in (*kept, *added)])
+                whole = pa.RecordBatch.from_arrays(columns, [f.name for f in (*kept, *added)])
+                yield from sliced(whole, place, GIVEN_BYTES)
 
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, T.StructType([*kept, *added]))
 
